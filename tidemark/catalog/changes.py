@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import with_file_type
 from ..operators.changes import apply_changes as apply_to_index
-from ..operators.changes import carry_doc_ids, deleted_ids, resolve_doc_ids
+from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..operators.diff import change_counts as count_changes
 from ..operators.diff import snapshot_diff as diff_trees
 from ..operators.documents import file_documents
+from ..session import cut
 from .inputs import (
     INDEX_SQL,
     SCOPE,
@@ -54,13 +55,8 @@ def boundary_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoped_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of all sources at once; a file never becomes a rename of another source's file."""
-    return diff_trees(hashed(old_tree(spark, sf_dir)), hashed(new_tree(spark, sf_dir)), scope=SCOPE)
-
-
-def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The change feed resolved against the old index."""
-    index = old_index(spark, sf_dir)
-    return resolve_doc_ids(scoped_feed(spark, sf_dir), index), index
+    feed = diff_trees(hashed(old_tree(spark, sf_dir)), hashed(new_tree(spark, sf_dir)), scope=SCOPE)
+    return cut(feed, "feed")
 
 
 RESOLVED_SQL = f"""
@@ -82,15 +78,15 @@ resolved AS (
 
 @query(f"WITH {RESOLVED_SQL} SELECT owner, change_type, a_path, b_path, action, doc_key AS doc_id FROM resolved")
 def doc_id_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved, _ = _resolved(spark, sf_dir)
+    resolved = resolve_doc_ids(scoped_feed(spark, sf_dir), old_index(spark, sf_dir))
     return resolved.select("owner", "change_type", "a_path", "b_path", "action", "doc_id")
 
 
-def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved, index = _resolved(spark, sf_dir)
-    wanted = resolved.where(F.col("action") != "delete").select(F.col("b_path").alias("path"))
-    files = new_tree(spark, sf_dir).join(wanted, "path", "left_semi")
-    return apply_to_index(index, carry_doc_ids(index_of(files), resolved), deleted_ids(resolved))
+def apply_feed(spark: SparkSession, sf_dir: str, index: DataFrame) -> DataFrame:
+    """The index once the changes from the old to the new tree are applied."""
+    resolved = cut(resolve_doc_ids(scoped_feed(spark, sf_dir), index), "resolved")
+    files = changed_files(new_tree(spark, sf_dir), resolved, SCOPE)
+    return apply_to_index(index, cut(index_of(files), "upserts"), deleted_ids(resolved))
 
 
 @query(f"""
@@ -104,7 +100,7 @@ SELECT r.doc_key, r.owner, r.b_path,
 FROM resolved r JOIN new_tree n ON n.path = r.b_path WHERE r.action <> 'delete'
 """)
 def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _applied(spark, sf_dir).select(
+    return apply_feed(spark, sf_dir, old_index(spark, sf_dir)).select(
         "doc_id", "owner", "source_uri", "change_type", "language", F.md5("text").alias("text_hash")
     )
 
@@ -115,11 +111,7 @@ FROM documents
 """)
 def full_vs_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old index plus diff holds the same texts under the same paths as a full run on the new tree."""
-    index = index_of(old_tree(spark, sf_dir))
-    resolved = resolve_doc_ids(scoped_feed(spark, sf_dir), index)
-    wanted = resolved.where(F.col("action") != "delete").select(F.col("b_path").alias("path"))
-    files = new_tree(spark, sf_dir).join(wanted, "path", "left_semi")
-    incremental = apply_to_index(index, carry_doc_ids(index_of(files), resolved), deleted_ids(resolved))
+    incremental = apply_feed(spark, sf_dir, index_of(old_tree(spark, sf_dir)))
     full = index_of(new_tree(spark, sf_dir))
 
     def keyed(df: DataFrame, side: str) -> DataFrame:
@@ -150,7 +142,7 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = file_documents(
         with_file_type(new_tree(spark, sf_dir)),
         index_name="all",
-        owner=F.concat(F.lit("ns_"), F.col("source")),
+        owner=F.col("owner"),
         run_ts=run_ts(),
         repository="docs",
         branch="main",

@@ -16,6 +16,7 @@ from ..operators.lifecycle import next_phase as step_phases
 from ..operators.quality import check_specs, job_label
 from ..operators.quality import orphan_sources as find_orphans
 from ..operators.quality import spec_hash as hash_spec
+from ..session import cut
 from .inputs import REGISTRY_SQL, index_of, old_tree, registry, runs, run_ts, table
 from .registry import query
 
@@ -120,7 +121,8 @@ reset AS (
 
 def _reset(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     index = _index(spark, sf_dir)
-    report = report_drift(_status(spark, sf_dir), index)
+    # one row per source, used by several steps
+    report = cut(report_drift(_status(spark, sf_dir), index), "drift")
     flags = registry(spark, sf_dir).selectExpr(*FLAGS)
     active = table(spark, sf_dir, "events").selectExpr(
         "'ns_src' || (user_id % 40 + 1) AS owner", f"{BUSY} AS active"

@@ -54,7 +54,7 @@ def run_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message for every event that is not a plain view; owners differ in how many they have."""
+    """One message per event, so every owner has many."""
     return table(spark, sf_dir, "events").selectExpr(
         f"{OWNER} AS owner", "event_id", "'Failed to fetch ' || event_type || ' ' || event_id AS message"
     )

@@ -44,22 +44,25 @@ NEW_PATH = (
 NEW_TEXT = "text || CASE WHEN doc_id % 5 = 0 THEN '#v2' ELSE '' END"
 
 
+NAMES = ("doc_id AS file_no", "source", "'ns_' || source AS owner", "'idx-' || lang AS index_name")
+
+
 def old_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "source", "lang", f"{OLD_PATH} AS path", "text"
+        *NAMES, f"{OLD_PATH} AS path", "text"
     )
 
 
 def new_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").selectExpr(
-        "doc_id", "source", "lang", f"{NEW_PATH} AS path", f"{NEW_TEXT} AS text"
+        *NAMES, f"{NEW_PATH} AS path", f"{NEW_TEXT} AS text"
     )
 
 
 def hashed(tree: DataFrame) -> DataFrame:
     return tree.select(
-        F.concat(F.lit("ns_"), "source").alias("owner"),
-        F.concat(F.lit("idx-"), "lang").alias("index_name"),
+        "owner",
+        "index_name",
         "path",
         F.md5("text").alias("hash"),
         F.octet_length("text").alias("size"),
@@ -101,22 +104,27 @@ diff AS (
 INDEXED_PATH = "CASE WHEN doc_id % 9 = 0 THEN 'attic/' ELSE '' END"
 
 
-def index_of(tree: DataFrame, change_type: str = "full") -> DataFrame:
+def index_of(tree: DataFrame) -> DataFrame:
+    """Documents of a tree; changed files keep their id and carry their change's label."""
+    changed = "change_label" in tree.columns
     return file_documents(
         with_file_type(tree),
-        index_name=F.concat(F.lit("idx-"), F.col("lang")),
-        owner=F.concat(F.lit("ns_"), F.col("source")),
+        index_name=F.col("index_name"),
+        owner=F.col("owner"),
         run_ts=run_ts(),
         repository="docs",
         branch="main",
         commit="v1",
-        change_type=change_type,
+        change_type=F.col("change_label") if changed else "full",
+        doc_id=F.col("doc_id") if changed else None,
     )
 
 
 def old_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = old_tree(spark, sf_dir).withColumn("path", F.concat(F.expr(INDEXED_PATH), F.col("path")))
-    return index_of(moved)
+    filed = table(spark, sf_dir, "documents").selectExpr(
+        *NAMES, f"{INDEXED_PATH} || {OLD_PATH} AS path", "text"
+    )
+    return index_of(filed)
 
 
 DOC_ID_SQL = "sha256(index_name || chr(1) || owner || chr(1) || source_uri)"

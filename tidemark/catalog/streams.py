@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import rows_to_text
-from ..operators.changes import carry_doc_ids, deleted_ids, resolve_doc_ids
+from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..plans.index_table import IndexTable
-from ..session import scratch_path
+from ..session import cut, scratch_path
 from ..streaming.feeds import (
     apply_stream,
     drift_flags,
@@ -20,7 +20,7 @@ from ..streaming.feeds import (
     write_batches,
 )
 from .changes import RESOLVED_SQL, scoped_feed
-from .inputs import OWNER, index_of, new_tree, old_index, table
+from .inputs import OWNER, SCOPE, index_of, new_tree, old_index, table
 from .registry import query
 from .rows import EVENT_TEXT_SQL
 
@@ -93,15 +93,14 @@ def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "apply")
     index = IndexTable(spark, f"{out}/index")
     index.index_documents(old_index(spark, sf_dir))
-    scoped_feed(spark, sf_dir).write.parquet(f"{out}/feed")
-    landed = spark.read.parquet(f"{out}/feed")
+    feed = scoped_feed(spark, sf_dir)
+    feed.write.parquet(f"{out}/feed")
 
     def to_documents(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-        resolved = resolve_doc_ids(batch, index.read())
-        wanted = resolved.where(F.col("action") != "delete").select(F.col("b_path").alias("path"))
-        files = new_tree(batch.sparkSession, sf_dir).join(wanted, "path", "left_semi")
-        return carry_doc_ids(index_of(files), resolved), deleted_ids(resolved)
+        resolved = cut(resolve_doc_ids(batch, index.read()), "resolved")
+        files = changed_files(new_tree(batch.sparkSession, sf_dir), resolved, SCOPE)
+        return index_of(files), deleted_ids(resolved)
 
-    stream = read_stream(spark, f"{out}/feed", landed.schema)
+    stream = read_stream(spark, f"{out}/feed", feed.schema)
     apply_stream(stream, index, f"{out}/checkpoint", "feed", to_documents)
     return index.read().select("doc_id", "source_uri", F.md5("text").alias("text_hash"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame) -> DataFrame:
     Takes ``(owner, index_name, change_type, a_path, b_path)``; gives them back with ``action``
     (create, update, delete), the ``doc_id`` it applies to and the document's ``change_label``.
     A modified or renamed file that the index does not know becomes a new document; a deleted
-    one is left out.
+    one is left out. The changes are used twice, so pass a written feed.
     """
     keyed = changes.withColumn("source_uri", F.coalesce("a_path", "b_path"))
     found = first_match(index, keyed.where(F.col("change_type") != "A"))
@@ -58,23 +60,16 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
-def carry_doc_ids(documents: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Give documents of changed files the id and label of their change."""
-    upserts = resolved.where(F.col("action") != "delete").select(
-        F.col("owner"),
-        F.col("b_path").alias("source_uri"),
-        F.col("doc_id").alias("_carried"),
-        F.col("change_label"),
-    )
-    label = F.map_from_arrays(F.array(F.lit("change_type")), F.array(F.col("change_label")))
-    others = F.map_filter("metadata", lambda k, _: k != "change_type")
-    return (
-        documents.join(upserts, ["owner", "source_uri"])
-        .withColumn("doc_id", F.col("_carried"))
-        .withColumn("change_type", F.col("change_label"))
-        .withColumn("metadata", F.map_concat(others, label))
-        .select(*documents.columns)
+def changed_files(files: DataFrame, resolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """The files behind creates and updates, with ``doc_id`` and ``change_label`` alongside.
+
+    One join brings id and label to the content; when few files changed, Spark broadcasts the
+    changes and the content is not shuffled.
+    """
+    wanted = resolved.where(F.col("action") != "delete").select(
+        *scope, F.col("b_path").alias("path"), "doc_id", "change_label"
     )
+    return files.join(wanted, [*scope, "path"])
 
 
 def deleted_ids(resolved: DataFrame) -> DataFrame:
@@ -84,7 +79,8 @@ def deleted_ids(resolved: DataFrame) -> DataFrame:
 def apply_changes(index: DataFrame, upserts: DataFrame, deletes: DataFrame) -> DataFrame:
     """The index after creates, updates and deletes, in one anti join.
 
-    Applying the same changes again gives the same index.
+    Applying the same changes again gives the same index. The upserts are used twice: pass
+    written ones (see ``session.cut``) when they are costly to compute.
     """
     touched = upserts.select("doc_id").unionByName(deletes.select("doc_id"))
     return index.join(touched, "doc_id", "left_anti").unionByName(upserts)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import filter_paths
+from ..session import cut as write_cut
 from .numbering import number_rows
 
 
@@ -101,17 +102,17 @@ def snapshot_diff(
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
     scope: Sequence[str] = (),
-    cut: bool = False,
+    cut: bool = True,
 ) -> DataFrame:
     """The change feed ``(*scope, change_type, a_path, b_path, hash)`` with types A, M, D and R.
 
     Both frames need ``path, hash, size``, with one row per path. ``scope`` names columns that
     tell sources apart when one job compares many of them: paths and renames only match inside
-    a scope. With ``cut`` the path changes are written to the checkpoint folder before
-    renames are paired, so that the big join runs once.
+    a scope. The path changes are written to the shared folder before renames are paired, so that
+    the join over all paths runs once; without ``cut`` everything stays one lazy plan.
     """
     changes = path_changes(old, new, include, exclude, scope)
-    return pair_renames(changes.checkpoint() if cut else changes, scope)
+    return pair_renames(write_cut(changes, "path-changes") if cut else changes, scope)
 
 
 def change_counts(changes: DataFrame) -> DataFrame:

@@ -40,6 +40,7 @@ def _build(
     change_type: Column | str | None,
     run_ts: Column,
     extra: dict[str, Column],
+    doc_id: Column | None = None,
 ) -> DataFrame:
     def optional(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
@@ -55,7 +56,7 @@ def _build(
         split_type=optional("split_type"),
     )
     return df.where(F.length("text") > 0).select(
-        document_id(index_name, owner, uri).alias("doc_id"),
+        (document_id(index_name, owner, uri) if doc_id is None else doc_id).alias("doc_id"),
         index_name.alias("index_name"),
         owner.alias("owner"),
         F.lit(source_type).alias("source_type"),
@@ -78,10 +79,11 @@ def file_documents(
     branch: Column | str | None = None,
     commit: Column | str | None = None,
     change_type: Column | str = "full",
+    doc_id: Column | None = None,
 ) -> DataFrame:
     """Documents from files (``path, text`` and, where known, ``language, split_type``).
 
-    Files without text give no document.
+    Files without text give no document. A changed file keeps the ``doc_id`` it had.
     """
     return _build(
         df,
@@ -97,6 +99,7 @@ def file_documents(
             "file_path": F.col("path"),
             "commit": _col(commit),
         },
+        doc_id=doc_id,
     )
 
 

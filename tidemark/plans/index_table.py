@@ -40,24 +40,14 @@ class IndexTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        none = spark.createDataFrame([], _COMMITS)
+        none.write.mode("ignore").parquet(f"{self.root}/commits")
 
     # ---- commits ----
 
-    def _exists(self, path: str) -> bool:
-        try:
-            self.spark.read.format("binaryFile").load(path).limit(0).collect()
-            return True
-        except Exception as exc:
-            if "PATH_NOT_FOUND" in str(exc):
-                return False
-            raise
-
     def commits(self) -> DataFrame:
         """All finished commits; a few rows per run."""
-        path = f"{self.root}/commits"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], _COMMITS)
-        return self.spark.read.schema(_COMMITS).parquet(path)
+        return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
 
     def _live(self) -> tuple[str | None, list[str], dict[str, int]]:
         """The newest full copy, the changes after it, and the drops after it by index."""

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import filter_paths, with_file_type
-from ..operators.changes import carry_doc_ids, deleted_ids, resolve_doc_ids
+from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
-from ..operators.documents import document_id, file_documents
+from ..operators.documents import file_documents
 from ..operators.sinks import checked
+from ..session import cut
 from ..sources.trees import read_snapshot, scan_mode
 from .index_table import IndexTable
 
@@ -30,9 +31,13 @@ class FileSource:
 
 
 def documents_of(files: DataFrame, source: FileSource, commit: str, run_ts: Column) -> DataFrame:
-    """Documents from ``(path, content)``: filter, type, route, decode, build. No shuffle."""
+    """Documents from ``(path, content)``: filter, type, route, decode, build. No shuffle.
+
+    Files that come with ``doc_id`` and ``change_label`` keep them.
+    """
     typed = with_file_type(filter_paths(files, source.include, source.exclude))
     readable = checked(extract_text(typed), source.mode)
+    changed = "change_label" in files.columns
     return file_documents(
         readable,
         index_name=source.index_name,
@@ -41,27 +46,17 @@ def documents_of(files: DataFrame, source: FileSource, commit: str, run_ts: Colu
         repository=source.repository,
         branch=source.branch,
         commit=commit,
+        change_type=F.col("change_label") if changed else "full",
+        doc_id=F.col("doc_id") if changed else None,
     )
 
 
-def plan_changes(
-    old: DataFrame, new: DataFrame, index: DataFrame, source: FileSource, cut: bool = True
-) -> DataFrame:
-    """The change feed of an incremental run with the documents it concerns."""
-    feed = snapshot_diff(with_hash(old), with_hash(new), source.include, source.exclude, cut)
+def plan_changes(old: DataFrame, new: DataFrame, index: DataFrame, source: FileSource) -> DataFrame:
+    """The change feed of an incremental run with the documents it concerns, written once."""
+    feed = snapshot_diff(with_hash(old), with_hash(new), source.include, source.exclude)
     owned = index.where((F.col("owner") == source.owner) & (F.col("index_name") == source.index_name))
-    return resolve_doc_ids(
-        feed.withColumns({"owner": F.lit(source.owner), "index_name": F.lit(source.index_name)}), owned
-    )
-
-
-def changed_documents(
-    resolved: DataFrame, new: DataFrame, source: FileSource, commit: str, run_ts: Column
-) -> DataFrame:
-    """Documents of created and updated files. Content is read for these paths only."""
-    wanted = resolved.where(F.col("action") != "delete").select(F.col("b_path").alias("path"))
-    files = new.join(wanted, "path", "left_semi")
-    return carry_doc_ids(documents_of(files, source, commit, run_ts), resolved)
+    named = {"owner": F.lit(source.owner), "index_name": F.lit(source.index_name)}
+    return cut(resolve_doc_ids(cut(feed.withColumns(named), "feed"), owned), "resolved")
 
 
 def sync_files(
@@ -101,18 +96,6 @@ def sync_files(
         return resolved.select(
             "owner", "index_name", "change_type", "a_path", "b_path", "doc_id", "action"
         )
-    # the plan feeds two writes: keep it, so that both see the same ids
-    resolved = resolved.checkpoint()
-    documents = changed_documents(resolved, new, source, version, run_ts)
+    documents = documents_of(changed_files(new, resolved), source, version, run_ts)
     table.apply(upserts=documents, deletes=deleted_ids(resolved))
     return None
-
-
-__all__ = [
-    "FileSource",
-    "changed_documents",
-    "document_id",
-    "documents_of",
-    "plan_changes",
-    "sync_files",
-]
