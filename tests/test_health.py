@@ -1,0 +1,248 @@
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators.drift import (
+    drift_report,
+    drift_tally,
+    drop_indexes,
+    existing_indexes,
+    reset_candidates,
+    reset_status,
+    update_drift_flags,
+)
+from tidemark.operators.lifecycle import droppable, next_phase
+from tidemark.operators.quality import check_specs, is_path_pattern, job_label, orphan_sources, spec_hash
+
+NOW = dt.datetime(2024, 2, 1)
+STATUS = "owner string, index_name string, policy string, phase string, suspend boolean, expected long"
+
+
+@pytest.mark.parametrize(
+    "policy, phase, suspend, expected, actual, outcome",
+    [
+        ("Auto", "Scheduled", None, 3, 3, "clean"),
+        ("Auto", "Scheduled", None, 5, 3, "drift"),
+        ("Ignore", "Scheduled", None, 5, 3, "skipped:policy"),
+        ("Manual", "Scheduled", False, 5, 3, "drift"),
+        (None, "Scheduled", None, 5, 3, "drift"),
+        ("Auto", "Scheduled", True, 5, 3, "skipped:suspended"),
+        ("Auto", "Running", None, 5, 3, "skipped:phase"),
+        ("Auto", None, None, 5, 3, "skipped:phase"),
+        ("Auto", "Scheduled", None, 0, 3, "skipped:empty"),
+        ("Auto", "Scheduled", None, None, 3, "skipped:empty"),
+        ("Auto", "Scheduled", None, 2, 0, "drift"),
+        ("Ignore", "Running", True, 0, 3, "skipped:policy"),
+    ],
+)
+def test_drift(spark, policy, phase, suspend, expected, actual, outcome):
+    status = spark.createDataFrame([("o", "i", policy, phase, suspend, expected)], STATUS)
+    index = spark.range(actual).select(F.lit("i").alias("index_name"), F.lit("o").alias("owner"))
+    other = spark.range(9).select(F.lit("j").alias("index_name"), F.lit("o").alias("owner"))
+    row = drift_report(status, index.unionByName(other)).first()
+    assert (row.outcome, row.actual) == (outcome, actual)
+    assert row.action == ("TriggerJob" if outcome == "drift" else "None")
+    assert [tuple(r) for r in drift_tally(drift_report(status, index)).collect()] == [(outcome, 1)]
+
+
+def test_only_a_clean_check_clears_the_flag(spark):
+    old = dt.datetime(2024, 1, 1)
+    flags = spark.createDataFrame(
+        [(o, True, old, None) for o in ("clean", "skip", "drift", "gone")],
+        "owner string, drift_flag boolean, last_detected timestamp, last_remediated timestamp",
+    )
+    report = spark.createDataFrame(
+        [("clean", "clean"), ("skip", "skipped:phase"), ("drift", "drift"), ("new", "drift"), ("error", "error")],
+        "owner string, outcome string",
+    )
+    got = {r.owner: (r.drift_flag, r.last_detected) for r in update_drift_flags(flags, report, F.lit(NOW)).collect()}
+    assert got == {
+        "clean": (False, old), "skip": (True, old), "drift": (True, NOW), "gone": (True, old), "new": (True, NOW),
+        "error": (False, None),
+    }
+
+
+def test_reset(spark):
+    report = spark.createDataFrame(
+        [("a", "Idx-A", "drift", "Auto"), ("b", "idx-b", "drift", "Manual"), ("c", "idx-c", "clean", "Auto"),
+         ("d", "idx-d", "drift", "Auto"), ("e", "idx-e", "drift", "Auto"), ("f", "idx-f", "drift", "Auto")],
+        "owner string, index_name string, outcome string, policy string",
+    )
+    t = lambda d: dt.datetime(2024, 1, d)
+    flags = spark.createDataFrame(
+        [("a", t(2), t(1)), ("d", t(2), t(3)), ("e", t(2), None)], "owner string, last_detected timestamp, last_remediated timestamp"
+    )
+    runs = spark.createDataFrame([("e", 1), ("a", 0)], "owner string, active int")
+    chosen = reset_candidates(report, flags, runs)
+    assert {r.owner for r in chosen.collect()} == {"a", "f"}
+    index = spark.createDataFrame([("idx-a", "1"), ("IDX-B", "2")], "index_name string, doc_id string")
+    found = existing_indexes(chosen, index)
+    assert {r.owner for r in found.collect()} == {"a"}
+    assert [tuple(r) for r in drop_indexes(index, found).collect()] == [("IDX-B", "2")]
+    status = spark.createDataFrame(
+        [("a", 5, "v1", None), ("b", 6, "v2", None)], "owner string, expected long, checkpoint string, last_remediated timestamp"
+    )
+    assert {tuple(r) for r in reset_status(status, found, F.lit(NOW)).collect()} == {("a", 0, None, NOW), ("b", 6, "v2", None)}
+
+
+@pytest.mark.parametrize(
+    "pattern, valid",
+    [
+        *[(p, True) for p in (
+            "foo", "foo/bar", "*.go", "foo/*.go", "**/*.go", "**/foo", "**/foo/bar", "foo/**", "foo/bar/**", "a/**/b",
+            "foo/*", "*", "a/b/**/*.go", "**/a", ".github",
+        )],
+        *[(p, False) for p in ("foo//bar", "foo@bar", "", "docs/", "/src", "*.test.py", "foo\n", "a b")],
+    ],
+)
+def test_path_pattern_shapes(spark, pattern, valid):
+    df = spark.createDataFrame([(pattern,)], "p string")
+    assert df.select(is_path_pattern(F.col("p")).alias("v")).first().v is valid
+
+
+SPEC = (
+    "namespace string, name string, engine string, index_name string, type string, repository string, branch string,"
+    " paths array<string>, exclude_paths array<string>, urls array<string>, language string, initial_query string,"
+    " schedule string, policy string, credential_type string, secret_name string, secret_key string, cloud string,"
+    " client_id string, tenant_id string, service_account string, scope string"
+)
+GOOD = {"namespace": "ns", "name": "s", "engine": "e", "index_name": "idx", "type": "Git", "repository": "r", "branch": "main"}
+ID = "123e4567-e89b-12d3-a456-426614174000"
+IDENTITY = {
+    "credential_type": "WorkloadIdentity", "cloud": "Azure", "client_id": ID, "tenant_id": ID, "service_account": "s", "scope": "x"
+}
+
+
+@pytest.mark.parametrize(
+    "change, codes",
+    [
+        ({}, set()),
+        ({"engine": ""}, {"engine:missing"}),
+        ({"index_name": None}, {"index_name:missing"}),
+        ({"index_name": "Bad_Name"}, {"index_name:invalid"}),
+        ({"index_name": "a"}, set()),
+        ({"index_name": "a-"}, {"index_name:invalid"}),
+        ({"index_name": "a\n"}, {"index_name:invalid"}),
+        ({"type": None}, {"type:missing"}),
+        ({"type": "Ftp"}, {"type:invalid"}),
+        ({"repository": None, "branch": ""}, {"repository:missing", "branch:missing"}),
+        ({"paths": ["ok", "foo//bar"]}, {"paths:invalid"}),
+        ({"exclude_paths": ["foo@bar"]}, {"exclude_paths:invalid"}),
+        ({"paths": ["src/**", "*.md"], "exclude_paths": ["vendor"]}, set()),
+        ({"type": "Static"}, {"urls:missing"}),
+        ({"type": "Static", "urls": []}, {"urls:missing"}),
+        ({"type": "Static", "urls": ["https://a.b/c", "nope"]}, {"urls:invalid"}),
+        ({"type": "Static", "urls": ["https://a.b/c"]}, set()),
+        ({"type": "Database"}, {"language:missing", "initial_query:missing"}),
+        ({"type": "Database", "language": "SQL", "initial_query": "q"}, set()),
+        ({"schedule": "* *"}, {"schedule:invalid"}),
+        ({"schedule": "@daily"}, set()),
+        ({"schedule": ""}, set()),
+        ({"schedule": "*/5 * * * *"}, set()),
+        ({"policy": "Auto"}, set()),
+        ({"policy": ""}, {"policy:missing"}),
+        ({"policy": "Sometimes"}, {"policy:invalid"}),
+        ({"credential_type": ""}, {"credentials:missing"}),
+        ({"credential_type": "Password"}, {"credentials:invalid"}),
+        ({"credential_type": "SecretRef", "secret_name": "s"}, {"secret_ref:missing"}),
+        ({"credential_type": "SecretRef", "secret_name": "s", "secret_key": "k"}, set()),
+        (IDENTITY, set()),
+        ({**IDENTITY, "cloud": None}, {"cloud:missing"}),
+        ({**IDENTITY, "cloud": "Moon"}, {"cloud:invalid"}),
+        ({**IDENTITY, "client_id": "x", "scope": ""}, {"client_id:invalid", "scope:missing"}),
+        ({**IDENTITY, "tenant_id": None}, {"tenant_id:missing"}),
+    ],
+)
+def test_spec_checks(spark, change, codes):
+    row = {**dict.fromkeys([c.split()[0] for c in SPEC.split(", ")]), **GOOD, **change}
+    df = spark.createDataFrame([tuple(row.values())], SPEC)
+    assert {r.code for r in check_specs(df).collect()} == codes
+
+
+def test_orphans_hash_and_label(spark):
+    registry = spark.createDataFrame(
+        [("ns", "a", "e1", None), ("ns", "b", "e2", ""), ("other", "c", "e1", "@daily")],
+        "namespace string, name string, engine string, schedule string",
+    )
+    engines = spark.createDataFrame([("ns", "e1")], "namespace string, engine string")
+    assert {r.name for r in orphan_sources(registry, engines).collect()} == {"b", "c"}
+    assert {r.name for r in orphan_sources(registry, engines.select("engine")).collect()} == {"b"}
+    hashes = [r.h for r in registry.select(spec_hash("engine", "schedule").alias("h")).collect()]
+    assert len(set(hashes)) == 3 and all(len(h) == 8 for h in hashes)
+    empty_or_null = spark.createDataFrame([("x", None), ("x", "")], "a string, b string").select(spec_hash("a", "b").alias("h"))
+    assert empty_or_null.distinct().count() == 2
+    labels = [r.v for r in registry.select(job_label(F.col("schedule")).alias("v")).collect()]
+    assert labels == ["one-time-indexing", "one-time-indexing", "scheduled-indexing"]
+
+
+CRON = "*/5 * * * *"
+
+
+@pytest.mark.parametrize(
+    "phase, schedule, suspend, policy, flag, runs, expected, step",
+    [
+        ("Pending", CRON, True, None, None, "", "Suspended", None),
+        ("Pending", CRON, False, None, None, "", "Scheduled", None),
+        ("Pending", None, None, None, None, "", "Running", None),
+        ("Scheduled", CRON, True, "Auto", True, "a", "Suspended", None),
+        ("Scheduled", CRON, None, "Auto", True, "a", "Running", None),
+        ("Scheduled", CRON, None, "Auto", True, "", "DriftRemediation", None),
+        ("Scheduled", CRON, None, "Manual", True, "", "DriftRemediation", None),
+        ("Scheduled", CRON, None, "Ignore", True, "", "Scheduled", None),
+        ("Scheduled", CRON, None, None, True, "", "Scheduled", None),
+        ("Scheduled", CRON, None, "Auto", False, "", "Scheduled", None),
+        ("Suspended", CRON, None, None, None, "", "Scheduled", None),
+        ("Suspended", CRON, True, None, None, "", "Suspended", None),
+        ("Running", None, None, None, None, "sf", "Failed", None),
+        ("Running", None, None, None, None, "fs", "Completed", None),
+        ("Running", CRON, None, None, None, "sf", "Scheduled", None),
+        ("Running", CRON, None, None, None, "f", "Running", None),
+        ("Running", None, None, None, None, "sfa", "Running", None),
+        ("DriftRemediation", CRON, None, "Ignore", True, "", "Pending", "leave"),
+        ("DriftRemediation", CRON, True, "Auto", False, "", "DriftRemediation", "unsuspend"),
+        ("DriftRemediation", CRON, None, "Auto", None, "", "Pending", "leave"),
+        ("DriftRemediation", CRON, None, "Manual", True, "", "DriftRemediation", "wait-for-user"),
+        ("DriftRemediation", CRON, None, None, True, "", "DriftRemediation", "wait-for-user"),
+        ("DriftRemediation", CRON, None, "Auto", True, "", "DriftRemediation", "suspend"),
+        ("DriftRemediation", CRON, True, "Auto", True, "a", "DriftRemediation", "wait-for-runs"),
+        ("DriftRemediation", CRON, True, "Auto", True, "s", "DriftRemediation", "drop-index"),
+        ("Completed", None, None, None, None, "f", "Completed", None),
+        ("Failed", None, None, None, None, "s", "Failed", None),
+        (None, None, None, None, None, "", "Pending", None),
+        ("Odd", None, None, None, None, "", "Pending", None),
+    ],
+)
+def test_lifecycle(spark, phase, schedule, suspend, policy, flag, runs, expected, step):
+    registry = spark.createDataFrame(
+        [("o", phase, schedule, suspend, policy)], "owner string, phase string, schedule string, suspend boolean, policy string"
+    )
+    history = spark.createDataFrame(
+        [("o", i, dt.datetime(2024, 1, 1, i), int(k == "a"), int(k == "f"), int(k == "s")) for i, k in enumerate(runs)],
+        "owner string, run_id int, start_time timestamp, active int, failed int, succeeded int",
+    )
+    flags = spark.createDataFrame([("o", flag)], "owner string, drift_flag boolean")
+    row = next_phase(registry, history, flags).first()
+    assert (row.next_phase, row.step) == (expected, step)
+
+
+def test_more_lifecycle_inputs(spark):
+    registry = spark.createDataFrame(
+        [("o", "Pending", None, None, None, True), ("p", "DriftRemediation", CRON, True, "Auto", False)],
+        "owner string, phase string, schedule string, suspend boolean, policy string, creation_failed boolean",
+    )
+    none = spark.createDataFrame([], "owner string, run_id int, start_time timestamp, active int, failed int, succeeded int")
+    flags = spark.createDataFrame(
+        [("p", True, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2))],
+        "owner string, drift_flag boolean, last_detected timestamp, last_remediated timestamp",
+    )
+    got = {r.owner: (r.next_phase, r.step) for r in next_phase(registry, none, flags).collect()}
+    assert got == {"o": ("Failed", None), "p": ("DriftRemediation", "wait-for-check")}
+
+
+def test_delete_guard(spark):
+    registry = spark.createDataFrame([("ns_a",), ("ns_b",), ("ns_c",)], "owner string")
+    runs = spark.createDataFrame([("ns_a", 1), ("ns_a", 0), ("ns_b", 0), ("other_c", 1)], "owner string, active int")
+    assert {r.owner for r in droppable(registry, runs).collect()} == {"ns_b", "ns_c"}

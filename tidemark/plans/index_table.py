@@ -30,8 +30,15 @@ _STORED = T.StructType(
         T.StructField("index_name", T.StringType()),
     ]
 )
-_COMMITS = (
-    "commit_no long, commit_id string, kind string, index_name string, writer string, batch_id long"
+_COMMITS = T.StructType(
+    [
+        T.StructField("commit_no", T.LongType()),
+        T.StructField("commit_id", T.StringType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("index_name", T.StringType()),
+        T.StructField("writer", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+    ]
 )
 _COLUMNS = [f.name for f in DOCUMENT.fields]
 
@@ -40,8 +47,8 @@ class IndexTable:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        none = spark.createDataFrame([], _COMMITS)
-        none.write.mode("ignore").parquet(f"{self.root}/commits")
+        # an empty commit table, unless there is one already
+        self._row(0, "", "none", {}).limit(0).write.mode("ignore").parquet(f"{self.root}/commits")
 
     # ---- commits ----
 
@@ -61,10 +68,14 @@ class IndexTable:
                 changes.append(row.commit_id)
         return base, changes, drops
 
+    def _row(self, number: int, commit_id: str, kind: str, about: dict) -> DataFrame:
+        values = {"commit_no": number, "commit_id": commit_id, "kind": kind, **about}
+        return self.spark.range(1, numPartitions=1).select(
+            *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in _COMMITS.fields]
+        )
+
     def _commit(self, kind: str, number: int, commit_id: str, **about) -> None:
-        row = (number, commit_id, kind, about.get("index_name"), about.get("writer"), about.get("batch_id"))
-        one = self.spark.createDataFrame([row], _COMMITS).coalesce(1)
-        one.write.mode("append").parquet(f"{self.root}/commits")
+        self._row(number, commit_id, kind, about).write.mode("append").parquet(f"{self.root}/commits")
 
     def _next(self) -> int:
         newest = self.commits().agg(F.max("commit_no")).first()[0]
