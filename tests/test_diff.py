@@ -18,7 +18,7 @@ from tidemark.operators.changes import (
     resolve_doc_ids,
 )
 from tidemark.operators.diff import change_counts, snapshot_diff, with_hash
-from tidemark.operators.documents import append_key, file_documents
+from tidemark.operators.documents import file_documents
 from tidemark.operators.numbering import batch_numbers, number_rows, progress
 
 
@@ -198,9 +198,3 @@ def test_twelve_rows_make_two_batches_of_ten(spark):
 def test_progress(spark):
     got = progress(hot(spark, 300), "k", "v").where("k = 'hot'").collect()
     assert sorted(r.done for r in got) == list(range(1, 101)) and {r.total for r in got} == {100}
-
-
-def test_append_keys_tell_copies_apart(spark):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "a", "b", "a"])], "id int, text string")
-    keyed = append_key(df, "run7", "id").collect()
-    assert len({r.row_key for r in keyed}) == 4 and all(r.row_key.startswith("run7#") for r in keyed)

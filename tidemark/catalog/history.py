@@ -10,7 +10,20 @@ from ..operators.conditions import condition_history, latest_conditions, merge_s
 from ..operators.runs import completion_events, retain_runs, run_totals as total_runs
 from ..operators.runs import error_summary as summarize_errors
 from ..operators.runs import registry_runs
-from .inputs import OWNER, REGISTRY_SQL, RUNS_SQL, conditions, registry, runs, table
+from ..operators.status import close_runs, runnable
+from ..operators.status import run_conditions as conditions_of
+from .inputs import (
+    OWNER,
+    REGISTRY_SQL,
+    RUNS_SQL,
+    conditions,
+    index_of,
+    new_tree,
+    registry,
+    run_ts,
+    runs,
+    table,
+)
 from .registry import query
 
 
@@ -143,3 +156,61 @@ def status_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type AS phase",
     )
     return merge_status(updates, ["count_text", "error_text", "phase"])
+
+
+CLOSED_SQL = f"""
+{ERRORS_SQL}, {REGISTRY_SQL},
+counted AS (SELECT 'ns_' || source AS owner, count(*) AS n_documents FROM documents GROUP BY ALL),
+closed AS (
+  SELECT r.owner, length(r.name) AS seconds, coalesce(n_documents, 0) AS n_documents,
+    coalesce(n_errors, 0) AS n_errors, summary, n_errors IS NULL AS succeeded,
+    CASE WHEN n_errors IS NULL THEN 'v2' ELSE 'v1' END AS checkpoint
+  FROM registry r LEFT JOIN counted c ON r.owner = c.owner LEFT JOIN summed s ON r.owner = s.owner)
+"""
+
+
+def _closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ended = registry(spark, sf_dir).select(
+        "owner",
+        F.lit(1).alias("run_id"),
+        run_ts().alias("start_time"),
+        F.timestamp_seconds(F.unix_timestamp(run_ts()) + F.length("name")).alias("end_time"),
+        F.lit("v2").alias("checkpoint"),
+        F.lit("v1").alias("last_checkpoint"),
+    )
+    return close_runs(ended, index_of(new_tree(spark, sf_dir)), _errors(spark, sf_dir), "event_id")
+
+
+@query(f"""
+WITH {CLOSED_SQL}
+SELECT owner, CAST(seconds AS BIGINT) AS seconds, n_documents, n_errors, summary, succeeded, checkpoint FROM closed
+""")
+def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status row of every source's run; the checkpoint only moves past a run without errors."""
+    return _closed(spark, sf_dir).drop("run_id", "last_run")
+
+
+@query(f"""
+WITH {CLOSED_SQL}
+SELECT owner, 'Succeeded' AS type, succeeded AS status,
+  CASE WHEN succeeded THEN 'IndexingCompleted' ELSE 'IndexingErrors' END AS reason,
+  CASE WHEN succeeded THEN 'Indexing completed successfully' ELSE 'Indexing completed with errors: ' || summary END AS message
+FROM closed
+UNION ALL
+SELECT owner, 'Error', NOT succeeded, CASE WHEN succeeded THEN 'IndexingCompleted' ELSE 'IndexingErrors' END,
+  CASE WHEN succeeded THEN 'No errors during indexing' ELSE 'Indexing completed with errors: ' || summary END
+FROM closed
+UNION ALL SELECT owner, 'Failed', false, 'IndexingCompleted', 'Indexing completed successfully' FROM closed
+UNION ALL SELECT owner, 'Indexing', false, 'IndexingCompleted', 'Document indexing process completed successfully' FROM closed
+""")
+def run_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conditions_of(_closed(spark, sf_dir)).drop("ts")
+
+
+@query(f"""
+WITH {RUNS_SQL}, {REGISTRY_SQL}
+SELECT owner, schedule FROM registry
+WHERE coalesce(suspend, false) = false AND owner NOT IN (SELECT owner FROM runs WHERE outcome = 'running')
+""")
+def runnable_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runnable(registry(spark, sf_dir), runs(spark, sf_dir)).select("owner", "schedule")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import all_clusters, cluster_url, database_of, first_cluster
 from ..functions.records import json_map, json_of, preview, rows_to_text
-from ..operators.documents import append_key
+from ..operators.documents import position_key
 from ..operators.documents import row_documents as build_row_documents
+from ..session import cut
 from ..sources.database import run_query
 from .inputs import run_ts, table
 from .registry import query
@@ -80,12 +81,9 @@ def row_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n_rows, count(*) AS n_keys FROM events")
 def keyless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five texts over all events, each a big group of copies: every row still gets its own key."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("text"))
-    keyed = append_key(rows, "run-1", "event_id")
-    # one key per group: counting groups needs no distinct set in one place
-    return keyed.groupBy("row_key").agg(F.count("*").alias("n")).agg(
-        F.sum("n").alias("n_rows"), F.count("*").alias("n_keys")
-    )
+    rows = cut(table(spark, sf_dir, "events").select(F.col("event_type").alias("text")), "rows")
+    keys = position_key(rows, "run-1").groupBy("row_key").agg(F.count("*").alias("n"))
+    return keys.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_keys"))
 
 
 QUERY_TEXT = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ SNIFF_BYTES = 1024
 
 # Charset names by the decoder that serves them (fixed values: public alias names).
 LATIN1_NAMES = ("latin1", "latin-1", "l1", "iso-8859-1", "iso8859-1", "iso_8859-1", "8859", "cp819")
+UTF8_NAMES = ("utf-8", "utf8", "ascii", "us-ascii")
 CP1252_NAMES = ("cp1252", "windows-1252", "1252")
 
 # windows-1252 differs from ISO-8859-1 only here (fixed values; five bytes are undefined).
@@ -84,11 +86,29 @@ def drop_bom(text: Column) -> Column:
     return F.when(F.startswith(text, bom), F.substring(text, 2, 2**31 - 1)).otherwise(text)
 
 
-def decode(content: Column, content_type: Column, keep_bom: bool = False) -> Column:
+def _codec_udf():
+    @F.pandas_udf("string")
+    def by_codec(content: pd.Series, charset: pd.Series) -> pd.Series:
+        def one(data: bytes | None, name: str) -> str | None:
+            try:
+                return None if data is None else bytes(data).decode(name)
+            except (LookupError, UnicodeDecodeError):
+                return None
+
+        return pd.Series([one(c, n) for c, n in zip(content, charset, strict=True)], dtype="object")
+
+    return by_codec
+
+
+def decode(
+    content: Column, content_type: Column, keep_bom: bool = False, any_charset: bool = False
+) -> Column:
     """Decode by declared charset, then UTF-8, then ISO-8859-1, which never fails.
 
     A declared charset that is unknown here or does not fit the bytes falls through to the
-    rest of the chain.
+    rest of the chain. UTF-8, ASCII, ISO-8859-1 and windows-1252 are decoded in the JVM. With
+    ``any_charset`` the other charsets Python knows (UTF-16, Shift-JIS, ...) are tried too, in an
+    Arrow UDF that gets the bytes of just those rows.
     """
     charset = charset_of(F.coalesce(content_type, F.lit("")))
     latin1 = F.decode(content, "ISO-8859-1")
@@ -97,12 +117,15 @@ def decode(content: Column, content_type: Column, keep_bom: bool = False) -> Col
     cp1252 = F.translate(
         latin1, "".join(map(chr, _CP1252_HIGH)), "".join(_CP1252_HIGH.values())
     )
+    fallback = F.when(F.is_valid_utf8(utf8), utf8).otherwise(latin1)
+    if any_charset:
+        native = charset.isin("", *UTF8_NAMES, *LATIN1_NAMES, *CP1252_NAMES)
+        fallback = F.coalesce(_codec_udf()(F.when(~native, content), charset), fallback)
     text = (
         F.when(F.octet_length(content) == 0, F.lit(""))
         .when(charset.isin(*LATIN1_NAMES), latin1)
         .when(charset.isin(*CP1252_NAMES) & ~undefined_1252, cp1252)
-        .when(F.is_valid_utf8(utf8), utf8)
-        .otherwise(latin1)
+        .otherwise(fallback)
     )
     return text if keep_bom else drop_bom(text)
 

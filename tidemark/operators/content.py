@@ -58,6 +58,14 @@ def _text_rule(content: Column, content_type: Column, ext: Column) -> Column:
 PDF = Handler("pdf", 10, _pdf_rule)
 TEXT = Handler("text", 1, _text_rule, lambda content, content_type, ext: decode(content, content_type))
 
+# The same, for sources that declare rare charsets.
+TEXT_ANY_CHARSET = Handler(
+    "text",
+    1,
+    _text_rule,
+    lambda content, content_type, ext: decode(content, content_type, any_charset=True),
+)
+
 _REGISTERED: list[Handler] = [PDF, TEXT]
 
 

@@ -17,6 +17,9 @@ from .numbering import number_rows
 
 
 def with_hash(df: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``hash`` and ``size``, unless the frame has them already."""
+    if {"hash", "size"} <= set(df.columns):
+        return df
     return df.withColumn("hash", F.md5(F.col(content).cast("binary"))).withColumn(
         "size", F.octet_length(content)
     )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
 from ..schema import DOCUMENT
-from .numbering import number_rows
 
 SEPARATOR = "\u0001"
 
@@ -135,17 +134,14 @@ def row_documents(
     )
 
 
-def append_key(df: DataFrame, run_id: str, unique: str, text: str = "text", out: str = "row_key") -> DataFrame:
-    """A key for rows that have none, so that every run appends: run, text hash, copy number.
+def position_key(written: DataFrame, run_id: str, out: str = "row_key") -> DataFrame:
+    """A key for rows that have none, so that every run appends: run, file and place in the file.
 
-    ``unique`` names a column or row id that tells equal texts apart within the run.
+    The frame must be a plain read of a written table (see ``session.cut``): places in a
+    written file do not change, whatever is recomputed, and equal rows still differ. No shuffle.
     """
-    hashed = df.withColumn("_text_hash", F.md5(text))
-    return (
-        number_rows(hashed, ["_text_hash"], unique, out="_copy")
-        .withColumn(out, F.concat_ws("#", F.lit(run_id), "_text_hash", F.col("_copy").cast("string")))
-        .drop("_text_hash", "_copy")
-    )
+    place = (F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string"))
+    return written.withColumn(out, F.concat_ws("#", F.lit(run_id), *place))
 
 
 def empty_index(spark) -> DataFrame:

@@ -36,6 +36,7 @@ _COMMITS = T.StructType(
         T.StructField("commit_id", T.StringType()),
         T.StructField("kind", T.StringType()),
         T.StructField("index_name", T.StringType()),
+        T.StructField("owner", T.StringType()),
         T.StructField("writer", T.StringType()),
         T.StructField("batch_id", T.LongType()),
     ]
@@ -56,15 +57,18 @@ class IndexTable:
         """All finished commits; a few rows per run."""
         return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
 
-    def _live(self) -> tuple[str | None, list[str], dict[str, int]]:
-        """The newest full copy, the changes after it, and the drops after it by index."""
+    def _live(self) -> tuple[str | None, list[str], dict[tuple[str, str | None], int]]:
+        """The newest full copy, the changes after it, and what was dropped after it.
+
+        Drops are keyed by index and owner; without an owner the whole index went.
+        """
         base, changes, drops = None, [], {}
         for row in self.commits().orderBy("commit_no").collect():
             if row.kind == "full":
                 base, changes, drops = row.commit_id, [], {}
-            elif row.kind == "drop":
-                drops[row.index_name] = row.commit_no
-            else:
+            if row.kind in ("drop", "replace"):
+                drops[row.index_name, row.owner] = row.commit_no
+            if row.kind in ("change", "replace"):
                 changes.append(row.commit_id)
         return base, changes, drops
 
@@ -93,8 +97,11 @@ class IndexTable:
         if base is None and not changes:
             return self.spark.createDataFrame([], DOCUMENT)
         stored = self.spark.read.schema(_STORED).parquet(f"{self.root}/documents")
-        for name, at in drops.items():
-            stored = stored.where((F.col("index_name") != name) | (F.col("commit_no") > at))
+        for (name, owner), at in drops.items():
+            other = F.col("index_name") != name
+            if owner is not None:
+                other = other | (F.col("owner") != owner)
+            stored = stored.where(other | (F.col("commit_no") >= at))
         full = stored.where(F.col("commit_id") == base)
         if not changes:
             return full.select(*_COLUMNS)
@@ -147,10 +154,12 @@ class IndexTable:
         deletes: DataFrame | None = None,
         writer: str | None = None,
         batch_id: int | None = None,
+        replaces: tuple[str, str] | None = None,
     ) -> bool:
         """Append one commit of puts and removals; both name their index and ``doc_id``.
 
-        With a writer and a batch id, a batch that was committed before is skipped.
+        With a writer and a batch id, a batch that was committed before is skipped. ``replaces``
+        names an index and an owner whose earlier documents this commit takes the place of.
         """
         if writer is not None and batch_id is not None:
             seen = (F.col("writer") == writer) & (F.col("batch_id") >= batch_id)
@@ -166,7 +175,11 @@ class IndexTable:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         number = self._next()
         commit_id = self._write(rows, number)
-        self._commit("change", number, commit_id, writer=writer, batch_id=batch_id)
+        about = {"writer": writer, "batch_id": batch_id}
+        if replaces is None:
+            self._commit("change", number, commit_id, **about)
+        else:
+            self._commit("replace", number, commit_id, index_name=replaces[0], owner=replaces[1], **about)
         return True
 
     def index_documents(self, documents: DataFrame) -> None:
@@ -181,6 +194,17 @@ class IndexTable:
         """Drop an index; dropping one that is not there changes nothing."""
         self._commit("drop", self._next(), uuid.uuid4().hex, index_name=index_name)
 
+    def drop_all(self, names: DataFrame) -> None:
+        """Drop every index that a frame names, in one commit."""
+        values = {"commit_no": self._next(), "commit_id": uuid.uuid4().hex, "kind": "drop"}
+        rows = names.select("index_name").distinct().select(
+            *[
+                F.col(f.name) if f.name == "index_name" else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name)
+                for f in _COMMITS.fields
+            ]
+        )
+        rows.write.mode("append").parquet(f"{self.root}/commits")
+
     def compact(self) -> None:
         """Write the current state as a new full copy."""
         number = self._next()

@@ -1,21 +1,26 @@
-"""One run of a file source: full or incremental, planned or applied."""
+"""One run of a source: files in full or by changes, captured URLs, database rows."""
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import filter_paths, with_file_type
 from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
-from ..operators.documents import file_documents
-from ..operators.sinks import checked
+from ..functions.records import rows_to_text
+from ..functions.urls import url_path
+from ..operators.documents import file_documents, position_key, row_documents, url_documents
+from ..operators.sinks import checked, error_rows
 from ..session import cut
-from ..sources.trees import read_snapshot, scan_mode
+from ..sources.captures import capture_error
+from ..sources.database import high_water_mark, run_query
+from ..sources.trees import MAX_FILE_SIZE, read_snapshot, scan_mode
 from .index_table import IndexTable
 
 
@@ -71,6 +76,9 @@ def sync_files(
 ) -> DataFrame | None:
     """Bring an index to a version of a captures table ``(version, path, content)``.
 
+    A full run takes the place of all the source had in the index. An incremental one compares the
+    two versions by path and hash and reads the content of changed files only.
+
     Returns the change feed when ``plan_only`` is set, and writes nothing. The caller stores
     ``version`` as the next checkpoint once this returns, so a failed run is repeated in full.
     """
@@ -88,7 +96,7 @@ def sync_files(
                 "doc_id",
                 F.lit("create").alias("action"),
             )
-        table.apply(upserts=documents)
+        table.apply(upserts=documents, replaces=(source.index_name, source.owner))
         return None
     old = read_snapshot(captures, checkpoint)
     resolved = plan_changes(old, new, table.read(), source)
@@ -99,3 +107,65 @@ def sync_files(
     documents = documents_of(changed_files(new, resolved), source, version, run_ts)
     table.apply(upserts=documents, deletes=deleted_ids(resolved))
     return None
+
+
+@dataclass(frozen=True)
+class UrlSource:
+    owner: str
+    index_name: str
+    max_size: int = MAX_FILE_SIZE
+    mode: str = "permissive"
+
+
+def sync_urls(table: IndexTable, captures: DataFrame, source: UrlSource, run_ts: Column) -> DataFrame:
+    """Put captured URLs ``(url, content, content_type)`` into an index; a URL keeps its document.
+
+    Returns the error rows ``(owner, unit, message)``. In ``failfast`` mode the first bad capture ends
+    the run and nothing is written.
+    """
+    landed = captures.withColumn(
+        "capture_error", capture_error(F.col("url"), F.col("content"), source.max_size)
+    )
+    typed = with_file_type(landed.withColumn("_path", url_path(F.col("url"))), "_path")
+    read = extract_text(typed).withColumn("error", F.coalesce("capture_error", "error"))
+    documents = url_documents(
+        checked(read, source.mode), index_name=source.index_name, owner=source.owner, run_ts=run_ts
+    )
+    table.apply(upserts=documents)
+    return error_rows(read, "url", source.owner)
+
+
+@dataclass(frozen=True)
+class RowSource:
+    owner: str
+    index_name: str
+    initial_query: str
+    incremental_query: str | None = None
+    key: str | None = None
+    ts: str | None = None
+
+
+def sync_rows(
+    spark: SparkSession,
+    table: IndexTable,
+    source: RowSource,
+    last_ts: dt.datetime | None,
+    run_ts: Column,
+    run_id: str,
+) -> dt.datetime | None:
+    """Put the rows of a query into an index and return the next checkpoint.
+
+    With a key a row replaces its earlier document; without one every run appends. The checkpoint
+    is the newest time among the rows that were read, so rows that arrive during the run are
+    not lost; it stays where it was when there were none.
+    """
+    rows = cut(run_query(spark, source.initial_query, source.incremental_query, last_ts), "rows")
+    keyed, key = (rows, source.key) if source.key else (position_key(rows, run_id, "_key"), "_key")
+    texts = rows_to_text(keyed, exclude=["_key"])
+    table.apply(
+        upserts=row_documents(
+            texts, key=key, index_name=source.index_name, owner=source.owner, run_ts=run_ts
+        )
+    )
+    newest = high_water_mark(rows, source.ts) if source.ts else None
+    return newest or last_ts

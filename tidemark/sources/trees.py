@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import keep_path
+from ..operators.diff import with_hash
 
 MAX_FILE_SIZE = 100 * 1024 * 1024
 
@@ -41,6 +42,15 @@ def read_tree(
     )
 
 
+def land_snapshot(files: DataFrame, root: str, version: str) -> None:
+    """Add one version of ``(path, content)`` to a captures table.
+
+    Content hashes are stored alongside, so comparing versions later reads paths and hashes only.
+    A version that is landed again replaces itself.
+    """
+    with_hash(files).write.mode("overwrite").parquet(f"{root}/version={version}")
+
+
 def read_snapshot(captures: DataFrame, version: str) -> DataFrame:
     """One version out of a captures table that is partitioned by ``version``."""
     return captures.where(F.col("version") == version)
