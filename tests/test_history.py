@@ -16,6 +16,8 @@ from tidemark.operators.runs import (
     run_totals,
 )
 
+from tidemark.operators.status import close_runs, run_conditions, runnable
+
 RUNS = "owner string, run_id long, start_time timestamp, end_time timestamp, active int, failed int, succeeded int"
 T0 = dt.datetime(2024, 1, 1)
 
@@ -142,3 +144,26 @@ def test_a_hot_condition_is_windowed_in_chunks(spark):
     for line in plan.splitlines():
         if "Window [" in line and ("event_id" in line.split("], [")[-1]):
             assert "_chunk" in line
+
+
+def test_closing_a_run(spark):
+    ended = spark.createDataFrame(
+        [("x", 1, at(0), at(2), "v2", "v1"), ("y", 2, at(0), at(1), "v2", "v1"), ("z", 3, at(0), at(0), "v2", None)],
+        "owner string, run_id int, start_time timestamp, end_time timestamp, checkpoint string, last_checkpoint string",
+    )
+    index = spark.createDataFrame([("x",), ("x",), ("y",)], "owner string")
+    errors = spark.createDataFrame([("y", 1, "boom"), ("z", 1, "bang")], "owner string, seq int, message string")
+    closed = close_runs(ended, index, errors, "seq")
+    got = {r.owner: (r.seconds, r.n_documents, r.n_errors, r.succeeded, r.checkpoint) for r in closed.collect()}
+    assert got == {"x": (120, 2, 0, True, "v2"), "y": (60, 1, 1, False, "v1"), "z": (0, 0, 1, False, None)}
+    events = {(r.owner, r.type): (r.status, r.reason, r.message) for r in run_conditions(closed).collect()}
+    assert events["x", "Succeeded"] == (True, "IndexingCompleted", "Indexing completed successfully")
+    assert events["x", "Error"] == (False, "IndexingCompleted", "No errors during indexing")
+    assert events["y", "Error"] == (True, "IndexingErrors", "Indexing completed with errors: boom")
+    assert events["y", "Succeeded"][0] is False and len(events) == 12
+
+
+def test_runnable(spark):
+    registry = spark.createDataFrame([("a", None), ("b", True), ("c", False)], "owner string, suspend boolean")
+    active = spark.createDataFrame([("c", 1), ("a", 0)], "owner string, active int")
+    assert {r.owner for r in runnable(registry, active).collect()} == {"a"}

@@ -112,3 +112,22 @@ def test_index_name_prunes_partitions(spark, index):
     index.compact()
     plan = index.read().where(F.col("index_name") == "i")._jdf.queryExecution().executedPlan().toString()
     assert "(index_name" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_drop_many_in_one_commit(spark, index):
+    for name in ("a", "b", "c"):
+        index.index_documents(docs(spark, {name: "t"}, name))
+    index.drop_all(spark.createDataFrame([("a",), ("c",), ("a",), ("unknown",)], "index_name string"))
+    assert index.list_indexes() == ["b"]
+    index.index_documents(docs(spark, {"a": "t"}, "a"))
+    assert index.list_indexes() == ["a", "b"]
+
+
+def test_replace_takes_only_the_owners_documents(spark, index):
+    index.index_documents(docs(spark, {"a": "1", "b": "2"}))
+    index.compact()
+    index.index_documents(docs(spark, {"c": "3"}))
+    index.apply(upserts=docs(spark, {"b": "two", "d": "4"}), replaces=("i", "o"))
+    assert texts(index) == {"b": "two", "d": "4"}
+    index.apply(upserts=docs(spark, {"z": "9"}), replaces=("i", "someone else"))
+    assert texts(index) == {"b": "two", "d": "4", "z": "9"}

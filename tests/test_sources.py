@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from tidemark.operators.documents import empty_index, row_documents
 from tidemark.operators.sinks import send_batches
 from tidemark.plans.index_table import IndexTable
-from tidemark.plans.sync import FileSource, sync_files
+from tidemark.plans.sync import FileSource, RowSource, UrlSource, sync_files, sync_rows, sync_urls
 from tidemark.session import scratch_path
 from tidemark.sources.captures import NO_URLS, capture_error, explode_urls, specs_without_urls
 from tidemark.sources.database import choose_query, high_water_mark, run_query
 from tidemark.sources.registry import UnknownSourceError, build_source, register_source, union_sources
-from tidemark.sources.trees import read_tree, scan_mode
+from tidemark.sources.trees import land_snapshot, read_tree, scan_mode
 
 
 def test_tree(spark, tmp_path):
@@ -192,3 +192,79 @@ def test_keyed_rows_upsert(spark):
         rows = spark.createDataFrame([(7, text)], "id int, text string")
         table.index_documents(row_documents(rows, key="id", index_name="i", owner="o", run_ts=now))
     assert [r.text for r in table.read().collect()] == ["second"]
+
+
+def test_a_full_run_takes_the_place_of_the_one_before(spark):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    data, now = captures(spark, {"v1": V1, "v2": V2}), F.lit("2024-01-01").cast("timestamp")
+    other = FileSource("ns_other", "i", "repo")
+    sync_files(table, data, other, "v1", None, now)
+    sync_files(table, data, SOURCE, "v1", None, now)
+    sync_files(table, data, SOURCE, "v2", "v1", now, pinned=True)
+    mine = {r.source_uri for r in table.read().where("owner = 'ns_docs'").collect()}
+    assert mine == {"a.py", "c.txt", "d.md", "new/m.txt", "e.dat"}
+    theirs = {r.source_uri for r in table.read().where("owner = 'ns_other'").collect()}
+    assert theirs == {"a.py", "b.md", "c.txt", "m.txt", "secret/x"}
+
+
+def test_landed_snapshots_are_compared_without_reading_content(spark):
+    from tidemark.operators.diff import snapshot_diff, with_hash
+
+    root = scratch_path(spark, "captures")
+    for version, files in (("v1", V1), ("v2", V2)):
+        land_snapshot(captures(spark, {version: files}).drop("version"), root, version)
+    data = spark.read.parquet(root)
+    feed = snapshot_diff(with_hash(data.where("version = 'v1'")), with_hash(data.where("version = 'v2'")), cut=False)
+    assert {(r.change_type, r.a_path, r.b_path) for r in feed.collect()} >= {("M", "a.py", "a.py"), ("R", "m.txt", "new/m.txt")}
+    plan = feed._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "version" in plan
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    sync_files(table, data, SOURCE, "v1", None, now)
+    sync_files(table, data, SOURCE, "v2", "v1", now)
+    assert {r.source_uri for r in table.read().collect()} == {"a.py", "c.txt", "d.md", "new/m.txt", "e.dat"}
+
+
+def test_url_run(spark):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    schema = "url string, content binary, content_type string"
+    data = spark.createDataFrame(
+        [("https://a.b/x.py", bytearray(b"print"), "text/plain"), ("nope", bytearray(b"x"), "text/plain"),
+         ("https://a.b/big", bytearray(b"x" * 50), "text/plain"), ("https://a.b/bin", bytearray(b"\x00"), "image/png"),
+         ("https://a.b/empty", bytearray(b""), "text/plain")],
+        schema,
+    )
+    errors = sync_urls(table, data, UrlSource("o", "i", max_size=40), now)
+    assert {(r.unit, r.message) for r in errors.collect()} == {
+        ("nope", "Invalid URL format: nope"), ("https://a.b/big", "File too large: exceeds limit of 40 bytes"),
+        ("https://a.b/bin", "No suitable content handler found"),
+    }
+    assert {r.source_uri: (r.text, r.language) for r in table.read().collect()} == {"https://a.b/x.py": ("print", "python")}
+    again = spark.createDataFrame([("https://a.b/x.py", bytearray(b"new"), "text/plain")], schema)
+    sync_urls(table, again, UrlSource("o", "i"), now)
+    assert [r.text for r in table.read().collect()] == ["new"]
+    with pytest.raises(PySparkException):
+        sync_urls(table, data, UrlSource("o", "i", mode="failfast"), now)
+    assert [r.text for r in table.read().collect()] == ["new"]
+
+
+def test_row_runs(spark):
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    now = F.lit("2024-01-01").cast("timestamp")
+    times = [dt.datetime(2024, 1, d) for d in (1, 2, 2)]
+
+    def source(key):
+        return RowSource(
+            "o", "i", "select * from run_rows", "select * from run_rows where ts > $LAST_INDEXING_TIMESTAMP", key, "ts"
+        )
+
+    spark.createDataFrame([(1, t) for t in times], "id int, ts timestamp").createOrReplaceTempView("run_rows")
+    mark = sync_rows(spark, table, source(None), None, now, "r1")
+    assert mark == times[1] and table.read().count() == 3  # equal rows are all kept
+    assert sync_rows(spark, table, source(None), mark, now, "r2") == mark and table.read().count() == 3
+    spark.createDataFrame([(1, dt.datetime(2024, 1, 5)), (2, dt.datetime(2024, 1, 4))], "id int, ts timestamp").createOrReplaceTempView("run_rows")
+    mark = sync_rows(spark, table, source("id"), mark, now, "r3")
+    assert mark == dt.datetime(2024, 1, 5) and table.read().count() == 5
+    sync_rows(spark, table, source("id"), None, now, "r4")
+    assert table.read().count() == 5

@@ -163,3 +163,19 @@ def test_times(spark):
     assert one(spark, iso_utc(F.lit("2024-01-02 03:04:05.5").cast("timestamp"))) == "2024-01-02T03:04:05.500000Z"
     assert one(spark, iso_utc(parse_rfc3339(F.lit("2024-01-02T05:04:05+02:00")))) == "2024-01-02T03:04:05.000000Z"
     assert one(spark, parse_rfc3339(F.lit("soon"))) is None
+
+
+@pytest.mark.parametrize(
+    "content, charset, text",
+    [
+        ("日本".encode("shift_jis"), "Shift_JIS", "日本"),
+        ("ab€".encode("utf-16"), "utf-16", "ab€"),
+        ("é".encode(), "no-such-charset", "é"),
+        (b"\xd8\x00", "utf-16-be", "Ø\x00"),
+        ("é".encode("latin1"), "latin1", "é"),
+        ("п".encode("koi8-r"), "koi8-r", "п"),
+    ],
+)
+def test_any_charset(spark, content, charset, text):
+    df = spark.createDataFrame([(bytearray(content), f"text/plain; charset={charset}")], "c binary, t string")
+    assert df.select(decode(F.col("c"), F.col("t"), any_charset=True).alias("v")).first().v == text
