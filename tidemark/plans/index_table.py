@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import list_documents
+from ..operators.changes import list_documents, list_indexes
 from ..schema import DOCUMENT
 
 _STORED = T.StructType(
@@ -57,20 +57,24 @@ class IndexTable:
         """All finished commits; a few rows per run."""
         return self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
 
-    def _live(self) -> tuple[str | None, list[str], dict[tuple[str, str | None], int]]:
+    def _live(self) -> tuple[str | None, list[str], DataFrame | None]:
         """The newest full copy, the changes after it, and what was dropped after it.
 
-        Drops are keyed by index and owner; without an owner the whole index went.
+        The list of changes has one id per run since the last full copy. Drops stay a frame,
+        ``(index_name, owner, dropped_at)``; without an owner the whole index went.
         """
-        base, changes, drops = None, [], {}
-        for row in self.commits().orderBy("commit_no").collect():
-            if row.kind == "full":
-                base, changes, drops = row.commit_id, [], {}
-            if row.kind in ("drop", "replace"):
-                drops[row.index_name, row.owner] = row.commit_no
-            if row.kind in ("change", "replace"):
-                changes.append(row.commit_id)
-        return base, changes, drops
+        done = self.commits()
+        base = done.where("kind = 'full'").orderBy(F.desc("commit_no")).limit(1).collect()
+        later = done.where(F.col("commit_no") > (base[0].commit_no if base else 0))
+        drops = later.where("kind IN ('drop', 'replace')")
+        some_drop = later.where("kind = 'drop'").limit(1)
+        rows = later.where("kind IN ('change', 'replace')").unionByName(some_drop).collect()
+        dropped = drops.groupBy("index_name", "owner").agg(F.max("commit_no").alias("dropped_at"))
+        return (
+            base[0].commit_id if base else None,
+            [r.commit_id for r in rows if r.kind != "drop"],
+            dropped if any(r.kind != "change" for r in rows) else None,
+        )
 
     def _row(self, number: int, commit_id: str, kind: str, about: dict) -> DataFrame:
         values = {"commit_no": number, "commit_id": commit_id, "kind": kind, **about}
@@ -87,35 +91,45 @@ class IndexTable:
 
     # ---- reading ----
 
+    def _rows(self, commit_ids: list[str], dropped: DataFrame | None) -> DataFrame:
+        """The rows of some commits; only their folders are listed."""
+        home = f"{self.root}/documents"
+        paths = [f"{home}/commit_id={c}" for c in commit_ids]
+        rows = self.spark.read.schema(_STORED).option("basePath", home).parquet(*paths)
+        if dropped is None:
+            return rows
+        gone = dropped.select(
+            F.col("index_name").alias("_index"), F.col("owner").alias("_owner"), "dropped_at"
+        )
+        hit = (
+            (F.col("index_name") == F.col("_index"))
+            & (F.col("_owner").isNull() | (F.col("owner") == F.col("_owner")))
+            & (F.col("commit_no") < F.col("dropped_at"))
+        )
+        return rows.join(gone, hit, "left_anti")
+
     def read(self) -> DataFrame:
         """All documents as of the last commit.
 
         With no changes since the last full copy this is a plain scan. Otherwise the changed ids
         are taken out of the full copy: few ids are broadcast and the copy is not shuffled.
         """
-        base, changes, drops = self._live()
+        base, changes, dropped = self._live()
         if base is None and not changes:
             return self.spark.createDataFrame([], DOCUMENT)
-        stored = self.spark.read.schema(_STORED).parquet(f"{self.root}/documents")
-        for (name, owner), at in drops.items():
-            other = F.col("index_name") != name
-            if owner is not None:
-                other = other | (F.col("owner") != owner)
-            stored = stored.where(other | (F.col("commit_no") >= at))
-        full = stored.where(F.col("commit_id") == base)
+        full = self._rows([base], dropped) if base else None
         if not changes:
             return full.select(*_COLUMNS)
-        changed = stored.where(F.col("commit_id").isin(changes))
+        changed = self._rows(changes, dropped)
         newest = changed.groupBy("doc_id").agg(F.max("commit_no").alias("commit_no"))
         puts = changed.where(~F.col("removed")).join(newest, ["doc_id", "commit_no"], "left_semi")
-        if base is None:
+        if full is None:
             return puts.select(*_COLUMNS)
         kept = full.join(newest.select("doc_id"), "doc_id", "left_anti")
         return kept.select(*_COLUMNS).unionByName(puts.select(*_COLUMNS))
 
-    def list_indexes(self) -> list[str]:
-        rows = self.read().select("index_name").distinct().orderBy("index_name").collect()
-        return [r.index_name for r in rows]
+    def list_indexes(self) -> DataFrame:
+        return list_indexes(self.read())
 
     def list_documents(self, index_name: str, metadata_filter=None, limit: int = 10, offset: int = 0, after=None):
         """One page of documents; see ``operators.changes.list_documents``."""
@@ -124,16 +138,13 @@ class IndexTable:
     # ---- writing ----
 
     def _write(self, documents: DataFrame, number: int) -> str:
+        """Write rows under a new commit id; even files, so a big index is split over many."""
         commit_id = uuid.uuid4().hex
-        rows = documents.withColumns(
-            {"commit_no": F.lit(number).cast("long"), "commit_id": F.lit(commit_id)}
-        )
-        # even files: a big index is split over many, small ones share
         (
-            rows.hint("rebalance", "index_name")
-            .write.mode("append")
-            .partitionBy("commit_id", "index_name")
-            .parquet(f"{self.root}/documents")
+            documents.withColumn("commit_no", F.lit(number).cast("long"))
+            .hint("rebalance", "index_name")
+            .write.partitionBy("index_name")
+            .parquet(f"{self.root}/documents/commit_id={commit_id}")
         )
         return commit_id
 
