@@ -246,3 +246,22 @@ def test_delete_guard(spark):
     registry = spark.createDataFrame([("ns_a",), ("ns_b",), ("ns_c",)], "owner string")
     runs = spark.createDataFrame([("ns_a", 1), ("ns_a", 0), ("ns_b", 0), ("other_c", 1)], "owner string, active int")
     assert {r.owner for r in droppable(registry, runs).collect()} == {"ns_b", "ns_c"}
+
+
+@pytest.mark.parametrize(
+    "name, schedule, codes",
+    [
+        ("ab", "@daily", set()),
+        ("a", None, {"index_name:schema"}),
+        ("a-b", "*/5 * * * *", set()),
+        ("a-b", "0 0 1,15 * 1-5", set()),
+        ("a-b", "@every 1h30m", set()),
+        ("a-b", "* * *", {"schedule:schema"}),
+        ("a-b", "@sometimes", {"schedule:schema"}),
+        ("A-", "", {"index_name:schema", "schedule:schema", "index_name:invalid"}),
+    ],
+)
+def test_strict_shapes(spark, name, schedule, codes):
+    row = {**dict.fromkeys([c.split()[0] for c in SPEC.split(", ")]), **GOOD, "index_name": name, "schedule": schedule}
+    found = {r.code for r in check_specs(spark.createDataFrame([tuple(row.values())], SPEC), strict=True).collect()}
+    assert found - {"schedule:invalid"} == codes

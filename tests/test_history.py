@@ -102,11 +102,12 @@ def test_closing_events(spark):
 CONDITIONS = "owner string, type string, status boolean, ts timestamp, event_id long"
 
 
-@pytest.mark.parametrize("chunk", [60, 600, 86400])
+@pytest.mark.parametrize("chunk", [60, 600, 86400, None])
 def test_transitions_by_brute_force(spark, chunk):
     rng = random.Random(chunk)
     events = [
-        (rng.choice("xxxy"), rng.choice("tu"), rng.random() < 0.5, at(rng.randrange(200)), i) for i in range(400)
+        (rng.choice("xxxy"), rng.choice("tu"), rng.choice([True, False, False, None]), at(rng.randrange(200)), i)
+        for i in range(400)
     ]
     want, state = {}, {}
     for o, t, s, ts, i in sorted(events, key=lambda e: (e[3], e[4])):
@@ -140,10 +141,13 @@ def test_a_hot_condition_is_windowed_in_chunks(spark):
         F.lit("x").alias("owner"), F.lit("t").alias("type"), (F.col("id") % 2 == 0).alias("status"),
         F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"),
     )
-    plan = condition_history(df)._jdf.queryExecution().optimizedPlan().toString()
-    for line in plan.splitlines():
-        if "Window [" in line and ("event_id" in line.split("], [")[-1]):
-            assert "_chunk" in line
+    for chunked in (condition_history(df, rows_per_task=10), condition_history(df, chunk_seconds=7)):
+        assert chunked.count() == 100
+        plan = chunked._jdf.queryExecution().optimizedPlan().toString()
+        by_rows = [line for line in plan.splitlines() if "Window [" in line and "ts#" in line.split("], [")[-1]]
+        assert by_rows and all("_chunk" in line for line in by_rows)
+    plain = condition_history(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_chunk" not in plain and "Join" not in plain
 
 
 def test_closing_a_run(spark):

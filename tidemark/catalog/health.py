@@ -197,6 +197,17 @@ def spec_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_specs(_specs(spark, sf_dir))
 
 
+@query(f"""
+WITH {REGISTRY_SQL}
+SELECT name, 'index_name:schema' AS code FROM registry WHERE index_name NOT LIKE 'idx-%'
+UNION ALL SELECT name, 'schedule:schema' FROM registry WHERE schedule = '* *'
+""")
+def spec_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stricter shapes of names and schedules."""
+    found = check_specs(_specs(spark, sf_dir), strict=True).where(F.col("code").endswith(":schema"))
+    return found.select("name", "code")
+
+
 @query(f"""
 WITH {REGISTRY_SQL}
 SELECT name, engine FROM registry WHERE engine NOT IN (SELECT 'eng' || r_regionkey FROM region)

@@ -12,6 +12,17 @@ from ..schema import SOURCE_TYPES, STRATEGIES
 
 INDEX_NAME = r"\A[a-z0-9]([a-z0-9\-]*[a-z0-9])?\z"
 
+STRICT_INDEX_NAME = r"\A[a-z0-9][a-z0-9\-]*[a-z0-9]\z"
+
+# nicknames, intervals, or five to seven cron fields at the end of the text
+SCHEDULE = (
+    r"\A(@(annually|yearly|monthly|weekly|daily|hourly|reboot))"
+    r"|(@every (\d+(ns|us|µs|ms|s|m|h))+)"
+    r"|((((\d+,)+\d+|(\d+(/|-)\d+)|\d+|\*) ?){5,7})\z"
+)
+
+CLOUDS = ("Azure",)
+
 UUID = r"\A[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z"
 
 PATTERN_SHAPES = (
@@ -103,13 +114,13 @@ def _credential_rules() -> list[tuple[str, Column]]:
     service_account, scope``; a null type means the spec has no credentials."""
     kind = F.col("credential_type")
     secret, identity = kind == "SecretRef", kind == "WorkloadIdentity"
-    known_cloud = identity & (F.col("cloud") == "Azure")
+    known_cloud = identity & F.col("cloud").isin(*CLOUDS)
     rules = [
         ("credentials:missing", kind == ""),
         ("credentials:invalid", (kind != "") & ~kind.isin("SecretRef", "WorkloadIdentity")),
         ("secret_ref:missing", secret & (_unset("secret_name") | _unset("secret_key"))),
         ("cloud:missing", identity & _unset("cloud")),
-        ("cloud:invalid", identity & ~_unset("cloud") & (F.col("cloud") != "Azure")),
+        ("cloud:invalid", identity & ~_unset("cloud") & ~F.col("cloud").isin(*CLOUDS)),
     ]
     for name in ("client_id", "tenant_id", "service_account", "scope"):
         rules.append((f"{name}:missing", known_cloud & _unset(name)))
@@ -118,9 +129,18 @@ def _credential_rules() -> list[tuple[str, Column]]:
     return [(code, F.coalesce(broken, F.lit(False))) for code, broken in rules]
 
 
-def check_specs(registry: DataFrame) -> DataFrame:
+def schema_rules() -> list[tuple[str, Column]]:
+    """The stricter rules a registry may enforce when a spec is stored: name and schedule shapes."""
+    return [
+        ("index_name:schema", ~F.coalesce("index_name", F.lit("")).rlike(STRICT_INDEX_NAME)),
+        ("schedule:schema", F.col("schedule").isNotNull() & ~F.col("schedule").rlike(SCHEDULE)),
+    ]
+
+
+def check_specs(registry: DataFrame, strict: bool = False) -> DataFrame:
     """``(namespace, name, code)``: one row per broken rule, all rules of a row in one pass."""
-    findings = F.array(*[F.when(broken, F.lit(code)) for code, broken in spec_rules(registry.columns)])
+    rules = spec_rules(registry.columns) + (schema_rules() if strict else [])
+    findings = F.array(*[F.when(broken, F.lit(code)) for code, broken in rules])
     return registry.select(
         "namespace", "name", F.explode(F.filter(findings, lambda c: c.isNotNull())).alias("code")
     )

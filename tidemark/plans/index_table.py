@@ -64,17 +64,16 @@ class IndexTable:
         ``(index_name, owner, dropped_at)``; without an owner the whole index went.
         """
         done = self.commits()
-        base = done.where("kind = 'full'").orderBy(F.desc("commit_no")).limit(1).collect()
-        later = done.where(F.col("commit_no") > (base[0].commit_no if base else 0))
-        drops = later.where("kind IN ('drop', 'replace')")
-        some_drop = later.where("kind = 'drop'").limit(1)
-        rows = later.where("kind IN ('change', 'replace')").unionByName(some_drop).collect()
+        newest_full = done.where("kind = 'full'").agg(F.coalesce(F.max("commit_no"), F.lit(0)))
+        since = done.where(F.col("commit_no") >= newest_full.scalar())
+        drops = since.where("kind IN ('drop', 'replace')")
+        # one row stands for all drops: there may be many, and they are joined, not collected
+        rows = since.where("kind <> 'drop'").unionByName(since.where("kind = 'drop'").limit(1)).collect()
+        base = [r.commit_id for r in rows if r.kind == "full"]
+        changes = [r.commit_id for r in rows if r.kind in ("change", "replace")]
         dropped = drops.groupBy("index_name", "owner").agg(F.max("commit_no").alias("dropped_at"))
-        return (
-            base[0].commit_id if base else None,
-            [r.commit_id for r in rows if r.kind != "drop"],
-            dropped if any(r.kind != "change" for r in rows) else None,
-        )
+        any_drop = any(r.kind in ("drop", "replace") for r in rows)
+        return (base[0] if base else None), changes, (dropped if any_drop else None)
 
     def _row(self, number: int, commit_id: str, kind: str, about: dict) -> DataFrame:
         values = {"commit_no": number, "commit_id": commit_id, "kind": kind, **about}
