@@ -154,6 +154,8 @@ def test_listing(spark):
     assert count_documents(index, "i", {"change_type": "added"}) == 1
     assert count_documents(index, "other") == 0
     assert count_documents(index, metadata_filter={"no_such_key": "x"}) == 0
+    assert count_documents(index, "i", {"file_path": "z"}) == 1
+    assert count_documents(index, "i", {"source_url": "z"}) == 0
     assert delete_documents(index, index.where("source_uri = 'z'")).count() == 25
 
 

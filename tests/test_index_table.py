@@ -148,3 +148,23 @@ def test_replace_takes_only_the_owners_documents(spark, index):
     assert texts(index) == {"b": "two", "d": "4"}
     index.apply(upserts=docs(spark, {"z": "9"}), replaces=("i", "someone else"))
     assert texts(index) == {"b": "two", "d": "4", "z": "9"}
+
+
+def test_a_copy_under_another_name_leaves_the_original_alone(spark, index):
+    index.index_documents(docs(spark, {"a": "1"}))
+    path = scratch_path(spark, "copy")
+    index.persist("i", path)
+    index.compact()
+    index.load("j", path)
+    assert texts(index, "i") == texts(index, "j") == {"a": "1"}
+    index.delete_documents(index.read().where("index_name = 'j'"))
+    assert texts(index, "i") == {"a": "1"} and texts(index, "j") == {}
+
+
+def test_a_filter_on_the_index_reaches_every_scan(spark, index):
+    index.index_documents(docs(spark, {"a": "1"}))
+    index.compact()
+    index.index_documents(docs(spark, {"b": "2"}, "j"))
+    plan = index.read().where("index_name = 'j'")._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert len(scans) >= 3 and all("index_name" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)

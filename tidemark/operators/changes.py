@@ -10,16 +10,20 @@ from pyspark.sql import functions as F
 from .documents import document_id
 
 
+_ID = ["index_name", "doc_id"]
+_URI = ["index_name", "owner", "source_uri"]
+
+
 def first_match(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(owner, source_uri, doc_id)`` for wanted keys, one id per key.
+    """``(index_name, owner, source_uri, doc_id)`` for wanted keys, one id per key.
 
     The wanted keys reduce the index before anything is grouped: when they are few, Spark broadcasts
     them and the index is not shuffled at all. The smallest id wins where copies exist.
     """
     return (
-        index.select("owner", "source_uri", "doc_id")
-        .join(wanted.select("owner", "source_uri").distinct(), ["owner", "source_uri"], "left_semi")
-        .groupBy("owner", "source_uri")
+        index.select(*_URI, "doc_id")
+        .join(wanted.select(*_URI), _URI, "left_semi")
+        .groupBy(*_URI)
         .agg(F.min("doc_id").alias("doc_id"))
     )
 
@@ -45,7 +49,7 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame) -> DataFrame:
         F.when(F.col("change_type") == "R", F.lit("renamed")).otherwise(F.lit("modified")),
     ).when(F.col("action") == "create", F.lit("added"))
     return (
-        keyed.join(found, ["owner", "source_uri"], "left")
+        keyed.join(found, _URI, "left")
         .withColumn("action", action)
         .where(F.col("action").isNotNull())
         .withColumn("change_label", label)
@@ -82,8 +86,8 @@ def apply_changes(index: DataFrame, upserts: DataFrame, deletes: DataFrame) -> D
     Applying the same changes again gives the same index. The upserts are used twice: pass
     written ones (see ``session.cut``) when they are costly to compute.
     """
-    touched = upserts.select("doc_id").unionByName(deletes.select("doc_id"))
-    return index.join(touched, "doc_id", "left_anti").unionByName(upserts)
+    touched = upserts.select(*_ID).unionByName(deletes.select(*_ID))
+    return index.join(touched, _ID, "left_anti").unionByName(upserts)
 
 
 def append_documents(index: DataFrame, documents: DataFrame) -> DataFrame:
@@ -91,25 +95,21 @@ def append_documents(index: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def delete_documents(index: DataFrame, ids: DataFrame) -> DataFrame:
-    return index.join(ids.select("doc_id"), "doc_id", "left_anti")
+    return index.join(ids.select(*_ID), _ID, "left_anti")
 
 
-# metadata keys that have a column of their own
-_PROMOTED = {
-    "owner": "owner",
-    "source_type": "source_type",
-    "file_path": "source_uri",
-    "source_url": "source_uri",
-    "change_type": "change_type",
-    "language": "language",
-    "split_type": "split_type",
-}
+# metadata keys that have a column of their own, and those that share one by type of source
+_PROMOTED = ("owner", "source_type", "change_type", "language", "split_type")
+_SOURCE_URI = {"file_path": "git", "source_url": "url"}
 
 
 def metadata_is(key: str, value: str) -> Column:
-    """Equality on a metadata key, on the column that Parquet can filter where there is one."""
-    test = F.col("metadata")[key] == value
-    return (F.col(_PROMOTED[key]) == value) & test if key in _PROMOTED else test
+    """Equality on a metadata key, on columns that Parquet can filter where there are some."""
+    if key in _PROMOTED:
+        return F.col(key) == value
+    if key in _SOURCE_URI:
+        return (F.col("source_uri") == value) & (F.col("source_type") == _SOURCE_URI[key])
+    return F.col("metadata")[key] == value
 
 
 def list_documents(

@@ -42,6 +42,7 @@ _COMMITS = T.StructType(
     ]
 )
 _COLUMNS = [f.name for f in DOCUMENT.fields]
+_ID = ["index_name", "doc_id"]
 
 
 class IndexTable:
@@ -120,11 +121,12 @@ class IndexTable:
         if not changes:
             return full.select(*_COLUMNS)
         changed = self._rows(changes, dropped)
-        newest = changed.groupBy("doc_id").agg(F.max("commit_no").alias("commit_no"))
-        puts = changed.where(~F.col("removed")).join(newest, ["doc_id", "commit_no"], "left_semi")
+        # an id belongs to an index; with the index in the keys, a filter on it reaches every scan
+        newest = changed.groupBy(*_ID).agg(F.max("commit_no").alias("commit_no"))
+        puts = changed.where(~F.col("removed")).join(newest, [*_ID, "commit_no"], "left_semi")
         if full is None:
             return puts.select(*_COLUMNS)
-        kept = full.join(newest.select("doc_id"), "doc_id", "left_anti")
+        kept = full.join(newest.select(*_ID), _ID, "left_anti")
         return kept.select(*_COLUMNS).unionByName(puts.select(*_COLUMNS))
 
     def list_indexes(self) -> DataFrame:

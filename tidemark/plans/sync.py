@@ -120,7 +120,8 @@ class UrlSource:
 def sync_urls(table: IndexTable, captures: DataFrame, source: UrlSource, run_ts: Column) -> DataFrame:
     """Put captured URLs ``(url, content, content_type)`` into an index; a URL keeps its document.
 
-    Returns the error rows ``(owner, unit, message)``. In ``failfast`` mode the first bad capture ends
+    Returns the error rows ``(owner, unit, message)``; they are computed when they are used, from the
+    captures. In ``failfast`` mode the first bad capture ends
     the run and nothing is written.
     """
     landed = captures.withColumn(
