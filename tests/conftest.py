@@ -12,8 +12,8 @@ from tidemark.session import local_session, shared_dir  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", "4")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session("tests")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     shared_dir(session)
     yield session
     session.stop()
