@@ -53,7 +53,9 @@ def test_puts_updates_and_removals(spark, index):
     index.update_documents(docs(spark, {"b": "two"}))
     index.delete_documents(ids(index.read(), "c"))
     assert texts(index) == {"a": "1", "b": "two"}
+    assert index.obsolete_commits().count() == 0
     index.compact()
+    assert index.obsolete_commits().count() == 3
     assert texts(index) == {"a": "1", "b": "two"}
     index.apply(upserts=docs(spark, {"c": "again", "d": "4"}), deletes=ids(index.read(), "a"))
     assert texts(index) == {"b": "two", "c": "again", "d": "4"}

@@ -131,6 +131,18 @@ def captures(spark, versions):
     return spark.createDataFrame(data, "version string, path string, content binary")
 
 
+def test_documents_reach_the_client_with_their_metadata(spark):
+    now = F.lit("2024-01-01").cast("timestamp")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string")
+
+    def send(batch):
+        for row in batch:
+            assert dict(row["metadata"])["owner"] == "o" and row["text"] in "ab" and row["language"] is None, row
+
+    documents = row_documents(rows, key="id", index_name="i", owner="o", run_ts=now)
+    assert {r.error for r in send_batches(documents, send, 10).collect()} == {None}
+
+
 SOURCE = FileSource("ns_docs", "i", "repo", exclude=("secret/",))
 V1 = {"a.py": b"print(1)", "b.md": b"two", "c.txt": b"three", "secret/x": b"s", "bin.exe": b"MZ", "m.txt": b"move me"}
 V2 = {"a.py": b"print(2)", "c.txt": b"three", "d.md": b"d\xe9", "new/m.txt": b"move me", "e.dat": b"\x00\x01", "secret/b.md": b"two"}

@@ -40,60 +40,83 @@ CONTENT_TYPES = {
 
 DEFAULT_CONTENT_TYPE = "text/plain"
 
-LANGUAGE_EXTENSIONS = {
-    "bash": ".sh .bash",
-    "c": ".c .h",
-    "c_sharp": ".cs",
-    "commonlisp": ".lisp .lsp",
-    "cpp": ".cpp .cc .cxx .hpp",
-    "css": ".css",
-    "dockerfile": ".dockerfile Dockerfile",
-    "dot": ".dot",
-    "elisp": ".el",
-    "elixir": ".ex .exs",
-    "elm": ".elm",
-    "embedded_template": ".ejs",
-    "erlang": ".erl .hrl",
-    "fixed_form_fortran": ".f .for",
-    "fortran": ".f90 .f95",
-    "go": ".go",
-    "gomod": ".mod go.mod",
-    "hack": ".hack",
-    "haskell": ".hs",
-    "hcl": ".hcl .tf",
-    "html": ".html .htm",
-    "java": ".java",
-    "javascript": ".js .jsx",
-    "jsdoc": ".jsdoc",
-    "json": ".json",
-    "julia": ".jl",
-    "kotlin": ".kt .kts",
-    "lua": ".lua",
-    "make": ".mk Makefile",
-    "markdown": ".md",
-    "objc": ".m .mm",
-    "ocaml": ".ml .mli",
-    "perl": ".pl .pm",
-    "php": ".php",
-    "python": ".py",
-    "ql": ".ql",
-    "r": ".r",
-    "regex": ".regex",
-    "rst": ".rst",
-    "ruby": ".rb",
-    "rust": ".rs",
-    "scala": ".scala .sc",
-    "sql": ".sql",
-    "sqlite": ".sqlite .db",
-    "toml": ".toml",
-    "tsq": ".tsq",
-    "typescript": ".ts .tsx",
-    "yaml": ".yaml .yml",
+LANGUAGES = {
+    ".sh": "bash",
+    ".bash": "bash",
+    ".c": "c",
+    ".h": "c",
+    ".cs": "c_sharp",
+    ".lisp": "commonlisp",
+    ".lsp": "commonlisp",
+    ".cpp": "cpp",
+    ".cc": "cpp",
+    ".cxx": "cpp",
+    ".hpp": "cpp",
+    ".css": "css",
+    ".dockerfile": "dockerfile",
+    "Dockerfile": "dockerfile",
+    ".dot": "dot",
+    ".el": "elisp",
+    ".ex": "elixir",
+    ".exs": "elixir",
+    ".elm": "elm",
+    ".ejs": "embedded_template",
+    ".erl": "erlang",
+    ".hrl": "erlang",
+    ".f": "fixed_form_fortran",
+    ".for": "fixed_form_fortran",
+    ".f90": "fortran",
+    ".f95": "fortran",
+    ".go": "go",
+    ".mod": "gomod",
+    "go.mod": "gomod",
+    ".hack": "hack",
+    ".hs": "haskell",
+    ".hcl": "hcl",
+    ".tf": "hcl",
+    ".html": "html",
+    ".htm": "html",
+    ".java": "java",
+    ".js": "javascript",
+    ".jsx": "javascript",
+    ".jsdoc": "jsdoc",
+    ".json": "json",
+    ".jl": "julia",
+    ".kt": "kotlin",
+    ".kts": "kotlin",
+    ".lua": "lua",
+    ".mk": "make",
+    "Makefile": "make",
+    ".md": "markdown",
+    ".m": "objc",
+    ".mm": "objc",
+    ".ml": "ocaml",
+    ".mli": "ocaml",
+    ".pl": "perl",
+    ".pm": "perl",
+    ".php": "php",
+    ".py": "python",
+    ".ql": "ql",
+    ".r": "r",
+    ".regex": "regex",
+    ".rst": "rst",
+    ".rb": "ruby",
+    ".rs": "rust",
+    ".scala": "scala",
+    ".sc": "scala",
+    ".sql": "sql",
+    ".sqlite": "sqlite",
+    ".db": "sqlite",
+    ".toml": "toml",
+    ".tsq": "tsq",
+    ".ts": "typescript",
+    ".tsx": "typescript",
+    ".yaml": "yaml",
+    ".yml": "yaml",
 }
 
 # ---- end of fixed values ----
 
-LANGUAGES = {key: lang for lang, keys in LANGUAGE_EXTENSIONS.items() for key in keys.split()}
 NAMED_FILES = tuple(key for key in LANGUAGES if not key.startswith("."))
 
 

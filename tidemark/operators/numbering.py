@@ -17,11 +17,17 @@ from pyspark.sql.window import Window
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], by: str, out: str = "position", digits: int = 3
+    df: DataFrame,
+    keys: Sequence[str],
+    by: str,
+    out: str = "position",
+    total: str | None = None,
+    digits: int = 3,
 ) -> DataFrame:
     """Add the 1-based position of each row among the rows that share its keys.
 
-    ``by`` must be unique within the keys. A group has at most ``16 ** digits`` slices.
+    ``by`` must be unique within the keys. A group has at most ``16 ** digits`` slices. With
+    ``total`` the number of rows of the group is added under that name.
     """
     # nulls form a group of their own, and equal names on both sides keep it to one shuffle
     groups = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for i, k in enumerate(keys)}
@@ -34,14 +40,19 @@ def number_rows(
     offsets = (
         sliced.groupBy(*groups, "_slice")
         .agg(F.count("*").alias("_size"))
-        .select(*groups, "_slice", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+        .select(
+            *groups,
+            "_slice",
+            F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_size").over(Window.partitionBy(*groups)).alias("_total"),
+        )
     )
     inside = Window.partitionBy(*groups, "_slice").orderBy("_order", by)
     return (
         sliced.withColumn("_inside", F.row_number().over(inside))
         .join(offsets, [*groups, "_slice"])
         .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .select(*df.columns, out)
+        .select(*df.columns, out, *([F.col("_total").alias(total)] if total else []))
     )
 
 
@@ -56,5 +67,4 @@ def batch_numbers(df: DataFrame, key: str, by: str, size: int, out: str = "batch
 
 def progress(df: DataFrame, key: str, by: str) -> DataFrame:
     """Add ``done`` (k) and ``total`` (N) for "k of N processed" lines."""
-    totals = df.groupBy(key).agg(F.count("*").alias("total"))
-    return number_rows(df, [key], by, out="done").join(totals, key)
+    return number_rows(df, [key], by, out="done", total="total")

@@ -223,6 +223,15 @@ class IndexTable:
         commit_id = self._write(self._stored(self.read()), number)
         self._commit("full", number, commit_id)
 
+    def obsolete_commits(self) -> DataFrame:
+        """Commits that reading no longer touches; their folders may be deleted by whoever keeps
+        house, once no job reads an older state."""
+        done = self.commits()
+        newest_full = done.where("kind = 'full'").agg(F.coalesce(F.max("commit_no"), F.lit(0)))
+        return done.where((F.col("commit_no") < newest_full.scalar()) & (F.col("kind") != "drop")).select(
+            "commit_no", "commit_id"
+        )
+
     # ---- copies ----
 
     def persist(self, index_name: str, path: str) -> None:
