@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidemark.operators.documents import empty_index, row_documents
+from tidemark.operators.documents import empty_index, owner_key, row_documents
 from tidemark.operators.sinks import send_batches
 from tidemark.plans.index_table import IndexTable
 from tidemark.plans.sync import FileSource, RowSource, UrlSource, sync_files, sync_rows, sync_urls
@@ -197,6 +197,11 @@ def test_failfast_run_writes_nothing(spark):
     assert table.read().count() == 0
 
 
+def test_owner_key(spark):
+    row = spark.range(1).select(owner_key(F.lit("team"), F.lit("docs")).alias("v")).first()
+    assert row.v == "team_docs"
+
+
 def test_keyed_rows_upsert(spark):
     table = IndexTable(spark, scratch_path(spark, "index"))
     now = F.lit("2024-01-01").cast("timestamp")

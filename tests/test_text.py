@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.lineage import all_clusters, cluster_url, database_of, first_cluster
-from tidemark.functions.records import grid_text, json_map, preview, rows_to_text
+from tidemark.functions.records import grid_text, json_map, json_of, merge_maps, preview, rows_to_text
 from tidemark.functions.text import (
     charset_of,
     decode,
@@ -159,6 +159,16 @@ def test_json_map(spark):
     assert one(spark, json_map(F.lit("{broken"))) is None
 
 
+def test_merge_maps(spark):
+    df = spark.createDataFrame(
+        [({"a": "1", "b": "2"}, {"b": "9", "c": None}), (None, {"x": "1"}), ({"y": "1"}, None), (None, None)],
+        "old map<string,string>, new map<string,string>",
+    )
+    got = [r.m for r in df.select(merge_maps(F.col("old"), F.col("new")).alias("m")).collect()]
+    assert got == [{"a": "1", "b": "9", "c": None}, {"x": "1"}, {"y": "1"}, {}]
+    assert one(spark, json_of(F.create_map(F.lit("owner"), F.lit('a"b')))) == '{"owner":"a\\"b"}'
+
+
 def test_times(spark):
     assert one(spark, iso_utc(F.lit("2024-01-02 03:04:05.5").cast("timestamp"))) == "2024-01-02T03:04:05.500000Z"
     assert one(spark, iso_utc(parse_rfc3339(F.lit("2024-01-02T05:04:05+02:00")))) == "2024-01-02T03:04:05.000000Z"

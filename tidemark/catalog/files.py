@@ -104,18 +104,19 @@ def file_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress(new_tree(spark, sf_dir).select("source", "path"), "source", "path")
 
 
-def _deliver(rows: list[dict]) -> None:
-    """Stands for a client of an outside service that takes at most fifty rows."""
-    if len(rows) > BATCH_SIZES["database"]:
-        raise ValueError("too many rows in one call")
-
-
 @query("""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_failed FROM documents
 """)
 def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = BATCH_SIZES["database"]
+
+    def deliver(batch: list[dict]) -> None:
+        """Stands for a client of an outside service that takes at most fifty rows."""
+        if len(batch) > size:
+            raise ValueError("too many rows in one call")
+
     rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sent = send_batches(rows, _deliver, BATCH_SIZES["database"])
+    sent = send_batches(rows, deliver, size)
     return sent.agg(
         F.sum("n_rows").alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_failed")
     )

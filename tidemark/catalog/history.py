@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_utc
-from ..operators.conditions import condition_history, latest_conditions, merge_status
-from ..operators.runs import completion_events, retain_runs, run_totals as total_runs
+from ..operators.conditions import condition_history, latest_conditions, latest_rows, merge_status
+from ..operators.runs import completion_events, outcome, retain_runs
+from ..operators.runs import run_totals as total_runs
 from ..operators.runs import error_summary as summarize_errors
 from ..operators.runs import registry_runs
 from ..operators.status import close_runs, runnable
@@ -207,6 +208,17 @@ def run_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions_of(_closed(spark, sf_dir)).drop("ts")
 
 
+@query(f"""
+WITH {RUNS_SQL}
+SELECT owner, run_id, outcome FROM runs r
+WHERE run_id = (SELECT max(x.run_id) FROM runs x WHERE x.owner = r.owner)
+""")
+def latest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest run of every owner: appended run rows read as current status."""
+    newest = latest_rows(runs(spark, sf_dir).withColumn("outcome", outcome()), ["owner"], "start_time", "run_id")
+    return newest.select("owner", "run_id", "outcome")
+
+
 STILL_ACTIVE = "CASE WHEN event_type = 'signup' AND user_id % 40 < 5 THEN 1 ELSE 0 END"
 
 

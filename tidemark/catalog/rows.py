@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import all_clusters, cluster_url, database_of, first_cluster
-from ..functions.records import json_map, json_of, preview, rows_to_text
+from ..functions.records import json_map, json_of, merge_maps, preview, rows_to_text
 from ..operators.documents import position_key
 from ..operators.documents import row_documents as build_row_documents
 from ..session import cut
@@ -117,6 +117,27 @@ def query_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'old' END AS priority,
+  'kept' AS note, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS status,
+  CAST(CASE WHEN o_orderkey % 2 = 0 THEN 3 ELSE 2 END AS BIGINT) AS n_keys
+FROM orders
+""")
+def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status as an open map: the update wins key by key, what it lacks stays."""
+    maps = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey",
+        "map('priority', 'old', 'note', 'kept') AS old",
+        "CASE WHEN o_orderkey % 2 = 0 THEN map('priority', o_orderpriority, 'status', o_orderstatus) END AS new",
+    )
+    merged = maps.withColumn("m", merge_maps(F.col("old"), F.col("new")))
+    return merged.select(
+        "o_orderkey",
+        *[F.col("m")[k].alias(k) for k in ("priority", "note", "status")],
+        F.size("m").cast("long").alias("n_keys"),
+    )
+
+
 @query("""
 SELECT doc_id,
   '{"source":' || to_json(source) || ',"lang":' || to_json(lang) || ',"head":' || to_json(text) || '}' AS json,

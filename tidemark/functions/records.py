@@ -58,3 +58,11 @@ def json_of(metadata: Column) -> Column:
 def json_map(text: Column) -> Column:
     """A JSON object of scalars as a map; null where the text is not one."""
     return F.from_json(text, "map<string,string>")
+
+
+def merge_maps(old: Column, new: Column) -> Column:
+    """Both maps in one; where a key is in both, the new value counts. Null counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    fresh = F.coalesce(new, empty)
+    kept = F.map_filter(F.coalesce(old, empty), lambda k, _: ~F.map_contains_key(fresh, k))
+    return F.map_concat(kept, fresh)

@@ -95,16 +95,20 @@ def _chunked_history(events: DataFrame, order: list[str], chunk_seconds: int) ->
     )
 
 
-def latest_conditions(events: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The newest row of each condition, by aggregation: partial results are tiny."""
-    rest = [c for c in events.columns if c not in _KEY]
+def latest_rows(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The newest row of each key, by aggregation: each task sends one row per key it saw."""
+    rest = [c for c in df.columns if c not in keys]
     return (
-        events.groupBy(*_KEY)
-        .agg(F.max_by(F.struct(*rest), F.struct(ts, tie)).alias("_row"))
-        .select(*_KEY, "_row.*")
+        df.groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+        .select(*keys, "_row.*")
     )
 
 
+def latest_conditions(events: DataFrame, ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    return latest_rows(events, _KEY, ts, tie)
+
+
 def merge_status(updates: DataFrame, fields: Sequence[str], ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Fold status updates per owner: for each field the newest value that is set wins."""
     at = F.struct(ts, tie)
