@@ -146,9 +146,12 @@ def test_replace_takes_only_the_owners_documents(spark, index):
     index.index_documents(docs(spark, {"a": "1", "b": "2"}))
     index.compact()
     index.index_documents(docs(spark, {"c": "3"}))
-    index.apply(upserts=docs(spark, {"b": "two", "d": "4"}), replaces=("i", "o"))
+    def named(*pairs):
+        return spark.createDataFrame(list(pairs), "index_name string, owner string")
+
+    index.apply(upserts=docs(spark, {"b": "two", "d": "4"}), replaces=named(("i", "o"), ("k", "o")))
     assert texts(index) == {"b": "two", "d": "4"}
-    index.apply(upserts=docs(spark, {"z": "9"}), replaces=("i", "someone else"))
+    index.apply(upserts=docs(spark, {"z": "9"}), replaces=named(("i", "someone else")))
     assert texts(index) == {"b": "two", "d": "4", "z": "9"}
 
 

@@ -11,7 +11,10 @@ from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..operators.diff import change_counts as count_changes
 from ..operators.diff import snapshot_diff as diff_trees
 from ..operators.documents import file_documents
-from ..session import cut
+from ..plans.index_table import IndexTable
+from ..plans.sync_all import path_rules, sync_all
+from ..session import cut, scratch_path
+from ..sources.trees import land_snapshot
 from .inputs import (
     INDEX_SQL,
     SCOPE,
@@ -156,3 +159,51 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("metadata").cast("long").alias("n_keys"),
     )
 
+
+
+FULL_AGAIN = "CASE WHEN source IN ('src3', 'src8') THEN NULL WHEN source = 'src5' THEN 'lost' ELSE 'v1' END"
+NO_TEXT_FILES = "path NOT LIKE '%.txt'"
+
+
+@query(f"""
+WITH {TREES_SQL}, {diff_sql(NO_TEXT_FILES, scoped=True)}
+SELECT n.owner, n.path AS source_uri, md5(n.text) AS text_hash,
+  CASE WHEN {FULL_AGAIN} IS DISTINCT FROM 'v1' OR d.change_type IS NULL THEN 'full'
+       WHEN d.change_type = 'A' THEN 'added' WHEN d.change_type = 'M' THEN 'modified' ELSE 'renamed' END AS change_type
+FROM (SELECT *, 'ns_' || source AS owner FROM new_tree WHERE {NO_TEXT_FILES}) n
+LEFT JOIN diff d ON d.b_path = n.path
+""")
+def sync_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources in one job, twice: first in full, then by changes where a checkpoint is known."""
+    landed = scratch_path(spark, "captures")
+    for version, tree in (("v1", old_tree(spark, sf_dir)), ("v2", new_tree(spark, sf_dir))):
+        files = tree.select("owner", "index_name", "path", F.col("text").cast("binary").alias("content"))
+        land_snapshot(files, landed, version)
+    captures = spark.read.parquet(landed)
+    _, exclude = path_rules(exclude=["*.txt"])
+    # a source's index here depends on its files' language, so each of its parts is a source
+    names = F.concat_ws("/", "owner", "index_name")
+    captures = captures.withColumn("owner", names).drop("index_name")
+    specs = old_tree(spark, sf_dir).groupBy("source", "owner", "index_name").agg(F.count("*").alias("n"))
+    specs = specs.select(
+        names.alias("owner"),
+        "index_name",
+        F.lit("docs").alias("repository"),
+        F.lit("main").alias("branch"),
+        F.lit("v1").alias("version"),
+        F.lit(None).cast("string").alias("checkpoint"),
+        F.lit(None).cast("string").alias("include_re"),
+        F.lit(exclude).alias("exclude_re"),
+        F.expr(FULL_AGAIN).alias("next_checkpoint"),
+    )
+    specs = cut(specs, "registry")
+    index = IndexTable(spark, scratch_path(spark, "index"))
+    sync_all(index, captures, specs.drop("next_checkpoint"), run_ts())
+    again = specs.withColumn("version", F.lit("v2")).withColumn("checkpoint", F.col("next_checkpoint"))
+    sync_all(index, captures, again.drop("next_checkpoint"), run_ts())
+    return index.read().select(
+        F.substring_index("owner", "/", 1).alias("owner"),
+        "source_uri",
+        F.md5("text").alias("text_hash"),
+        "change_type",
+    )

@@ -69,9 +69,9 @@ class IndexTable:
         since = done.where(F.col("commit_no") >= newest_full.scalar())
         drops = since.where("kind IN ('drop', 'replace')")
         # one row stands for all drops: there may be many, and they are joined, not collected
-        rows = since.where("kind <> 'drop'").unionByName(since.where("kind = 'drop'").limit(1)).collect()
+        rows = since.where("kind IN ('full', 'change')").unionByName(drops.limit(1)).collect()
         base = [r.commit_id for r in rows if r.kind == "full"]
-        changes = [r.commit_id for r in rows if r.kind in ("change", "replace")]
+        changes = [r.commit_id for r in rows if r.kind == "change"]
         dropped = drops.groupBy("index_name", "owner").agg(F.max("commit_no").alias("dropped_at"))
         any_drop = any(r.kind in ("drop", "replace") for r in rows)
         return (base[0] if base else None), changes, (dropped if any_drop else None)
@@ -82,6 +82,16 @@ class IndexTable:
             *[F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in _COMMITS.fields]
         )
 
+    def _named(self, names: DataFrame, number: int, commit_id: str, kind: str) -> DataFrame:
+        """Commit rows for a frame of ``(index_name, owner)``."""
+        values = {"commit_no": number, "commit_id": commit_id, "kind": kind}
+        return names.select("index_name", "owner").distinct().select(
+            *[
+                F.col(f.name) if f.name in names.columns else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name)
+                for f in _COMMITS.fields
+            ]
+        )
+
     def _commit(self, kind: str, number: int, commit_id: str, **about) -> None:
         self._row(number, commit_id, kind, about).write.mode("append").parquet(f"{self.root}/commits")
 
@@ -166,12 +176,12 @@ class IndexTable:
         deletes: DataFrame | None = None,
         writer: str | None = None,
         batch_id: int | None = None,
-        replaces: tuple[str, str] | None = None,
+        replaces: DataFrame | None = None,
     ) -> bool:
         """Append one commit of puts and removals; both name their index and ``doc_id``.
 
         With a writer and a batch id, a batch that was committed before is skipped. ``replaces``
-        names an index and an owner whose earlier documents this commit takes the place of.
+        lists ``(index_name, owner)`` whose earlier documents this commit takes the place of.
         """
         if writer is not None and batch_id is not None:
             seen = (F.col("writer") == writer) & (F.col("batch_id") >= batch_id)
@@ -187,11 +197,11 @@ class IndexTable:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         number = self._next()
         commit_id = self._write(rows, number)
-        about = {"writer": writer, "batch_id": batch_id}
-        if replaces is None:
-            self._commit("change", number, commit_id, **about)
-        else:
-            self._commit("replace", number, commit_id, index_name=replaces[0], owner=replaces[1], **about)
+        row = self._row(number, commit_id, "change", {"writer": writer, "batch_id": batch_id})
+        if replaces is not None:
+            row = row.unionByName(self._named(replaces, number, commit_id, "replace"))
+        # one file, so that a commit and what it replaces appear together
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
         return True
 
     def index_documents(self, documents: DataFrame) -> None:
@@ -208,14 +218,9 @@ class IndexTable:
 
     def drop_all(self, names: DataFrame) -> None:
         """Drop every index that a frame names, in one commit."""
-        values = {"commit_no": self._next(), "commit_id": uuid.uuid4().hex, "kind": "drop"}
-        rows = names.select("index_name").distinct().select(
-            *[
-                F.col(f.name) if f.name == "index_name" else F.lit(values.get(f.name)).cast(f.dataType).alias(f.name)
-                for f in _COMMITS.fields
-            ]
-        )
-        rows.write.mode("append").parquet(f"{self.root}/commits")
+        gone = names.select("index_name", F.lit(None).cast("string").alias("owner"))
+        rows = self._named(gone, self._next(), uuid.uuid4().hex, "drop")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
 
     def compact(self) -> None:
         """Write the current state as a new full copy."""
@@ -228,9 +233,8 @@ class IndexTable:
         house, once no job reads an older state."""
         done = self.commits()
         newest_full = done.where("kind = 'full'").agg(F.coalesce(F.max("commit_no"), F.lit(0)))
-        return done.where((F.col("commit_no") < newest_full.scalar()) & (F.col("kind") != "drop")).select(
-            "commit_no", "commit_id"
-        )
+        older = F.col("commit_no") < newest_full.scalar()
+        return done.where(older & F.col("kind").isin("full", "change")).select("commit_no", "commit_id")
 
     # ---- copies ----
 

@@ -96,7 +96,10 @@ def sync_files(
                 "doc_id",
                 F.lit("create").alias("action"),
             )
-        table.apply(upserts=documents, replaces=(source.index_name, source.owner))
+        mine = new.sparkSession.range(1).select(
+            F.lit(source.index_name).alias("index_name"), F.lit(source.owner).alias("owner")
+        )
+        table.apply(upserts=documents, replaces=mine)
         return None
     old = read_snapshot(captures, checkpoint)
     resolved = plan_changes(old, new, table.read(), source)
