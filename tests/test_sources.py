@@ -285,3 +285,43 @@ def test_row_runs(spark):
     assert mark == dt.datetime(2024, 1, 5) and table.read().count() == 5
     sync_rows(spark, table, source("id"), None, now, "r4")
     assert table.read().count() == 5
+
+
+def test_one_job_for_all_sources(spark):
+    from tidemark.plans.sync_all import path_rules, sync_all
+
+    root, now = scratch_path(spark, "captures"), F.lit("2024-01-01").cast("timestamp")
+    for owner, versions in {"a": ("v1", "v2"), "b": ("v1", "v2"), "c": ("v2",)}.items():
+        for version in versions:
+            files = captures(spark, {version: V1 if version == "v1" else V2}).select(F.lit(owner).alias("owner"), "path", "content")
+            land_snapshot(files, f"{root}/run={owner}", version)
+    data = spark.read.parquet(root).drop("run")
+    include, exclude = path_rules(["*.md", "*.txt", "*.py"], ["secret/"])
+    schema = (
+        "owner string, index_name string, repository string, branch string, version string, checkpoint string,"
+        " include_re string, exclude_re string"
+    )
+
+    def specs(*rows):
+        return spark.createDataFrame([(o, "i", "r", "main", v, c, i, e) for o, v, c, i, e in rows], schema)
+
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    done = sync_all(table, data, specs(("a", "v1", None, include, exclude), ("b", "v1", "never", None, None)), now)
+    assert {tuple(r) for r in done.collect()} == {("a", True, "v1"), ("b", True, "v1")}
+
+    def paths(owner):
+        return {r.source_uri: r.change_type for r in table.read().where(F.col("owner") == owner).collect()}
+
+    assert paths("a") == dict.fromkeys(["a.py", "b.md", "c.txt", "m.txt"], "full")
+    assert paths("b") == dict.fromkeys(["a.py", "b.md", "c.txt", "m.txt", "secret/x"], "full")
+    done = sync_all(
+        table, data,
+        specs(("a", "v2", "v1", include, exclude), ("b", "v2", "gone", None, exclude), ("c", "v2", None, include, None)), now,
+    )
+    assert {tuple(r) for r in done.collect()} == {("a", False, "v2"), ("b", True, "v2"), ("c", True, "v2")}
+    assert paths("a") == {"a.py": "modified", "c.txt": "full", "d.md": "added", "new/m.txt": "renamed"}
+    assert paths("b") == dict.fromkeys(["a.py", "c.txt", "d.md", "new/m.txt", "e.dat"], "full")
+    assert paths("c") == dict.fromkeys(["a.py", "c.txt", "d.md", "new/m.txt", "secret/b.md"], "full")
+    assert path_rules(["# nothing"], ["# nothing"]) == ("(?!)", None)
+    with pytest.raises(ValueError):
+        path_rules(["!a"])
