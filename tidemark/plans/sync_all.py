@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_binary_name, is_hidden, with_file_type
 from ..functions.patterns import compile_patterns
-from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
+from ..operators.changes import deleted_ids, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
 from ..operators.documents import file_documents
@@ -68,8 +68,14 @@ def sync_all(table: IndexTable, captures: DataFrame, specs: DataFrame, run_ts: C
     known = table.read().join(planned.where(~F.col("full")).select(*_SCOPE), list(_SCOPE), "left_semi")
     resolved = cut(resolve_doc_ids(feed, known), "resolved")
 
-    about = planned.select(*_SCOPE, "repository", "branch", "full")
-    files = changed_files(new, resolved, _SCOPE).join(about, list(_SCOPE))
+    # all that is known about a changed file first, then one join with the content
+    about = planned.select(*_SCOPE, "version", "repository", "branch", "full")
+    wanted = (
+        resolved.where(F.col("action") != "delete")
+        .select(*_SCOPE, F.col("b_path").alias("path"), "doc_id", "change_label")
+        .join(about, list(_SCOPE))
+    )
+    files = captures.join(wanted, ["owner", "version", "path"])
     readable = good_rows(extract_text(with_file_type(files)))
     documents = file_documents(
         readable,
