@@ -299,7 +299,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trees = fit([t or "" for batch in batches for t in batch.column("html").to_pylist()])
     yield pa.RecordBatch.from_pydict(
         {
-            "tree": list(range(TREES)), "feature": trees.feature.tolist(), "cut": trees.cut.tolist(), "leaf": trees.leaf.tolist(), "base": [trees.base] * TREES,
+            "tree": pa.array(range(TREES), pa.int32()), "feature": trees.feature.tolist(), "cut": trees.cut.tolist(), "leaf": trees.leaf.tolist(), "base": [trees.base] * TREES,
         }
     )
 
