@@ -260,17 +260,18 @@ def _pivot_links(threshold: float):
 
 def _buckets(signatures: DataFrame) -> DataFrame:
     """(digest, bucket, n): the nodes in which each text is compared, at most one per run."""
-    paths, out = signatures.select("digest", "paths"), None
-    rows = paths.select("digest", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.get("paths", r * DEPTH))).alias("run", "bucket"))
-    for level in range(1, DEPTH + 1):
+    runs = F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("paths", r * DEPTH + 1, F.lit(DEPTH)))
+    rows, out = signatures.select("digest", F.explode(runs).alias("path")), None
+    for level in range(DEPTH):
+        rows = rows.withColumn("bucket", F.get("path", F.lit(level)))
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
         sized = cut(rows.join(sizes, "bucket"), "jaccard-nodes")
-        crowded = F.col("n") > SMALL
-        done = (sized if level == DEPTH else sized.where(~crowded)).select("digest", "bucket", "n")
+        last, crowded = level == DEPTH - 1, F.col("n") > SMALL
+        done = (sized if last else sized.where(~crowded)).select("digest", "bucket", "n")
         out = done if out is None else out.unionByName(done)
-        if level == DEPTH or sized.where(crowded).isEmpty():
+        if last or sized.where(crowded).isEmpty():
             return out
-        rows = sized.where(crowded).join(paths, "digest").select("digest", "run", F.get("paths", F.col("run") * DEPTH + level).alias("bucket"))
+        rows = sized.where(crowded).select("digest", "path")
 
 
 def _verify(threshold: float):
