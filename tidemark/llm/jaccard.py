@@ -345,7 +345,8 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     made = texts.select("digest", "text").mapInArrow(_signatures, "digest bigint, paths array<bigint>, sketch binary, bytes bigint")
     signatures = cut(made.where("paths[0] <> 0").dropDuplicates(["digest"]), "jaccard-signatures")
     groups = cut(candidate_groups(signatures, threshold), "jaccard-groups")
-    members = groups.join(texts.select("digest", "text"), "digest").dropDuplicates(["digest"])
+    # one plan at every size: texts move once, and no table that grows with them is broadcast
+    members = texts.select("digest", "text").hint("merge").join(groups, "digest").dropDuplicates(["digest"])
     sized = groups.join(signatures.select("digest", "bytes"), "digest").groupBy("group").agg(
         F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
     )
@@ -385,7 +386,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = ids.groupBy("root").agg(F.min(first).alias("best"))
     other = ids.join(best, "root").where(first != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    kept = docs.join(other, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_digest")), "left_anti")
+    kept = docs.join(other.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_digest")), "left_anti")
     if ids.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         return kept
     # rows that are equal in id and text: any one of them

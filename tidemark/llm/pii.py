@@ -241,5 +241,6 @@ def redact(docs: DataFrame) -> DataFrame:
         )
 
     masked = F.aggregate("_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left")
+    # one plan at every size: texts move once, and no table that grows with them is broadcast
+    joined = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_digest")), "left")
     return joined.select(*[F.when(F.col("_spans").isNull(), text).otherwise(masked).alias("text") if c == "text" else docs[c] for c in docs.columns])
