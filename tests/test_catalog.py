@@ -9,10 +9,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from tidemark import catalog
 from tidemark.catalog.inputs import TABLES
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = spark_entry.queries(), spark_entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="needs the given tables")
 
@@ -50,6 +51,7 @@ def test_entry(spark):
 
 
 def test_all_sql_belongs_to_queries():
+    assert set(QUERIES) <= set(spark_entry.queries()) and set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
     assert set(SQL) <= set(QUERIES) and len(QUERIES) - len(SQL) <= 1
 
 

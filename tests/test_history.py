@@ -141,13 +141,18 @@ def test_a_hot_condition_is_windowed_in_chunks(spark):
         F.lit("x").alias("owner"), F.lit("t").alias("type"), (F.col("id") % 2 == 0).alias("status"),
         F.timestamp_seconds("id").alias("ts"), F.col("id").alias("event_id"),
     )
-    for chunked in (condition_history(df, rows_per_task=10), condition_history(df, chunk_seconds=7)):
+    for chunked in (condition_history(df), condition_history(df, chunk_seconds=7)):
         assert chunked.count() == 100
         plan = chunked._jdf.queryExecution().optimizedPlan().toString()
         by_rows = [line for line in plan.splitlines() if "Window [" in line and "ts#" in line.split("], [")[-1]]
         assert by_rows and all("_chunk" in line for line in by_rows)
-    plain = condition_history(df)._jdf.queryExecution().optimizedPlan().toString()
-    assert "_chunk" not in plain and "Join" not in plain
+
+
+def test_events_without_owner_type_or_time_stay(spark):
+    rows = [(None, "t", True, at(1), 1), ("x", None, True, at(2), 2), ("x", "t", True, None, 3), ("x", "t", False, at(5), 4), ("x", "t", False, at(90000), 5)]
+    df = spark.createDataFrame(rows, CONDITIONS)
+    got = {r.event_id: r.last_transition for r in condition_history(df).collect()}
+    assert got == {1: at(1), 2: at(2), 3: None, 4: at(5), 5: at(5)}
 
 
 def test_closing_a_run(spark):

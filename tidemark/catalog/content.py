@@ -217,12 +217,12 @@ WITH sections AS (
            || chr(10) || ' | ' || length(text)
   FROM conversations),
 whole AS (
-  SELECT conv_id, (page - 1) // 4 AS part, string_agg(section, chr(10) || chr(10) ORDER BY page, seq) AS text
+  SELECT conv_id, string_agg(section, chr(10) || chr(10) ORDER BY page, seq) AS text
   FROM sections GROUP BY ALL)
-SELECT conv_id AS doc_id, CAST(part AS BIGINT) AS part, text FROM whole
+SELECT conv_id AS doc_id, CAST(0 AS BIGINT) AS part, text FROM whole
 """)
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as documents, turns as pages; long ones come in parts of four pages."""
+    """Conversations as documents, turns as pages."""
     turns = table(spark, sf_dir, "conversations")
     pages = turns.selectExpr("conv_id AS doc_id", "turn + 1 AS page_num", "text")
     tables = turns.selectExpr(
@@ -232,7 +232,7 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         "array(array(role, CAST(turn AS STRING)), array(NULL, ''), "
         "array(NULL, CAST(length(text) AS STRING))) AS cells",
     )
-    return assemble_pages(pages, tables, pages_per_part=4)
+    return assemble_pages(pages, tables)
 
 
 @query("""

@@ -23,11 +23,12 @@ def all_clusters(query: Column) -> Column:
 
 def cluster_url(name: Column, suffix: str) -> Column:
     """A full https address: the host suffix is added unless the name ends with it."""
-    url = F.when(F.startswith(name, F.lit("http")), name).otherwise(F.concat(F.lit("https://"), name))
-    host = F.replace(F.replace(url, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit(""))
-    return F.when(F.endswith(url, F.lit(suffix)), url).otherwise(
-        F.concat(F.lit("https://"), host, F.lit(suffix))
-    )
+    scheme = F.regexp_extract(name, "^https?://", 0)
+    full = F.endswith(name, F.lit(suffix))
+    kept = F.when(full & F.startswith(name, F.lit("http")), F.lit(""))
+    front = F.coalesce(kept, F.lit("https://"))
+    bare = F.when(kept.isNotNull(), name).otherwise(F.substr(name, F.length(scheme) + 1))
+    return F.concat(front, bare, F.when(full, F.lit("")).otherwise(F.lit(suffix)))
 
 
 def database_of(query: Column, default: str) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .documents import document_id
+from .documents import SEPARATOR, document_id
 
 
 _ID = ["index_name", "doc_id"]
@@ -28,13 +28,17 @@ def first_match(index: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def resolve_doc_ids(changes: DataFrame, index: DataFrame) -> DataFrame:
+def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str = "") -> DataFrame:
     """Find the documents that changes are about.
 
     Takes ``(owner, index_name, change_type, a_path, b_path)``; gives them back with ``action``
     (create, update, delete), the ``doc_id`` it applies to and the document's ``change_label``.
     A modified or renamed file that the index does not know becomes a new document; a deleted
-    one is left out. The changes are used twice, so pass a written feed.
+    one is left out. The changes are used more than once, so pass a written feed.
+
+    A document carries its id along when it moves, so the id of a new file may be taken by one
+    that was at its path before; the new one then gets an id that also depends on ``version``, the
+    version that creates it. A repeat of the run gives the same ids.
     """
     keyed = changes.withColumn("source_uri", F.coalesce("a_path", "b_path"))
     found = first_match(index, keyed.where(F.col("change_type") != "A"))
@@ -48,20 +52,30 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame) -> DataFrame:
         F.col("action") == "update",
         F.when(F.col("change_type") == "R", F.lit("renamed")).otherwise(F.lit("modified")),
     ).when(F.col("action") == "create", F.lit("added"))
-    return (
+    first_id = document_id(F.col("index_name"), F.col("owner"), F.col("b_path"))
+    with_id = (
         keyed.join(found, _URI, "left")
         .withColumn("action", action)
         .where(F.col("action").isNotNull())
         .withColumn("change_label", label)
-        .withColumn(
-            "doc_id",
-            F.when(
-                F.col("action") == "create",
-                document_id(F.col("index_name"), F.col("owner"), F.col("b_path")),
-            ).otherwise(F.col("doc_id")),
-        )
+        .withColumn("doc_id", F.when(F.col("action") == "create", first_id).otherwise(F.col("doc_id")))
         .drop("source_uri")
     )
+    wanted = keyed.where(~F.col("change_type").isin("D")).select("index_name", first_id.alias("doc_id"))
+    taken = (
+        index.join(wanted, _ID, "left_semi")
+        .where(F.col("doc_id").isNotNull())
+        .select(*_ID, F.lit(True).alias("_taken"))
+        .distinct()
+    )
+    made_by = F.lit(version) if isinstance(version, str) else version
+    other_id = F.sha2(F.concat_ws(SEPARATOR, "doc_id", made_by, F.lit("again")), 256)
+    clash = (F.col("action") == "create") & F.col("_taken").isNotNull()
+    return (
+        with_id.join(taken, _ID, "left")
+        .withColumn("doc_id", F.when(clash, other_id).otherwise(F.col("doc_id")))
+        .select(*with_id.columns)
+    )
 
 
 def changed_files(files: DataFrame, resolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

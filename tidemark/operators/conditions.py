@@ -11,74 +11,49 @@ from pyspark.sql.window import Window
 _KEY = ["owner", "type"]
 
 
-def _chunk_seconds(events: DataFrame, ts: str, rows_per_task: int) -> int | None:
-    """How long a chunk may be so that the busiest condition has about ``rows_per_task`` rows in
-    one; None when no condition has more than that in all. Reads the key and time columns."""
-    seconds = F.unix_timestamp(F.col(ts).cast("timestamp"))
-    per_key = events.groupBy(*_KEY).agg(
-        F.count("*").alias("n"), F.min(seconds).alias("first"), F.max(seconds).alias("last")
-    )
-    busiest = per_key.agg(F.max(F.struct("n", (F.col("last") - F.col("first")).alias("span")))).first()[0]
-    if busiest is None or busiest.n <= rows_per_task:
-        return None
-    return max(1, busiest.span * rows_per_task // busiest.n)
+#: A day of one condition's events is worked on at once.
+CHUNK_SECONDS = 86_400
 
 
 def condition_history(
-    events: DataFrame,
-    ts: str = "ts",
-    tie: str = "event_id",
-    chunk_seconds: int | None = None,
-    rows_per_task: int = 1_000_000,
+    events: DataFrame, ts: str = "ts", tie: str = "event_id", chunk_seconds: int | None = None
 ) -> DataFrame:
     """Add ``last_transition``: the time at which the condition last changed its status.
 
-    An event that repeats the status keeps the older time. Where a condition has too many events
-    for one task, conditions are worked on in time chunks: inside a chunk the changes are found by
-    a window, then the last status and change of each chunk are carried over to the next
-    ones, which are few rows. The chunk length is measured unless it is given.
+    An event that repeats the status keeps the older time. Conditions are worked on in time chunks, at
+    any size: inside a chunk the changes are found by a window, then the last status and change of
+    each chunk are carried over to the next ones, which are few rows. Events without a time come
+    first, in a chunk of their own; null owners and types are keys like others. Choose shorter chunks
+    where one condition has more events in a day than a task can sort.
     """
-    if chunk_seconds is None:
-        chunk_seconds = _chunk_seconds(events, ts, rows_per_task)
-    if chunk_seconds is None:
-        return _whole_history(events, [ts, tie])
-    return _chunked_history(events, [ts, tie], chunk_seconds)
-
-
-def _whole_history(events: DataFrame, order: list[str]) -> DataFrame:
-    over = Window.partitionBy(*_KEY).orderBy(*order)
-    so_far = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    changed = ~F.col("status").eqNullSafe(F.col("_before")) | F.col("_first")
-    return (
-        events.withColumns(
-            {"_before": F.lag("status").over(over), "_first": F.row_number().over(over) == 1}
-        )
-        .withColumn("last_transition", F.max(F.when(changed, F.col(order[0]))).over(so_far))
-        .select(*events.columns, "last_transition")
-    )
+    return _chunked_history(events, [ts, tie], chunk_seconds or CHUNK_SECONDS)
 
 
 def _chunked_history(events: DataFrame, order: list[str], chunk_seconds: int) -> DataFrame:
     ts = order[0]
     chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / chunk_seconds)
-    inside = Window.partitionBy(*_KEY, "_chunk").orderBy(*order)
+    # nulls must meet in the join below, too
+    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in _KEY}
+    keys = [*named]
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     changed = ~F.col("_first") & ~F.col("status").eqNullSafe(F.col("_before"))
     rows = (
-        events.withColumn("_chunk", chunk)
+        events.withColumns(named)
+        .withColumn("_chunk", F.coalesce(chunk, F.lit(-(2**62))))
         .withColumns({"_before": F.lag("status").over(inside), "_first": F.row_number().over(inside) == 1})
         .withColumn("_change", F.when(changed, F.col(ts)))
         .withColumn("_local", F.max("_change").over(so_far))
     )
     # the same events, reduced to one row per chunk
     at = F.struct(*order)
-    chunks = rows.groupBy(*_KEY, "_chunk").agg(
+    chunks = rows.groupBy(*keys, "_chunk").agg(
         F.min_by("status", at).alias("_opens"),
         F.max_by("status", at).alias("_closes"),
         F.min(ts).alias("_start"),
         F.max("_change").alias("_last_change"),
     )
-    over_chunks = Window.partitionBy(*_KEY).orderBy("_chunk")
+    over_chunks = Window.partitionBy(*keys).orderBy("_chunk")
     earlier = over_chunks.rowsBetween(Window.unboundedPreceding, -1)
     opens_with_change = ~F.col("_opens").eqNullSafe(F.lag("_closes").over(over_chunks)) | (
         F.row_number().over(over_chunks) == 1
@@ -86,10 +61,10 @@ def _chunked_history(events: DataFrame, order: list[str], chunk_seconds: int) ->
     carried = (
         chunks.withColumn("_at_start", F.when(opens_with_change, F.col("_start")))
         .withColumn("_carry", F.max(F.coalesce("_last_change", "_at_start")).over(earlier))
-        .select(*_KEY, "_chunk", "_at_start", "_carry")
+        .select(*keys, "_chunk", "_at_start", "_carry")
     )
     return (
-        rows.join(carried, [*_KEY, "_chunk"])
+        rows.join(carried, [*keys, "_chunk"])
         .withColumn("last_transition", F.coalesce("_local", "_at_start", "_carry"))
         .select(*events.columns, "last_transition")
     )

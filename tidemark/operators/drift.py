@@ -19,7 +19,8 @@ def skip_reason() -> Column:
 def drift_report(status: DataFrame, index: DataFrame) -> DataFrame:
     """One row per source: expected, actual, ``outcome`` and ``action``.
 
-    ``status`` has ``owner, index_name, policy, phase, suspend, expected``. Documents are counted
+    ``status`` has ``owner, index_name, policy, phase, suspend, expected``, and ``count_failed`` where
+    counts may fail: those sources are ``error`` and nothing is done about them. Documents are counted
     per index and owner first, so the join sees one row per source.
     """
     actual = index.groupBy("index_name", "owner").agg(F.count("*").alias("actual"))
@@ -27,8 +28,10 @@ def drift_report(status: DataFrame, index: DataFrame) -> DataFrame:
         "actual", F.coalesce("actual", F.lit(0).cast("long"))
     )
     reason = skip_reason()
+    failed = F.coalesce("count_failed", F.lit(False)) if "count_failed" in status.columns else F.lit(False)
     result = (
         F.when(reason.isNotNull(), F.concat(F.lit("skipped:"), reason))
+        .when(failed, F.lit("error"))
         .when(F.col("expected") != F.col("actual"), F.lit("drift"))
         .otherwise(F.lit("clean"))
     )

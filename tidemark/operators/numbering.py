@@ -26,14 +26,14 @@ def number_rows(
 ) -> DataFrame:
     """Add the 1-based position of each row among the rows that share its keys.
 
-    ``by`` must be unique within the keys. A group has at most ``16 ** digits`` slices. With
+    ``by`` must be unique within the keys; one null counts as a value. A group has at most ``16 ** digits`` slices. With
     ``total`` the number of rows of the group is added under that name.
     """
     # nulls form a group of their own, and equal names on both sides keep it to one shuffle
     groups = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for i, k in enumerate(keys)}
     sliced = (
         df.withColumns(groups)
-        .withColumn("_order", F.md5(F.col(by).cast("string")))
+        .withColumn("_order", F.md5(F.coalesce(F.col(by).cast("string"), F.lit("\u0000"))))
         .withColumn("_slice", F.substring("_order", 1, digits))
     )
     before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -35,16 +35,16 @@ def _sections(pages: DataFrame, tables: DataFrame | None) -> DataFrame:
 
 
 def assemble_pages(
-    pages: DataFrame, tables: DataFrame | None = None, pages_per_part: int = 1000
+    pages: DataFrame, tables: DataFrame | None = None, pages_per_part: int | None = None
 ) -> DataFrame:
     """``(doc_id, part, text)``: marked sections in page order, joined by blank lines.
 
-    A document of up to ``pages_per_part`` pages is one row with part 0. A longer one comes as
-    consecutive parts, so no task ever holds more pages of a document than that; the parts
-    in order, joined by a blank line, are its whole text.
+    A document is one row with part 0. With ``pages_per_part`` a longer one comes as consecutive
+    parts, so no task ever holds more pages of a document than that; the parts in order, joined by a
+    blank line, are its whole text.
     """
     shown = _sections(pages, tables).where(F.col("section").isNotNull())
-    part = F.floor((F.col("page_num") - 1) / pages_per_part)
+    part = F.floor((F.col("page_num") - 1) / pages_per_part) if pages_per_part else F.lit(0).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct("page_num", "seq", "section")))
     return (
         shown.groupBy("doc_id", part.alias("part"))

@@ -22,15 +22,17 @@ PROCESS_TEXT = "Document indexing process completed successfully"
 def close_runs(runs: DataFrame, index: DataFrame, errors: DataFrame, order_by: str) -> DataFrame:
     """One status row per finished run.
 
-    ``runs`` has one row per owner: ``owner, run_id, start_time, end_time, checkpoint, last_checkpoint``.
-    The document count comes from the index. The checkpoint moves on only when the run had no
+    ``runs`` has one row per owner: ``owner, run_id, start_time, end_time, checkpoint, last_checkpoint``,
+    and ``index_name`` where an owner may have documents in several indexes: the documents counted are
+    those of the run's index. The checkpoint moves on only when the run had no
     error, so a failed run is repeated from where the last good one ended.
     """
-    counted = index.groupBy("owner").agg(F.count("*").alias("n_documents"))
+    keys = ["owner", "index_name"] if "index_name" in runs.columns else ["owner"]
+    counted = index.groupBy(*keys).agg(F.count("*").alias("n_documents"))
     zero = F.lit(0).cast("long")
     good = F.col("n_errors") == 0
     return (
-        runs.join(counted, "owner", "left")
+        runs.join(counted, keys, "left")
         .join(error_summary(errors, order_by), "owner", "left")
         .withColumns({"n_documents": F.coalesce("n_documents", zero), "n_errors": F.coalesce("n_errors", zero)})
         .select(

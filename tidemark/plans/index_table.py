@@ -244,9 +244,9 @@ class IndexTable:
     def load(self, index_name: str, path: str, overwrite: bool = True) -> None:
         """Bring a persisted index back; without ``overwrite`` only unknown ids are added."""
         saved = self.spark.read.schema(DOCUMENT).parquet(path).withColumn("index_name", F.lit(index_name))
+        present = self.read().where(F.col("index_name") == index_name)
         if overwrite:
-            self.drop(index_name)
+            # one commit: the old documents go when the new ones come
+            self.apply(upserts=saved, replaces=present.select("index_name", "owner").distinct())
         else:
-            mine = self.read().where(F.col("index_name") == index_name).select("doc_id")
-            saved = saved.join(mine, "doc_id", "left_anti")
-        self.apply(upserts=saved)
+            self.apply(upserts=saved.join(present.select("doc_id"), "doc_id", "left_anti"))

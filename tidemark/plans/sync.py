@@ -56,12 +56,14 @@ def documents_of(files: DataFrame, source: FileSource, commit: str, run_ts: Colu
     )
 
 
-def plan_changes(old: DataFrame, new: DataFrame, index: DataFrame, source: FileSource) -> DataFrame:
+def plan_changes(
+    old: DataFrame, new: DataFrame, index: DataFrame, source: FileSource, version: str = ""
+) -> DataFrame:
     """The change feed of an incremental run with the documents it concerns, written once."""
     feed = snapshot_diff(with_hash(old), with_hash(new), source.include, source.exclude)
     owned = index.where((F.col("owner") == source.owner) & (F.col("index_name") == source.index_name))
     named = {"owner": F.lit(source.owner), "index_name": F.lit(source.index_name)}
-    return cut(resolve_doc_ids(cut(feed.withColumns(named), "feed"), owned), "resolved")
+    return cut(resolve_doc_ids(cut(feed.withColumns(named), "feed"), owned, version), "resolved")
 
 
 def sync_files(
@@ -102,7 +104,7 @@ def sync_files(
         table.apply(upserts=documents, replaces=mine)
         return None
     old = read_snapshot(captures, checkpoint)
-    resolved = plan_changes(old, new, table.read(), source)
+    resolved = plan_changes(old, new, table.read(), source, version)
     if plan_only:
         return resolved.select(
             "owner", "index_name", "change_type", "a_path", "b_path", "doc_id", "action"

@@ -66,7 +66,10 @@ def sync_all(table: IndexTable, captures: DataFrame, specs: DataFrame, run_ts: C
     new = _files(captures, planned, "version")
     feed = cut(snapshot_diff(old, new, scope=_SCOPE), "feed")
     known = table.read().join(planned.where(~F.col("full")).select(*_SCOPE), list(_SCOPE), "left_semi")
-    resolved = cut(resolve_doc_ids(feed, known), "resolved")
+    versions = planned.select(*_SCOPE, F.col("version").alias("_made_by"))
+    resolved = cut(
+        resolve_doc_ids(feed.join(versions, list(_SCOPE)), known, F.col("_made_by")).drop("_made_by"), "resolved"
+    )
 
     # all that is known about a changed file first, then one join with the content
     about = planned.select(*_SCOPE, "version", "repository", "branch", "full")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import keep_path
 from ..operators.diff import with_hash
 
+#: The usual limit for captured URLs; files of a tree have none unless one is set.
 MAX_FILE_SIZE = 100 * 1024 * 1024
 
 
@@ -25,16 +26,17 @@ def read_tree(
     root: str,
     include: Sequence[str] = (),
     exclude: Sequence[str] = (),
-    max_size: int = MAX_FILE_SIZE,
+    max_size: int | None = None,
 ) -> DataFrame:
-    """All files below ``root`` that pass the path filter and the size limit.
+    """All files below ``root`` that pass the path filter, and the size limit where one is set.
 
     Both tests are on file metadata, so Spark drops the other files while it lists them and
     never opens them. The ``.git`` folder is hidden, so the path filter leaves it out.
+    ``oversized_files`` gives the error rows of the files that a limit leaves out.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    keep = keep_path(_relative(F.col("_metadata.file_path"), root), include, exclude)
-    return files.where(keep & (F.col("_metadata.file_size") <= max_size)).select(
+    files, keep = _listed(spark, root, include, exclude)
+    small = F.lit(True) if max_size is None else F.col("_metadata.file_size") <= max_size
+    return files.where(keep & small).select(
         _relative(F.col("_metadata.file_path"), root).alias("path"),
         "content",
         "length",
@@ -42,6 +44,24 @@ def read_tree(
     )
 
 
+def _listed(
+    spark: SparkSession, root: str, include: Sequence[str], exclude: Sequence[str]
+) -> tuple[DataFrame, Column]:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return files, keep_path(_relative(F.col("_metadata.file_path"), root), include, exclude)
+
+
+def oversized_files(
+    spark: SparkSession, root: str, max_size: int, include: Sequence[str] = (), exclude: Sequence[str] = ()
+) -> DataFrame:
+    """``(unit, message)`` for each file that passes the path filter and is over the limit; none is opened."""
+    files, keep = _listed(spark, root, include, exclude)
+    return files.where(keep & (F.col("_metadata.file_size") > max_size)).select(
+        _relative(F.col("_metadata.file_path"), root).alias("unit"),
+        F.lit(f"File too large: exceeds limit of {max_size} bytes").alias("message"),
+    )
+
+
 def land_snapshot(files: DataFrame, root: str, version: str) -> None:
     """Add one version of ``(path, content)`` to a captures table.
 
