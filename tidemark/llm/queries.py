@@ -75,5 +75,28 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in every}
 
 
+_ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(\|im_(?:start|sep|end)\|>|/?s>|/?INST\]|</?SYS>>)', '\1\\\2\3', 'g')"
+
+CHAT_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+numbered AS (
+  SELECT *, row_number() OVER sorted AS k, lag(role) OVER sorted IS DISTINCT FROM role AS opens,
+    replace(replace(role, chr(92), chr(92) || 'b'), chr(10), chr(92) || 'n') AS role_line
+  FROM turns WINDOW sorted AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED.format("text")})
+    + CASE WHEN opens THEN length('<|im_start|>' || {_ESCAPED.format("role_line")} || chr(10) || '<|im_end|>' || chr(10))
+           ELSE length('<|im_sep|>') END) AS BIGINT) AS formatted_chars,
+  count(*) FILTER (opens) AS n_messages
+FROM numbered GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": CHAT_SQL}
