@@ -93,6 +93,33 @@ def test_a_repeated_batch_is_skipped(spark, index):
     assert index.apply() is False
 
 
+def test_one_row_per_id_in_a_commit(spark, index):
+    twice = docs(spark, {"a": "1"}).unionByName(docs(spark, {"a": "2"}))
+    ordered = twice.withColumn("_seq", F.when(F.col("text") == "1", 2).otherwise(1).cast("long"))
+    index.apply(upserts=ordered)
+    assert texts(index) == {"a": "1"} and index.commits().first().kind == "change"
+    index.apply(upserts=twice)
+    assert index.read().count() == 1
+    one = docs(spark, {"b": "x"})
+    index.apply(upserts=one, deletes=one.select("index_name", "doc_id"))
+    assert texts(index)["b"] == "x"
+    gone = one.select("index_name", "doc_id", F.lit(2).cast("long").alias("_seq"))
+    index.apply(upserts=one.withColumn("_seq", F.lit(1).cast("long")), deletes=gone)
+    assert "b" not in texts(index)
+    index.compact()
+    assert index.read().count() == 1
+
+
+def test_the_first_commit_is_a_full_copy_and_changes_are_folded(spark):
+    index = IndexTable(spark, scratch_path(spark, "index"), fold_after=2)
+    index.index_documents(docs(spark, {"a": "1"}))
+    assert [r.kind for r in index.commits().collect()] == ["full"]
+    for i in range(3):
+        index.index_documents(docs(spark, {f"u{i}": "t"}))
+    assert sorted(r.kind for r in index.commits().collect()) == ["change", "change", "change", "full", "full"]
+    assert set(texts(index)) == {"a", "u0", "u1", "u2"}
+
+
 def test_persist_and_load(spark, index):
     index.index_documents(docs(spark, {"a": "1", "b": "2"}))
     path = scratch_path(spark, "copy")

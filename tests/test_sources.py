@@ -185,6 +185,57 @@ def test_full_then_incremental(spark):
     assert {k: v[0] for k, v in state(fresh).items()} == {k: v[0] for k, v in second.items()}
 
 
+def test_unreadable_files_give_error_rows_and_hold_the_checkpoint(spark):
+    from tidemark.plans.sync_all import sync_all
+
+    now = F.lit("2024-01-01").cast("timestamp")
+    data = spark.createDataFrame(
+        [(v, o, "ok.md", bytearray(v.encode()), "text/plain") for v in ("v1", "v2") for o in "ab"]
+        + [("v2", "a", "bad", bytearray(b"\x00"), "application/octet-stream"), ("v2", "b", "bad", bytearray(b"%PDF"), None)],
+        "version string, owner string, path string, content binary, content_type string",
+    )
+    schema = (
+        "owner string, index_name string, repository string, branch string, version string, checkpoint string,"
+        " include_re string, exclude_re string"
+    )
+    specs = spark.createDataFrame([(o, "i", "r", "m", "v2", c, None, None) for o, c in (("a", "v1"), ("b", None))], schema)
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    done, errors = sync_all(table, data, specs, now)
+    assert {tuple(r) for r in done.collect()} == {("a", False, "v1", 1), ("b", True, None, 1)}
+    expected = {("bad", "No suitable content handler found"), ("bad", "No text extractor for handler pdf")}
+    assert {(r.unit, r.message) for r in errors.collect()} == expected
+    assert {(r.owner, r.source_uri, r.text) for r in table.read().collect()} == {("a", "ok.md", "v2"), ("b", "ok.md", "v2")}
+    single = IndexTable(spark, scratch_path(spark, "index"))
+    mine = data.where("owner = 'a'").drop("owner")
+    assert sync_files(single, mine, FileSource("a", "i", "r"), "v1", None, now).count() == 0
+    failed = sync_files(single, mine, FileSource("a", "i", "r"), "v2", "v1", now)
+    assert [tuple(r) for r in failed.collect()] == [("a", "bad", "No suitable content handler found")]
+
+
+def test_owners_may_land_the_same_version(spark):
+    root = scratch_path(spark, "captures")
+    for owner, text in (("a", b"1"), ("b", b"2"), ("a", b"3")):
+        land_snapshot(spark.createDataFrame([(owner, "x.md", text)], "owner string, path string, content binary"), root, "v1")
+    got = {(r.owner, r.version, bytes(r.content)) for r in spark.read.parquet(root).collect()}
+    assert got == {("a", "v1", b"3"), ("b", "v1", b"2")}
+
+
+def test_declared_charsets_repeated_captures_and_declared_lengths(spark):
+    text, now = "Привет", F.lit("2024-01-01").cast("timestamp")
+    table = IndexTable(spark, scratch_path(spark, "index"))
+    rows = [
+        ("https://a.b/1", bytearray(text.encode("cp1251")), "text/plain; charset=windows-1251", 6, dt.datetime(2024, 1, 1)),
+        ("https://a.b/2", bytearray(text.encode("utf-16")), "text/plain; charset=UTF-16", None, dt.datetime(2024, 1, 1)),
+        ("https://a.b/3", bytearray(b"new"), "text/plain", None, dt.datetime(2024, 1, 3)),
+        ("https://a.b/3", bytearray(b"old"), "text/plain", None, dt.datetime(2024, 1, 2)),
+        ("https://a.b/4", bytearray(b"cut"), "text/plain", 99, dt.datetime(2024, 1, 1)),
+    ]
+    data = spark.createDataFrame(rows, "url string, content binary, content_type string, content_length long, at timestamp")
+    errors = sync_urls(table, data, UrlSource("o", "i", max_size=40, ts="at"), now)
+    assert {r.source_uri[-1]: r.text for r in table.read().collect()} == {"1": text, "2": text, "3": "new"}
+    assert [(r.unit[-1], r.message) for r in errors.collect()] == [("4", "File too large: 99 bytes exceeds limit of 40 bytes")]
+
+
 def test_failfast_run_writes_nothing(spark):
     table = IndexTable(spark, scratch_path(spark, "index"))
     strict = FileSource("o", "i", "repo", mode="failfast")
@@ -294,8 +345,8 @@ def test_one_job_for_all_sources(spark):
     for owner, versions in {"a": ("v1", "v2"), "b": ("v1", "v2"), "c": ("v2",)}.items():
         for version in versions:
             files = captures(spark, {version: V1 if version == "v1" else V2}).select(F.lit(owner).alias("owner"), "path", "content")
-            land_snapshot(files, f"{root}/run={owner}", version)
-    data = spark.read.parquet(root).drop("run")
+            land_snapshot(files, root, version)
+    data = spark.read.parquet(root)
     include, exclude = path_rules(["*.md", "*.txt", "*.py"], ["secret/"])
     schema = (
         "owner string, index_name string, repository string, branch string, version string, checkpoint string,"
@@ -306,19 +357,20 @@ def test_one_job_for_all_sources(spark):
         return spark.createDataFrame([(o, "i", "r", "main", v, c, i, e) for o, v, c, i, e in rows], schema)
 
     table = IndexTable(spark, scratch_path(spark, "index"))
-    done = sync_all(table, data, specs(("a", "v1", None, include, exclude), ("b", "v1", "never", None, None)), now)
-    assert {tuple(r) for r in done.collect()} == {("a", True, "v1"), ("b", True, "v1")}
+    done, errors = sync_all(table, data, specs(("a", "v1", None, include, exclude), ("b", "v1", "never", None, None)), now)
+    assert {tuple(r) for r in done.collect()} == {("a", True, "v1", 0), ("b", True, "v1", 0)} and errors.count() == 0
 
     def paths(owner):
         return {r.source_uri: r.change_type for r in table.read().where(F.col("owner") == owner).collect()}
 
     assert paths("a") == dict.fromkeys(["a.py", "b.md", "c.txt", "m.txt"], "full")
     assert paths("b") == dict.fromkeys(["a.py", "b.md", "c.txt", "m.txt", "secret/x"], "full")
-    done = sync_all(
+    done, errors = sync_all(
         table, data,
         specs(("a", "v2", "v1", include, exclude), ("b", "v2", "gone", None, exclude), ("c", "v2", None, include, None)), now,
     )
-    assert {tuple(r) for r in done.collect()} == {("a", False, "v2"), ("b", True, "v2"), ("c", True, "v2")}
+    assert {tuple(r) for r in done.collect()} == {("a", False, "v2", 0), ("b", True, "v2", 0), ("c", True, "v2", 0)}
+    assert errors.count() == 0
     assert paths("a") == {"a.py": "modified", "c.txt": "full", "d.md": "added", "new/m.txt": "renamed"}
     assert paths("b") == dict.fromkeys(["a.py", "c.txt", "d.md", "new/m.txt", "e.dat"], "full")
     assert paths("c") == dict.fromkeys(["a.py", "c.txt", "d.md", "new/m.txt", "secret/b.md"], "full")

@@ -10,12 +10,11 @@ from tidemark.session import scratch_path
 from tidemark.streaming.feeds import (
     apply_stream,
     drift_flags,
-    drop_replays,
-    newest_counts,
+    land_counts,
+    land_new,
+    newest_changes,
     read_stream,
-    window_counts,
     window_drift,
-    write_batches,
 )
 
 SCHEMA = "id long, owner string, ts timestamp"
@@ -31,34 +30,44 @@ def land(spark, folder, rows):
     return df.schema
 
 
-def test_runs_go_on_from_their_checkpoint_and_drop_replays(spark):
+def test_each_key_lands_once_however_late(spark):
     root = scratch_path(spark, "stream")
-    schema = land(spark, f"{root}/in", [(1, "a", at(0)), (2, "a", at(1)), (1, "a", at(0))])
+    schema = land(spark, f"{root}/in", [(1, "a", at(600)), (2, "a", at(601)), (1, "a", at(600)), (None, "a", at(1)), (None, "b", at(1))])
 
-    def run():
-        stream = drop_replays(read_stream(spark, f"{root}/in", schema), "id", "ts", "1 hour")
-        write_batches(stream, f"{root}/out", f"{root}/checkpoint")
-        return sorted(r.id for r in spark.read.parquet(f"{root}/out").collect())
+    def run(checkpoint="checkpoint"):
+        landed = land_new(read_stream(spark, f"{root}/in", schema, files_per_batch=1), "id", f"{root}/out", f"{root}/{checkpoint}")
+        return sorted(r.id for r in landed.where("id IS NOT NULL").collect()), landed.where("id IS NULL").count()
 
-    assert run() == [1, 2]
-    land(spark, f"{root}/in", [(2, "a", at(1)), (3, "a", at(2))])
-    assert run() == [1, 2, 3]
-    assert run() == [1, 2, 3]
+    assert run() == ([1, 2], 2)
+    # a replay, and a new row ten hours behind the newest
+    land(spark, f"{root}/in", [(2, "a", at(601)), (3, "a", at(2))])
+    assert run() == ([1, 2, 3], 2)
+    assert run() == ([1, 2, 3], 2)
+    # a lost checkpoint reads all again, and what is new
+    land(spark, f"{root}/in", [(4, "a", at(3))])
+    assert run("other")[0] == [1, 2, 3, 4]
 
 
-def test_window_counts_over_several_runs(spark):
+def test_window_counts_take_late_rows_and_lost_checkpoints(spark):
     root = scratch_path(spark, "windows")
-    schema = land(spark, f"{root}/in", [(1, "a", at(0)), (2, "a", at(4)), (3, "b", at(4))])
+    schema = land(spark, f"{root}/in", [(1, "a", at(0)), (2, "a", at(4)), (3, "b", at(900))])
 
-    def run():
-        stream = window_counts(read_stream(spark, f"{root}/in", schema), ["owner"], "ts", "5 minutes", "1 hour")
-        write_batches(stream, f"{root}/out", f"{root}/checkpoint", mode="update")
-        counts = newest_counts(spark.read.parquet(f"{root}/out"), ["owner"])
+    def run(checkpoint="checkpoint"):
+        stream = read_stream(spark, f"{root}/in", schema)
+        counts = land_counts(stream, ["owner"], "ts", "5 minutes", f"{root}/out", f"{root}/{checkpoint}")
         return {(r.window_start, r.owner): r.n for r in counts.collect()}
 
-    assert run() == {(at(0), "a"): 2, (at(0), "b"): 1}
+    assert run() == {(at(0), "a"): 2, (at(900), "b"): 1}
     land(spark, f"{root}/in", [(4, "a", at(3)), (5, "a", at(7))])
-    assert run() == {(at(0), "a"): 3, (at(0), "b"): 1, (at(5), "a"): 1}
+    after = {(at(0), "a"): 3, (at(900), "b"): 1, (at(5), "a"): 1}
+    assert run() == after
+    assert run("other") == after
+
+
+def test_newest_change_per_key(spark):
+    batch = spark.createDataFrame([(1, "put", at(0)), (1, "del", at(1)), (2, "del", at(0)), (2, "put", at(0))], SCHEMA)
+    got = {(r.id, r.owner) for r in newest_changes(batch, ["id"], ["ts"]).collect()}
+    assert got == {(1, "del"), (2, "put")}
 
 
 def test_flags_follow_the_newest_window(spark):
@@ -77,6 +86,7 @@ def test_changes_are_applied_once_even_when_the_stream_forgets(spark):
     schema = land(spark, f"{root}/in", [(1, "put", at(0)), (2, "put", at(0))])
 
     def to_documents(batch):
+        batch = newest_changes(batch, ["id"], ["ts"])
         puts = batch.where("owner = 'put'").select(F.col("id").cast("string").alias("url"), F.lit("t").alias("text"))
         documents = url_documents(puts, index_name="i", owner="o", run_ts=F.lit("2024-01-01").cast("timestamp"))
         gone = batch.where("owner = 'del'").select(F.col("id").cast("string").alias("url"), F.lit("t").alias("text"))
@@ -90,6 +100,7 @@ def test_changes_are_applied_once_even_when_the_stream_forgets(spark):
     assert run("checkpoint") == ["1", "2"]
     land(spark, f"{root}/in", [(1, "del", at(1)), (3, "put", at(1))])
     assert run("checkpoint") == ["2", "3"]
-    # a lost checkpoint replays everything as batch 0, which the index has seen
-    assert run("other-checkpoint") == ["2", "3"]
-    assert index.commits().count() == 2
+    assert run("checkpoint") == ["2", "3"] and index.commits().count() == 2
+    # a lost checkpoint replays everything as batch 0, with a row that is new
+    land(spark, f"{root}/in", [(4, "put", at(2))])
+    assert run("other-checkpoint") == ["2", "3", "4"]

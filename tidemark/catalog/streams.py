@@ -2,53 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.records import rows_to_text
 from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..plans.index_table import IndexTable
 from ..session import cut, scratch_path
-from ..streaming.feeds import (
-    apply_stream,
-    drift_flags,
-    drop_replays,
-    newest_counts,
-    read_stream,
-    window_counts,
-    window_drift,
-    write_batches,
-)
+from ..streaming.feeds import apply_stream, drift_flags, land_counts, land_new, read_stream, window_drift
 from .changes import RESOLVED_SQL, scoped_feed
 from .inputs import OWNER, SCOPE, index_of, new_tree, old_index, table
 from .registry import query
 from .rows import EVENT_TEXT_SQL
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    return read_stream(spark, sf_dir, schema, glob="events.parquet")
+def _runs(spark: SparkSession, rows: DataFrame, part: Column, run: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Land the rows in four parts with a run after each; the last run has lost its checkpoint.
+
+    Part 2 lands twice, before and after part 1, and time runs backwards from part to part where ``part`` says so.
+    """
+    home = scratch_path(spark, "stream")
+    marked = cut(rows.withColumn("_part", part), "parts")
+    out = None
+    for i, number in enumerate((2, 1, 2, 0)):
+        marked.where(F.col("_part") == number).drop("_part").write.mode("append").parquet(f"{home}/in")
+        stream = read_stream(spark, f"{home}/in", rows.schema, files_per_batch=64)
+        out = run(stream, f"{home}/checkpoint-{int(i == 3)}")
+    return out
+
+
+def _third() -> Column:
+    """Later events land first: the part is the day of the month, in thirds."""
+    return F.coalesce(F.floor(F.least(F.dayofmonth("ts"), F.lit(30)) / 11).cast("int"), F.lit(0))
 
 
 @query(f"SELECT event_id, {EVENT_TEXT_SQL} AS text FROM events WHERE ts > TIMESTAMP '2024-01-15 00:00:00'")
 def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New events as documents. The input arrives twice; every event is taken once."""
-    twice = _events(spark, sf_dir).unionByName(_events(spark, sf_dir))
-    fresh = twice.where(F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz"))
-    timed = fresh.withColumn("event_time", F.col("ts").cast("timestamp"))
-    once = drop_replays(timed, "event_id", "event_time", "1 hour")
-    texts = rows_to_text(once, exclude=["event_time"]).select("event_id", "text")
-    out = scratch_path(spark, "stream")
-    write_batches(texts, f"{out}/rows", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/rows").select("event_id", "text")
+    """New events as documents, each once: some come late, some twice, and all again after a lost checkpoint."""
+    landed = scratch_path(spark, "landed")
+    events = table(spark, sf_dir, "events")
+
+    def run(stream: DataFrame, checkpoint: str) -> DataFrame:
+        fresh = stream.where(F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz"))
+        return land_new(fresh, "event_id", landed, checkpoint)
+
+    rows = _runs(spark, events, _third(), run).drop("stream", "batch_id")
+    return rows_to_text(rows).select("event_id", "text")
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    timed = _events(spark, sf_dir).selectExpr(f"{OWNER} AS owner", "CAST(ts AS TIMESTAMP) AS ts")
-    counts = window_counts(timed, ["owner"], "ts", "5 minutes", "1 hour")
-    out = scratch_path(spark, "windows")
-    write_batches(counts, f"{out}/rows", f"{out}/checkpoint", mode="update")
-    return newest_counts(spark.read.parquet(f"{out}/rows"), ["owner"])
+    timed = table(spark, sf_dir, "events").selectExpr("event_id", f"{OWNER} AS owner", "CAST(ts AS TIMESTAMP) AS ts")
+    landed, counted = scratch_path(spark, "landed"), scratch_path(spark, "windows")
+
+    def run(stream: DataFrame, checkpoint: str) -> DataFrame:
+        land_new(stream, "event_id", landed, checkpoint)
+        once = read_stream(spark, landed, stream.schema)
+        return land_counts(once, ["owner"], "ts", "5 minutes", counted, f"{checkpoint}-counts")
+
+    return _runs(spark, timed, _third(), run)
 
 
 WINDOWS_SQL = f"""
@@ -89,18 +102,20 @@ SELECT r.doc_key, r.b_path, md5(n.text)
 FROM resolved r JOIN new_tree n ON n.path = r.b_path WHERE r.action <> 'delete'
 """)
 def stream_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A change feed landed as files, applied to an index by a stream."""
+    """A change feed landed in parts, applied to an index by a stream; the last run applies all of it anew."""
     out = scratch_path(spark, "apply")
     index = IndexTable(spark, f"{out}/index")
     index.index_documents(old_index(spark, sf_dir))
     feed = scoped_feed(spark, sf_dir)
-    feed.write.parquet(f"{out}/feed")
 
     def to_documents(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         resolved = cut(resolve_doc_ids(batch, index.read()), "resolved")
         files = changed_files(new_tree(batch.sparkSession, sf_dir), resolved, SCOPE)
         return index_of(files), deleted_ids(resolved)
 
-    stream = read_stream(spark, f"{out}/feed", feed.schema)
-    apply_stream(stream, index, f"{out}/checkpoint", "feed", to_documents)
-    return index.read().select("doc_id", "source_uri", F.md5("text").alias("text_hash"))
+    def run(stream: DataFrame, checkpoint: str) -> DataFrame:
+        apply_stream(stream, index, checkpoint, "feed", to_documents)
+        return index.read()
+
+    part = F.pmod(F.xxhash64("hash"), F.lit(3)).cast("int")
+    return _runs(spark, feed, part, run).select("doc_id", "source_uri", F.md5("text").alias("text_hash"))

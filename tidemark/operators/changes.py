@@ -38,10 +38,15 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
 
     A document carries its id along when it moves, so the id of a new file may be taken by one
     that was at its path before; the new one then gets an id that also depends on ``version``, the
-    version that creates it. A repeat of the run gives the same ids.
+    version that creates it. A repeat of the run gives the same ids: a file whose document is already at
+    its path keeps it.
     """
     keyed = changes.withColumn("source_uri", F.coalesce("a_path", "b_path"))
-    found = first_match(index, keyed.where(F.col("change_type") != "A"))
+    found = first_match(index, keyed)
+    # a rename that was applied before: its document is at the new path already
+    moved = first_match(
+        index, keyed.where("change_type = 'R'").withColumn("source_uri", F.col("b_path"))
+    ).withColumnsRenamed({"source_uri": "b_path", "doc_id": "_moved"})
     known = F.col("doc_id").isNotNull() & (F.col("change_type") != "A")
     action = (
         F.when(F.col("change_type") == "D", F.when(known, F.lit("delete")))
@@ -55,11 +60,14 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
     first_id = document_id(F.col("index_name"), F.col("owner"), F.col("b_path"))
     with_id = (
         keyed.join(found, _URI, "left")
+        .join(moved.withColumn("change_type", F.lit("R")), [*_URI[:2], "b_path", "change_type"], "left")
+        .withColumn("doc_id", F.coalesce("doc_id", "_moved"))
         .withColumn("action", action)
         .where(F.col("action").isNotNull())
         .withColumn("change_label", label)
-        .withColumn("doc_id", F.when(F.col("action") == "create", first_id).otherwise(F.col("doc_id")))
-        .drop("source_uri")
+        .withColumn("_new", (F.col("action") == "create") & F.col("doc_id").isNull())
+        .withColumn("doc_id", F.coalesce("doc_id", first_id))
+        .drop("source_uri", "_moved")
     )
     wanted = keyed.where(~F.col("change_type").isin("D")).select("index_name", first_id.alias("doc_id"))
     taken = (
@@ -70,11 +78,11 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
     )
     made_by = F.lit(version) if isinstance(version, str) else version
     other_id = F.sha2(F.concat_ws(SEPARATOR, "doc_id", made_by, F.lit("again")), 256)
-    clash = (F.col("action") == "create") & F.col("_taken").isNotNull()
+    clash = F.col("_new") & F.col("_taken").isNotNull()
     return (
         with_id.join(taken, _ID, "left")
         .withColumn("doc_id", F.when(clash, other_id).otherwise(F.col("doc_id")))
-        .select(*with_id.columns)
+        .select(*changes.columns, "action", "change_label", "doc_id")
     )
 
 

@@ -82,6 +82,14 @@ def default_handlers() -> list[Handler]:
     return sorted(_REGISTERED, key=lambda h: -h.priority)
 
 
+def with_any_charset(handlers: Sequence[Handler] | None = None) -> list[Handler]:
+    """The handlers with the text handler that knows all charsets; for captures that come with a declared one.
+
+    Files of a tree declare none, so their runs do without it.
+    """
+    return [TEXT_ANY_CHARSET if h is TEXT else h for h in (handlers or default_handlers())]
+
+
 def _case(branches: Sequence[tuple[Column, Column]]) -> Column:
     chain = F.when(*branches[0])
     for condition, value in branches[1:]:

@@ -41,6 +41,8 @@ def _build(
     extra: dict[str, Column],
     doc_id: Column | None = None,
 ) -> DataFrame:
+    """Documents; a column ``_seq`` that orders rows of one document is passed on."""
+
     def optional(name: str) -> Column:
         return F.col(name) if name in df.columns else F.lit(None).cast("string")
 
@@ -65,6 +67,7 @@ def _build(
         optional("split_type").alias("split_type"),
         F.col("text"),
         metadata.alias("metadata"),
+        *[c for c in ("_seq",) if c in df.columns],
     )
 
 

@@ -2,8 +2,10 @@
 
 A run appends its changes and never rewrites what is there, so its cost follows the size of
 the change and not the size of the index. Every row carries the commit that wrote it and whether it puts
-or removes its ``doc_id``; reading takes the newest row per id. ``compact`` folds the changes
-into a new full copy when reading them gets slow. A commit counts once its row is in the commit
+or removes its ``doc_id``; reading takes one row per id: that of the newest commit, in it the one of the highest
+``_seq`` (an order the caller may give), then a put before a removal, then the last in the written
+files. The first commit is a full copy where its ids are unique. After ``fold_after`` commits the changes are folded into a new full copy;
+``compact`` does so at any time. A commit counts once its row is in the commit
 table, which is written last, so a job that dies half-way leaves the index as it was: its rows
 have an id that no commit names.
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +27,7 @@ _STORED = T.StructType(
     [*[f for f in DOCUMENT.fields if f.name != "index_name"]]
     + [
         T.StructField("removed", T.BooleanType()),
+        T.StructField("_seq", T.LongType()),
         T.StructField("commit_no", T.LongType()),
         T.StructField("commit_id", T.StringType()),
         T.StructField("index_name", T.StringType()),
@@ -45,9 +48,14 @@ _COLUMNS = [f.name for f in DOCUMENT.fields]
 _ID = ["index_name", "doc_id"]
 
 
+def _seq_of(df: DataFrame) -> Column:
+    return (F.col("_seq") if "_seq" in df.columns else F.lit(None)).cast("long").alias("_seq")
+
+
 class IndexTable:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, fold_after: int = 64):
         self.spark = spark
+        self.fold_after = fold_after
         self.root = root.rstrip("/")
         # an empty commit table, unless there is one already
         self._row(0, "", "none", {}).limit(0).write.mode("ignore").parquet(f"{self.root}/commits")
@@ -61,7 +69,7 @@ class IndexTable:
     def _live(self) -> tuple[str | None, list[str], DataFrame | None]:
         """The newest full copy, the changes after it, and what was dropped after it.
 
-        The list of changes has one id per run since the last full copy. Drops stay a frame,
+        The list of changes has one id per run since the last full copy, ``fold_after`` at most. Drops stay a frame,
         ``(index_name, owner, dropped_at)``; without an owner the whole index went.
         """
         done = self.commits()
@@ -106,17 +114,20 @@ class IndexTable:
         home = f"{self.root}/documents"
         paths = [f"{home}/commit_id={c}" for c in commit_ids]
         rows = self.spark.read.schema(_STORED).option("basePath", home).parquet(*paths)
+        rows = rows.select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+        )
         if dropped is None:
             return rows
-        gone = dropped.select(
-            F.col("index_name").alias("_index"), F.col("owner").alias("_owner"), "dropped_at"
-        )
-        hit = (
-            (F.col("index_name") == F.col("_index"))
-            & (F.col("_owner").isNull() | (F.col("owner") == F.col("_owner")))
-            & (F.col("commit_no") < F.col("dropped_at"))
-        )
-        return rows.join(gone, hit, "left_anti")
+        whole = dropped.where(F.col("owner").isNull()).select("index_name", "dropped_at")
+        owned = dropped.where(F.col("owner").isNotNull())
+        for gone, keys in ((whole, ["index_name"]), (owned, ["index_name", "owner"])):
+            gone = gone.select(*[F.col(k).alias(f"_{k}") for k in keys], "dropped_at")
+            hit = F.col("commit_no") < F.col("dropped_at")
+            for k in keys:
+                hit = hit & (F.col(k) == F.col(f"_{k}"))
+            rows = rows.join(gone, hit, "left_anti")
+        return rows
 
     def read(self) -> DataFrame:
         """All documents as of the last commit.
@@ -132,8 +143,14 @@ class IndexTable:
             return full.select(*_COLUMNS)
         changed = self._rows(changes, dropped)
         # an id belongs to an index; with the index in the keys, a filter on it reaches every scan
-        newest = changed.groupBy(*_ID).agg(F.max("commit_no").alias("commit_no"))
-        puts = changed.where(~F.col("removed")).join(newest, [*_ID, "commit_no"], "left_semi")
+        # the search for the row that counts reads ids and places, no text
+        place = F.struct("commit_no", "_seq", (~F.col("removed")).alias("put"), "_file", "_row")
+        newest = (
+            changed.groupBy(*_ID)
+            .agg(F.max(place).alias("place"))
+            .select(*_ID, F.col("place._file").alias("_file"), F.col("place._row").alias("_row"))
+        )
+        puts = changed.where(~F.col("removed")).join(newest, [*_ID, "_file", "_row"], "left_semi")
         if full is None:
             return puts.select(*_COLUMNS)
         kept = full.join(newest.select(*_ID), _ID, "left_anti")
@@ -159,8 +176,13 @@ class IndexTable:
         )
         return commit_id
 
+    def _is_full(self, commit_id: str) -> bool:
+        """Whether a first commit can stand as a full copy: no id in it twice. Reads ids only."""
+        ids = self._rows([commit_id], None).groupBy(*_ID).agg(F.count("*").alias("n"))
+        return ids.where("n > 1").isEmpty()
+
     def _stored(self, documents: DataFrame) -> DataFrame:
-        return documents.select(*_COLUMNS).withColumn("removed", F.lit(False))
+        return documents.select(*_COLUMNS, F.lit(False).alias("removed"), _seq_of(documents))
 
     def _removals(self, ids: DataFrame) -> DataFrame:
         empty = [
@@ -168,7 +190,8 @@ class IndexTable:
             for f in DOCUMENT.fields
             if f.name not in ("doc_id", "index_name")
         ]
-        return ids.select("doc_id", "index_name", *empty).select(*_COLUMNS).withColumn("removed", F.lit(True))
+        gone = ids.select("doc_id", "index_name", *empty, F.lit(True).alias("removed"), _seq_of(ids))
+        return gone.select(*_COLUMNS, "removed", "_seq")
 
     def apply(
         self,
@@ -181,7 +204,8 @@ class IndexTable:
         """Append one commit of puts and removals; both name their index and ``doc_id``.
 
         With a writer and a batch id, a batch that was committed before is skipped. ``replaces``
-        lists ``(index_name, owner)`` whose earlier documents this commit takes the place of.
+        lists ``(index_name, owner)`` whose earlier documents this commit takes the place of. A long column
+        ``_seq`` in either frame orders the rows of one id; without it an id both put and removed is put.
         """
         if writer is not None and batch_id is not None:
             seen = (F.col("writer") == writer) & (F.col("batch_id") >= batch_id)
@@ -197,11 +221,15 @@ class IndexTable:
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         number = self._next()
         commit_id = self._write(rows, number)
-        row = self._row(number, commit_id, "change", {"writer": writer, "batch_id": batch_id})
-        if replaces is not None:
+        first = self.commits().where("kind IN ('full', 'change')").isEmpty()
+        kind = "full" if first and deletes is None and self._is_full(commit_id) else "change"
+        row = self._row(number, commit_id, kind, {"writer": writer, "batch_id": batch_id})
+        if replaces is not None and kind == "change":
             row = row.unionByName(self._named(replaces, number, commit_id, "replace"))
         # one file, so that a commit and what it replaces appear together
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/commits")
+        if kind == "change" and len(self._live()[1]) >= self.fold_after:
+            self.compact()
         return True
 
     def index_documents(self, documents: DataFrame) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import filter_paths, with_file_type
 from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
-from ..operators.content import extract_text
+from ..operators.content import extract_text, with_any_charset
 from ..operators.diff import snapshot_diff, with_hash
 from ..functions.records import rows_to_text
 from ..functions.urls import url_path
@@ -35,14 +35,18 @@ class FileSource:
     mode: str = "permissive"
 
 
-def documents_of(files: DataFrame, source: FileSource, commit: str, run_ts: Column) -> DataFrame:
-    """Documents from ``(path, content)``: filter, type, route, decode, build. No shuffle.
+def read_files(files: DataFrame, source: FileSource) -> DataFrame:
+    """``(path, content)`` with ``text`` or ``error``: filter, type, route, decode. No shuffle."""
+    return extract_text(with_file_type(filter_paths(files, source.include, source.exclude)))
+
+
+def documents_of(read: DataFrame, source: FileSource, commit: str, run_ts: Column) -> DataFrame:
+    """Documents from the files that ``read_files`` gives.
 
     Files that come with ``doc_id`` and ``change_label`` keep them.
     """
-    typed = with_file_type(filter_paths(files, source.include, source.exclude))
-    readable = checked(extract_text(typed), source.mode)
-    changed = "change_label" in files.columns
+    readable = checked(read, source.mode)
+    changed = "change_label" in read.columns
     return file_documents(
         readable,
         index_name=source.index_name,
@@ -75,19 +79,21 @@ def sync_files(
     run_ts: Column,
     pinned: bool = False,
     plan_only: bool = False,
-) -> DataFrame | None:
+) -> DataFrame:
     """Bring an index to a version of a captures table ``(version, path, content)``.
 
     A full run takes the place of all the source had in the index. An incremental one compares the
     two versions by path and hash and reads the content of changed files only.
 
-    Returns the change feed when ``plan_only`` is set, and writes nothing. The caller stores
-    ``version`` as the next checkpoint once this returns, so a failed run is repeated in full.
+    Returns the error rows ``(owner, unit, message)`` of files that could not be read; they are computed
+    when they are used. The caller stores ``version`` as the next checkpoint when there are none, so a failed run is
+    repeated. With ``plan_only`` it returns the change feed instead, and writes nothing.
     """
     new = read_snapshot(captures, version)
     mode = scan_mode(captures, version if pinned else None, checkpoint)
     if mode == "full":
-        documents = documents_of(new, source, version, run_ts)
+        read = read_files(new, source)
+        documents = documents_of(read, source, version, run_ts)
         if plan_only:
             return documents.select(
                 "owner",
@@ -102,16 +108,17 @@ def sync_files(
             F.lit(source.index_name).alias("index_name"), F.lit(source.owner).alias("owner")
         )
         table.apply(upserts=documents, replaces=mine)
-        return None
+        return error_rows(read, "path", source.owner)
     old = read_snapshot(captures, checkpoint)
     resolved = plan_changes(old, new, table.read(), source, version)
     if plan_only:
         return resolved.select(
             "owner", "index_name", "change_type", "a_path", "b_path", "doc_id", "action"
         )
-    documents = documents_of(changed_files(new, resolved), source, version, run_ts)
+    read = read_files(changed_files(new, resolved), source)
+    documents = documents_of(read, source, version, run_ts)
     table.apply(upserts=documents, deletes=deleted_ids(resolved))
-    return None
+    return error_rows(read, "path", source.owner)
 
 
 @dataclass(frozen=True)
@@ -120,20 +127,35 @@ class UrlSource:
     index_name: str
     max_size: int = MAX_FILE_SIZE
     mode: str = "permissive"
+    ts: str | None = None
+
+
+def _order(df: DataFrame, ts: str | None) -> DataFrame:
+    """Order the rows of one document by a time column, where there is one."""
+    return df.withColumn("_seq", F.unix_micros(F.col(ts).cast("timestamp"))) if ts else df
 
 
 def sync_urls(table: IndexTable, captures: DataFrame, source: UrlSource, run_ts: Column) -> DataFrame:
     """Put captured URLs ``(url, content, content_type)`` into an index; a URL keeps its document.
 
+    Of several captures of a URL the newest by ``source.ts`` stays. A column ``content_length``, the length
+    that was declared, is held against the size limit too. Any declared charset Python knows is decoded.
+
     Returns the error rows ``(owner, unit, message)``; they are computed when they are used, from the
     captures. In ``failfast`` mode the first bad capture ends
     the run and nothing is written.
     """
     landed = captures.withColumn(
-        "capture_error", capture_error(F.col("url"), F.col("content"), source.max_size)
+        "capture_error",
+        capture_error(
+            F.col("url"),
+            F.col("content"),
+            source.max_size,
+            F.col("content_length") if "content_length" in captures.columns else None,
+        ),
     )
-    typed = with_file_type(landed.withColumn("_path", url_path(F.col("url"))), "_path")
-    read = extract_text(typed).withColumn("error", F.coalesce("capture_error", "error"))
+    typed = with_file_type(_order(landed, source.ts).withColumn("_path", url_path(F.col("url"))), "_path")
+    read = extract_text(typed, with_any_charset()).withColumn("error", F.coalesce("capture_error", "error"))
     documents = url_documents(
         checked(read, source.mode), index_name=source.index_name, owner=source.owner, run_ts=run_ts
     )
@@ -161,13 +183,15 @@ def sync_rows(
 ) -> dt.datetime | None:
     """Put the rows of a query into an index and return the next checkpoint.
 
-    With a key a row replaces its earlier document; without one every run appends. The checkpoint
+    With a key a row replaces its earlier document, and of several rows with one key the newest by
+    ``source.ts`` stays; without a key every run appends. The checkpoint
     is the newest time among the rows that were read, so rows that arrive during the run are
     not lost; it stays where it was when there were none.
     """
     rows = cut(run_query(spark, source.initial_query, source.incremental_query, last_ts), "rows")
     keyed, key = (rows, source.key) if source.key else (position_key(rows, run_id, "_key"), "_key")
-    texts = rows_to_text(keyed, exclude=["_key"])
+    ordered = _order(keyed, source.ts if source.key else None)
+    texts = rows_to_text(ordered, exclude=["_key", "_seq"])
     table.apply(
         upserts=row_documents(
             texts, key=key, index_name=source.index_name, owner=source.owner, run_ts=run_ts

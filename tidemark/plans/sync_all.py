@@ -1,8 +1,10 @@
 """One job for all file sources of a registry, whatever their number.
 
 Sources differ in size by orders of magnitude; one job over all of them keeps the cluster busy where
-a job per source would wait for the biggest. All joins have the path in their keys, so a source
-with a third of all files is spread like any other.
+a job per source would wait for the biggest. Joins of files with files have the path in their keys, so a
+source with a third of all files is spread like any other. The other joins bring a source's row of the registry to its files;
+the registry is a written table, so Spark knows its size and broadcasts it while it is small. Sources in need of
+a full run go from scan to index without a join by path: their content is never shuffled before it is written.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from ..functions.patterns import compile_patterns
 from ..operators.changes import deleted_ids, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
-from ..operators.documents import file_documents
+from ..operators.documents import document_id, file_documents
 from ..operators.sinks import good_rows
 from ..session import cut
 from .index_table import IndexTable
@@ -43,7 +45,9 @@ def _kept() -> Column:
 
 def scan_modes(specs: DataFrame, captures: DataFrame) -> DataFrame:
     """Specs with ``full``: true without a checkpoint or when its version is no longer there."""
-    there = captures.select("owner", F.col("version").alias("checkpoint"), F.lit(True).alias("_there")).distinct()
+    wanted = specs.where("checkpoint IS NOT NULL").select("owner", F.col("checkpoint").alias("version")).distinct()
+    found = captures.select("owner", "version").join(wanted, ["owner", "version"], "left_semi").distinct()
+    there = found.select("owner", F.col("version").alias("checkpoint"), F.lit(True).alias("_there"))
     return specs.join(there, ["owner", "checkpoint"], "left").withColumn("full", F.col("_there").isNull()).drop("_there")
 
 
@@ -52,44 +56,64 @@ def _files(captures: DataFrame, specs: DataFrame, version: str) -> DataFrame:
     return captures.join(wanted, ["owner", "version"]).where(_kept()).drop("include_re", "exclude_re")
 
 
-def sync_all(table: IndexTable, captures: DataFrame, specs: DataFrame, run_ts: Column) -> DataFrame:
-    """Bring every source of a registry to its version; returns ``(owner, full, checkpoint)``.
+def sync_all(
+    table: IndexTable, captures: DataFrame, specs: DataFrame, run_ts: Column
+) -> tuple[DataFrame, DataFrame]:
+    """Bring every source of a registry to its version.
+
+    Returns ``(owner, full, checkpoint, n_errors)`` per source and the error rows ``(owner, index_name, unit, message)``.
+    The checkpoint of a source with errors stays what it was.
 
     ``captures`` has ``owner, version, path, content`` (and ``hash, size`` when landed with them).
     ``specs`` has one row per source: ``owner, index_name, repository, branch, version, checkpoint,
-    include_re, exclude_re``. Sources in need of a full run have all their files as new ones and
-    are replaced; the others are compared with their checkpoint. It is one commit for all.
+    include_re, exclude_re``. Sources in need of a full run are replaced; the others are compared with their
+    checkpoint. It is one commit for all.
     """
     planned = cut(scan_modes(specs, captures), "specs")
     captures = with_hash(captures)
-    old = _files(captures, planned.where(~F.col("full")), "checkpoint")
-    new = _files(captures, planned, "version")
-    feed = cut(snapshot_diff(old, new, scope=_SCOPE), "feed")
-    known = table.read().join(planned.where(~F.col("full")).select(*_SCOPE), list(_SCOPE), "left_semi")
+    whole, partly = planned.where("full"), planned.where(~F.col("full"))
+    about = planned.select(*_SCOPE, "version", "repository", "branch")
+
+    in_full = _files(captures, whole, "version").join(about, [*_SCOPE, "version"])
+    feed = cut(
+        snapshot_diff(_files(captures, partly, "checkpoint"), _files(captures, partly, "version"), scope=_SCOPE), "feed"
+    )
+    known = table.read().join(partly.select(*_SCOPE), list(_SCOPE), "left_semi")
     versions = planned.select(*_SCOPE, F.col("version").alias("_made_by"))
     resolved = cut(
         resolve_doc_ids(feed.join(versions, list(_SCOPE)), known, F.col("_made_by")).drop("_made_by"), "resolved"
     )
-
     # all that is known about a changed file first, then one join with the content
-    about = planned.select(*_SCOPE, "version", "repository", "branch", "full")
     wanted = (
         resolved.where(F.col("action") != "delete")
         .select(*_SCOPE, F.col("b_path").alias("path"), "doc_id", "change_label")
         .join(about, list(_SCOPE))
     )
-    files = captures.join(wanted, ["owner", "version", "path"])
-    readable = good_rows(extract_text(with_file_type(files)))
+    changed = captures.join(wanted, ["owner", "version", "path"])
+    first_id = document_id(F.col("index_name"), F.col("owner"), F.col("path"))
+    files = in_full.withColumns({"doc_id": first_id, "change_label": F.lit("full")}).unionByName(changed)
+    read = extract_text(with_file_type(files))
     documents = file_documents(
-        readable,
+        good_rows(read),
         index_name=F.col("index_name"),
         owner=F.col("owner"),
         run_ts=run_ts,
         repository=F.col("repository"),
         branch=F.col("branch"),
         commit=F.col("version"),
-        change_type=F.when(F.col("full"), F.lit("full")).otherwise(F.col("change_label")),
+        change_type=F.col("change_label"),
         doc_id=F.col("doc_id"),
     )
-    table.apply(upserts=documents, deletes=deleted_ids(resolved), replaces=planned.where("full"))
-    return planned.select("owner", "full", F.col("version").alias("checkpoint"))
+    table.apply(upserts=documents, deletes=deleted_ids(resolved), replaces=whole)
+
+    failed = read.where(F.col("error").isNotNull())
+    errors = cut(
+        failed.select(*_SCOPE, F.col("path").alias("unit"), F.col("error").alias("message")).select(
+            "owner", "index_name", "unit", "message"
+        ),
+        "errors",
+    )
+    counts = errors.groupBy(*_SCOPE).agg(F.count("*").alias("n_errors"))
+    done = planned.join(counts, list(_SCOPE), "left").withColumn("n_errors", F.coalesce("n_errors", F.lit(0).cast("long")))
+    reached = F.when(F.col("n_errors") == 0, F.col("version")).otherwise(F.col("checkpoint"))
+    return done.select("owner", "full", reached.alias("checkpoint"), "n_errors"), errors

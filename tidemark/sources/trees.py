@@ -66,9 +66,15 @@ def land_snapshot(files: DataFrame, root: str, version: str) -> None:
     """Add one version of ``(path, content)`` to a captures table.
 
     Content hashes are stored alongside, so comparing versions later reads paths and hashes only.
-    A version that is landed again replaces itself.
+    A version that is landed again replaces itself. Files that name their ``owner`` are filed by owner and version,
+    so sources may use the same version names: only the owners among the files are replaced.
     """
-    with_hash(files).write.mode("overwrite").parquet(f"{root}/version={version}")
+    hashed = with_hash(files)
+    if "owner" not in files.columns:
+        hashed.write.mode("overwrite").parquet(f"{root}/version={version}")
+        return
+    by_owner = hashed.withColumn("version", F.lit(version)).write.partitionBy("owner", "version")
+    by_owner.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
 
 
 def read_snapshot(captures: DataFrame, version: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 All run with ``availableNow``: an outside schedule starts them, they take what has arrived
 since their checkpoint and stop. One query per checkpoint folder keeps runs from overlapping.
+
+Nothing is dropped for being late: replays are found by key among the rows that were landed, and counts are landed as
+partial counts per micro-batch and added up on reading. What a stream lands is filed under its own id, which a new
+checkpoint folder changes, so the batches after a lost checkpoint never pass for those before it.
 """
 
 from __future__ import annotations
@@ -26,21 +30,6 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str
     return reader.parquet(path)
 
 
-def drop_replays(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
-    """Each key once; keys are remembered for ``delay`` of event time only."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-
-
-def window_counts(stream: DataFrame, keys: list[str], ts: str, width: str, delay: str) -> DataFrame:
-    """Rows per window and key; counts are combined in each task before the shuffle."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, width).alias("window"), *keys)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n")
-    )
-
-
 def run_batches(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
@@ -56,18 +45,85 @@ def run_batches(
     return query
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Write each micro-batch to its own folder, so that a repeated batch replaces itself."""
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the stream that a checkpoint folder belongs to."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+_BATCH = T.StructType([T.StructField("stream", T.StringType()), T.StructField("batch_id", T.LongType())])
+
+
+def read_batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What streams have landed, with ``stream`` and ``batch_id``."""
+    return spark.read.schema(T.StructType([*schema.fields, *_BATCH.fields])).parquet(path)
+
+
+def land_batches(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    shape: Callable[[DataFrame, DataFrame], DataFrame] = lambda batch, landed: batch,
+) -> DataFrame:
+    """Land each micro-batch in a folder of its own, so that a repeated batch replaces itself.
+
+    ``shape`` gets a batch and what all other batches have landed, and gives the rows to land; their columns must
+    be those of ``shape(batch, batch)``. Returns all that is landed now.
+    """
+    spark = stream.sparkSession
+    empty = spark.createDataFrame([], stream.schema)
+    schema = shape(empty, empty).schema
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/stream=none/batch_id=-1")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        own = stream_id(batch.sparkSession, checkpoint)
+        others = read_batches(batch.sparkSession, path, schema).where(
+            ~((F.col("stream") == own) & (F.col("batch_id") == batch_id))
+        )
+        shape(batch, others).write.mode("overwrite").parquet(f"{path}/stream={own}/batch_id={batch_id}")
+
+    run_batches(stream, write, checkpoint)
+    return read_batches(spark, path, schema)
+
+
+def land_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
+    """Land each key once, however late it comes and however often; returns all landed rows.
+
+    The landed keys are first reduced to those of the batch, so it is the batch that Spark may broadcast. Rows
+    without a key are all kept.
+    """
+
+    def fresh(batch: DataFrame, landed: DataFrame) -> DataFrame:
+        keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        known = landed.select(key).join(keyed.select(key), key, "left_semi").distinct()
+        return keyed.join(known, key, "left_anti").select(*batch.columns).unionByName(batch.where(F.col(key).isNull()))
+
+    return land_batches(stream, path, checkpoint, fresh)
+
 
-    return run_batches(stream, write, checkpoint, mode)
+def window_counts(rows: DataFrame, keys: list[str], ts: str, width: str) -> DataFrame:
+    """Rows per window and key; counts are combined in each task before the shuffle."""
+    return (
+        rows.groupBy(F.window(ts, width).alias("window"), *keys)
+        .agg(F.count("*").alias("n"))
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n")
+    )
+
+
+def land_counts(stream: DataFrame, keys: list[str], ts: str, width: str, path: str, checkpoint: str) -> DataFrame:
+    """Count a stream per window and key, late rows included; returns the counts so far.
+
+    Each batch lands its own partial counts. After a lost checkpoint the stream reads its input anew, so only the
+    counts of the stream that owns the checkpoint are added up.
+    """
+    landed = land_batches(stream, path, checkpoint, lambda batch, _: window_counts(batch, keys, ts, width))
+    mine = landed.where(F.col("stream") == stream_id(stream.sparkSession, checkpoint))
+    return mine.groupBy("window_start", "window_end", *keys).agg(F.sum("n").alias("n"))
 
 
-def newest_counts(updates: DataFrame, keys: list[str]) -> DataFrame:
-    """The final count per window out of update-mode batches: the newest batch wins."""
-    return updates.groupBy("window_start", "window_end", *keys).agg(F.max_by("n", "batch_id").alias("n"))
+def newest_changes(batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One change per key, the last by ``order``; ties go to the greatest row, so a repeat chooses alike."""
+    rest = [c for c in batch.columns if c not in (*keys, *order)]
+    return batch.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last")).select(*keys, "_last.*").select(*batch.columns)
 
 
 def window_drift(counts: DataFrame, expected: DataFrame) -> DataFrame:
@@ -92,11 +148,15 @@ def apply_stream(
 ) -> StreamingQuery:
     """Apply a stream of changes to an index, once per batch even when a batch is repeated.
 
-    ``to_documents`` splits a batch into documents to put and ``(index_name, doc_id)`` to remove.
+    ``to_documents`` splits a batch into documents to put and ``(index_name, doc_id)`` to remove. Where a batch may hold
+    several changes of one document, reduce it by ``newest_changes`` or give both frames a ``_seq``.
+    Batch numbers count within one checkpoint: after a lost one all input is applied anew, and
+    rows that arrived meanwhile with it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         upserts, deletes = to_documents(batch)
-        table.apply(upserts=upserts, deletes=deletes, writer=writer, batch_id=batch_id)
+        own = f"{writer}/{stream_id(batch.sparkSession, checkpoint)}"
+        table.apply(upserts=upserts, deletes=deletes, writer=own, batch_id=batch_id)
 
     return run_batches(changes, write, checkpoint)
