@@ -108,18 +108,20 @@ def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = ~F.col("text").rlike(r"[^\x00-\x7F\x{A0}-\x{FF}]")
     latin1 = F.encode(F.when(fits, F.col("text")).otherwise(F.lit("")), "ISO-8859-1")
     utf8 = F.encode("text", "UTF-8")
-    kind = F.when(fits, F.col("doc_id") % 5).otherwise(F.lit(0))
+    kind = F.when(F.col("doc_id") % 7 == 6, F.lit(5)).when(fits, F.col("doc_id") % 5).otherwise(F.lit(0))
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.when(kind == 1, latin1)
         .when(kind == 2, latin1)
         .when(kind == 3, F.concat(F.lit(b"\xef\xbb\xbf"), utf8))
         .when(kind == 4, latin1)
+        .when(kind == 5, F.encode("text", "UTF-16"))
         .otherwise(utf8)
         .alias("content"),
         F.when(kind == 1, F.lit("text/plain; charset=latin1; format=flowed"))
         .when(kind == 3, F.lit("text/plain; charset=UTF-8"))
         .when(kind == 4, F.lit("text/plain;charset=windows-1252"))
+        .when(kind == 5, F.lit("text/plain; charset=utf-16"))
         .otherwise(F.lit("text/plain"))
         .alias("content_type"),
     )
@@ -130,7 +132,7 @@ def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A round trip: decoding the re-encoded texts gives the texts."""
     return (
         _encoded(spark, sf_dir)
-        .withColumn("text", decode(F.col("content"), F.col("content_type")))
+        .withColumn("text", decode(F.col("content"), F.col("content_type"), any_charset=True))
         .select("doc_id", F.md5("text").alias("text_hash"), F.length("text").cast("long").alias("n_chars"))
     )
 

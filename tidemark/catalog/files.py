@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import extension, filter_paths, with_file_type
 from ..operators.numbering import batch_numbers, progress
 from ..operators.sinks import BATCH_SIZES, send_batches
+from ..session import scratch_path
 from ..sources.trees import read_tree
 from .inputs import NEW_PATH, TREES_SQL, new_tree, table
 from .registry import query
@@ -73,11 +74,24 @@ def content_type_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_file_type(files).select("doc_id", "content_type", "language", "split_type")
 
 
-@query()
+@query("""
+SELECT source, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 34) AS BIGINT) AS n_bytes, count(*) AS n_lines
+FROM documents GROUP BY source
+""")
 def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table files themselves as a tree: path, size and content hash."""
-    return read_tree(spark, sf_dir, include=["*.parquet"], max_size=2**31 - 1).select(
-        "path", "length", F.md5("content").alias("hash")
+    """Lines written to a folder per source, read back as a tree of files."""
+    home = scratch_path(spark, "tree")
+    lines = table(spark, sf_dir, "documents").select("source", F.concat_ws(" ", "doc_id", F.md5("text")).alias("line"))
+    lines.write.partitionBy("source").option("maxRecordsPerFile", 100_000).text(home)
+    files = read_tree(spark, home, include=["*.txt"], exclude=["nothing/"])
+    text = F.col("content").cast("string")
+    return (
+        files.withColumn("source", F.regexp_extract("path", "^source=([^/]+)/", 1))
+        .groupBy("source")
+        .agg(
+            F.sum("length").alias("n_bytes"),
+            F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("long").alias("n_lines"),
+        )
     )
 
 
@@ -105,18 +119,18 @@ def file_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_failed FROM documents
+SELECT source, count(*) AS n_rows, count(*) FILTER (doc_id % 10 = 3) AS n_failed FROM documents GROUP BY source
 """)
 def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = BATCH_SIZES["database"]
+    """One call per row to a service that refuses some rows: each refusal is recorded, the rest arrives."""
 
     def deliver(batch: list[dict]) -> None:
-        """Stands for a client of an outside service that takes at most fifty rows."""
-        if len(batch) > size:
-            raise ValueError("too many rows in one call")
+        refused = [row["doc_id"] for row in batch if row["doc_id"] % 10 == 3]
+        if refused:
+            raise ValueError(f"refused {refused}")
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
-    sent = send_batches(rows, deliver, size)
-    return sent.agg(
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "source || '#' || doc_id AS unit")
+    sent = send_batches(rows, deliver, 1, unit="unit")
+    return sent.groupBy(F.substring_index("first_unit", "#", 1).alias("source")).agg(
         F.sum("n_rows").alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_failed")
     )

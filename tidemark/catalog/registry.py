@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
-_MODULES = ("files", "content", "rows", "changes", "index", "history", "health", "streams")
+_MODULES = ("files", "content", "rows", "changes", "index", "sync_runs", "history", "health", "streams")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -153,6 +153,19 @@ def list_documents(
     return page.orderBy("doc_id").offset(offset).limit(limit)
 
 
+def documents_page(
+    index: DataFrame,
+    index_name: str | None = None,
+    metadata_filter: dict[str, str] | None = None,
+    limit: int = 10,
+    offset: int = 0,
+    after: str | None = None,
+) -> DataFrame:
+    """One page of documents with ``total_items``, the number of all that the filter selects."""
+    total = select_documents(index, index_name, metadata_filter).agg(F.count("*")).scalar()
+    return list_documents(index, index_name, metadata_filter, limit, offset, after).withColumn("total_items", total)
+
+
 def select_documents(
     index: DataFrame, index_name: str | None = None, metadata_filter: dict[str, str] | None = None
 ) -> DataFrame:
