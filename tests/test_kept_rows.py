@@ -61,3 +61,16 @@ def test_a_failed_count_is_an_error_and_leaves_the_flag(spark):
     assert {tuple(r) for r in drift_tally(report).collect()} == {("error", 1), ("skipped:policy", 1)}
     flags = spark.createDataFrame([("o", True, None, None)], "owner string, drift_flag boolean, last_detected timestamp, last_remediated timestamp")
     assert {r.owner: r.drift_flag for r in update_drift_flags(flags, report, F.current_timestamp()).collect()} == {"o": True, "p": False}
+
+
+def test_a_run_leaves_no_scratch_behind(spark):
+    import os
+
+    from tidemark.session import cut, scratch_path, scratch_run, shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    with scratch_run(spark) as folder:
+        assert cut(spark.range(3), "x").count() == 3 and os.listdir(folder)
+        inner = scratch_path(spark, "y")
+    assert inner.startswith(folder) and set(os.listdir(shared_dir(spark))) == before
+    assert not scratch_path(spark, "z").startswith(folder)

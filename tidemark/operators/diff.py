@@ -72,31 +72,29 @@ def pair_renames(changes: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     files never pair. Only equal content counts; similar content does not.
     """
     movable = F.col("kind").isin("A", "D") & (F.col("size") > 0)
-    # what cannot pair gets a key of its own: no hash contains a slash
-    keyed = changes.withColumn(
-        "pair_key", F.when(movable, F.col("hash")).otherwise(F.concat(F.lit("/"), F.col("path")))
+    # only contents that both came and went can pair: their number is small beside that of the changes
+    both = (
+        changes.where(movable)
+        .groupBy(*scope, "hash")
+        .agg(F.count_if(F.col("kind") == "A").alias("came"), F.count_if(F.col("kind") == "D").alias("went"))
+        .where("came > 0 AND went > 0")
+        .select(*scope, "hash", F.lit(True).alias("pairs"))
     )
-    numbered = number_rows(keyed, [*scope, "pair_key", "kind"], "path", out="pair_no")
-    side = {k: F.max(F.when(F.col("kind") == k, F.col("path"))) for k in "ADM"}
-    sides = numbered.groupBy(*scope, "pair_key", "pair_no").agg(
-        side["A"].alias("added"),
-        side["D"].alias("deleted"),
-        side["M"].alias("modified"),
-        F.max("hash").alias("hash"),
-    )
-    change_type = (
-        F.when(F.col("modified").isNotNull(), F.lit("M"))
-        .when(F.col("added").isNotNull() & F.col("deleted").isNotNull(), F.lit("R"))
-        .when(F.col("added").isNotNull(), F.lit("A"))
-        .otherwise(F.lit("D"))
-    )
-    return sides.select(
+    marked = changes.join(both, [*scope, "hash"], "left").withColumn("pairs", movable & F.col("pairs").isNotNull())
+    alone = marked.where(~F.col("pairs")).select(
         *scope,
-        change_type.alias("change_type"),
-        F.coalesce("modified", "deleted").alias("a_path"),
-        F.coalesce("modified", "added").alias("b_path"),
+        F.col("kind").alias("change_type"),
+        F.when(F.col("kind") != "A", F.col("path")).alias("a_path"),
+        F.when(F.col("kind") != "D", F.col("path")).alias("b_path"),
         "hash",
     )
+    numbered = number_rows(marked.where("pairs"), [*scope, "hash", "kind"], "path", out="pair_no")
+    side = {k: F.max(F.when(F.col("kind") == k, F.col("path"))) for k in "AD"}
+    paired = numbered.groupBy(*scope, "hash", "pair_no").agg(side["D"].alias("a_path"), side["A"].alias("b_path"))
+    change_type = (
+        F.when(F.col("a_path").isNull(), F.lit("A")).when(F.col("b_path").isNull(), F.lit("D")).otherwise(F.lit("R"))
+    )
+    return paired.select(*scope, change_type.alias("change_type"), "a_path", "b_path", "hash").unionByName(alone)
 
 
 def snapshot_diff(
