@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import parse_rfc3339
 from ..operators.changes import documents_page
 from ..operators.documents import file_documents, owner_key
+from ..operators.pages import NO_TEXT
 from ..plans.index_table import IndexTable
-from ..plans.sync import FileSource, RowSource, UrlSource, sync_files, sync_rows, sync_urls
+from ..plans.sync import FileSource, RowSource, UrlSource, sync_files, sync_pages, sync_rows, sync_urls
 from ..session import cut, scratch_path
 from .inputs import INDEX_SQL, NEW_PATH, NEW_TEXT, OLD_PATH, OWNER, TREES_SQL, diff_sql, old_index, run_ts, table
 from .registry import query
@@ -123,6 +124,28 @@ def sync_urls_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(index, sync_urls(index, cut(again.unionByName(huge), "captures"), source, run_ts()))
 
 
+BOOK = "'https://example.org/c' || conv_id || '.pdf'"
+
+
+@query(f"""
+WITH pages AS (
+  SELECT {BOOK} AS url, turn + 1 AS page, CASE WHEN conv_id % 5 > 0 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END AS text
+  FROM conversations)
+SELECT url AS source_uri,
+  md5(string_agg('--- Page ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page)) AS text_hash, 'put' AS change_type
+FROM pages WHERE text <> '' GROUP BY url
+UNION ALL
+SELECT url, md5('{NO_TEXT}'), 'error' FROM pages GROUP BY url HAVING count(*) FILTER (text <> '') = 0
+""")
+def sync_pages_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page rows as documents; those without any text give an error row."""
+    pages = table(spark, sf_dir, "conversations").selectExpr(
+        f"{BOOK} AS doc_id", "turn + 1 AS page_num", "CASE WHEN conv_id % 5 > 0 THEN text ELSE ' ' END AS text"
+    )
+    index = IndexTable(spark, scratch_path(spark, "index"))
+    return _outcome(index, sync_pages(index, pages, None, UrlSource("ns_web", "books"), run_ts()))
+
+
 MIDDLE = "TIMESTAMP '2024-01-15 00:00:00'"
 
 

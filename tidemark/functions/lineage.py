@@ -22,13 +22,11 @@ def all_clusters(query: Column) -> Column:
 
 
 def cluster_url(name: Column, suffix: str) -> Column:
-    """A full https address: the host suffix is added unless the name ends with it."""
-    scheme = F.regexp_extract(name, "^https?://", 0)
-    full = F.endswith(name, F.lit(suffix))
-    kept = F.when(full & F.startswith(name, F.lit("http")), F.lit(""))
-    front = F.coalesce(kept, F.lit("https://"))
-    bare = F.when(kept.isNotNull(), name).otherwise(F.substr(name, F.length(scheme) + 1))
-    return F.concat(front, bare, F.when(full, F.lit("")).otherwise(F.lit(suffix)))
+    """The https address of a cluster that is named by host, with or without the suffix; whole addresses stay."""
+    end = F.lit(suffix)
+    host = F.regexp_replace(name, "^https?://", "")
+    address = F.concat(F.lit("https://"), host, F.when(F.endswith(host, end), F.lit("")).otherwise(end))
+    return F.when(F.startswith(name, F.lit("http")) & F.endswith(name, end), name).otherwise(address)
 
 
 def database_of(query: Column, default: str) -> Column:

@@ -17,6 +17,7 @@ from ..functions.text import decode, is_pdf, looks_like_text
 
 ColumnRule = Callable[[Column, Column, Column], Column]
 
+# fixed value: the message of a row that no handler takes
 NO_HANDLER = "No suitable content handler found"
 
 # fixed values: content types taken as text without looking at the bytes

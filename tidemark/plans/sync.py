@@ -16,6 +16,7 @@ from ..operators.diff import snapshot_diff, with_hash
 from ..functions.records import rows_to_text
 from ..functions.urls import url_path
 from ..operators.documents import file_documents, position_key, row_documents, url_documents
+from ..operators.pages import assemble_pages, documents_without_text
 from ..operators.sinks import checked, error_rows
 from ..session import cut
 from ..sources.captures import capture_error
@@ -163,6 +164,22 @@ def sync_urls(table: IndexTable, captures: DataFrame, source: UrlSource, run_ts:
     return error_rows(read, "url", source.owner)
 
 
+def sync_pages(
+    table: IndexTable, pages: DataFrame, tables: DataFrame | None, source: UrlSource, run_ts: Column
+) -> DataFrame:
+    """Put page rows ``(doc_id, page_num, text)`` and table rows into an index, one document per ``doc_id``, its address.
+
+    Returns the error rows ``(owner, unit, message)`` of documents without any text.
+    """
+    whole = assemble_pages(pages, tables).withColumn("url", F.col("doc_id").cast("string")).drop("doc_id")
+    typed = with_file_type(whole.withColumn("_path", url_path(F.col("url"))), "_path")
+    table.apply(
+        upserts=url_documents(typed, index_name=source.index_name, owner=source.owner, run_ts=run_ts)
+    )
+    empty = documents_without_text(pages, tables)
+    return empty.select(F.lit(source.owner).alias("owner"), "unit", "message")
+
+
 @dataclass(frozen=True)
 class RowSource:
     owner: str

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..functions.urls import is_valid_url
 from .trees import MAX_FILE_SIZE
 
+# fixed values: the message texts of this module
 NO_URLS = "No documents fetched from static data source"
 
 
