@@ -158,6 +158,28 @@ def test_near_copies_in_large_groups(spark, monkeypatch, crowd, rows_):
     assert jaccard.keep_one(docs).count() == 51
 
 
+def test_links_are_exact_at_every_distance_from_a_centre(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        words = list(base)
+        for at in rng.choice(200, k % 9, replace=False):
+            words[at] = f"new{k}x{at}"
+        texts.append(" ".join(words[: 200 - k % 4]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts}
+    got = jaccard.classes(docs).collect()
+    near = {t: [o for o in sets if o != t and len(sets[t] & sets[o]) >= 0.8 * len(sets[t] | sets[o])] for t in sets}
+    root = {t: texts.index(t) for t in sets}
+    for _ in sets:
+        root = {t: min([root[t], *(root[o] for o in near[t])]) for t in sets}
+    counts = sorted(map(len, near.values()))
+    assert counts[0] == 0 and counts[-1] > 60 and len(set(counts)) > 20
+    assert {(r.doc_id, r.n_links, r.class_id) for r in got} == {(i, len(near[t]), root[t]) for i, t in enumerate(texts)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}

@@ -8,8 +8,10 @@ by one run with at most 1 - s^depth, where the depth is 1 for all but crowded no
 
 Small buckets are compared by brute force on sketches (one-permutation minhash), with a margin that no pair above
 the threshold falls below in practice; crowded ones around pivots, by the triangle inequality. What this links forms
-groups, which are no result yet: inside every group all pairs are then compared on the whole shingle sets, block against
-block, and only those links count. Texts that are equal stand for one in all this.
+groups, which are no result yet: links count only where the whole shingle sets say so. The texts of a small group are compared
+in one block. A larger one gets a centre and exact distances from it; links that follow from these are counted in sums, and
+only blocks of texts whose distances leave it open are compared. So a great group of near copies costs as much
+as it has texts while most are within 0.1 of its centre. Texts that are equal stand for one in all this.
 
 Tasks see a bucket's sketches (128 bytes per text, buckets over ``CROWD`` are dealt out to several tasks) or two blocks of
 a group's texts. All that leaves them grows with the number of texts, not of pairs: counts, and links to the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -43,6 +45,8 @@ CROWD = 20_000
 BINS = 128
 #: Texts and bytes of text in one block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4_000_000
+#: Rings around a centre out to the distance 1 - threshold.
+RINGS = 40
 _U = np.uint64
 
 
@@ -274,21 +278,26 @@ def _buckets(signatures: DataFrame) -> DataFrame:
         rows = sized.where(crowded).select("digest", "path")
 
 
+def _shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every shingle of every text, each once, in the order of hashes."""
+    data, offsets = buffers(texts)
+    tokens, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in chunks(offsets):
+        h, r = shingles(Tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), SIZE)
+        tokens.append(h)
+        rows.append(r + a)
+    h, r = np.concatenate(tokens), np.concatenate(rows)
+    order = np.lexsort((r, h))
+    h, r = h[order], r[order]
+    once = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
+    return h[once], r[once]
+
+
 def _verify(threshold: float):
     """Exact links inside two blocks of a group: per text its number of links, and the least text it is linked to."""
 
     def exact(texts: pa.Array, block: np.ndarray, other: bool) -> tuple[np.ndarray, np.ndarray]:
-        data, offsets = buffers(texts)
-        tokens, rows = [], []
-        for a, b in chunks(offsets):
-            h, r = shingles(Tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], WORDS), SIZE)
-            tokens.append(h)
-            rows.append(r + a)
-        h, r = np.concatenate(tokens), np.concatenate(rows)
-        order = np.lexsort((r, h))
-        h, r = h[order], r[order]
-        once = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1])) if len(h) else np.zeros(0, bool)
-        h, r = h[once], r[once]
+        h, r = _shingle_sets(texts)
         n = len(texts)
         size = np.bincount(r, minlength=n)
         new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
@@ -327,6 +336,35 @@ def _verify(threshold: float):
     return verify
 
 
+def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a few members of each group, the one that is most like the others."""
+    for table in _whole_groups(batches, ["group"], 20_000):
+        size, sketch = _groups(table, ["group"]), _sketch_array(table)
+        first = np.cumsum(size) - size
+        best = [f + int(np.argmax([_alike(sketch[f : f + s], sketch[p][None, :])[0].sum() for p in range(f, f + s)])) for f, s in zip(first, size, strict=True)]
+        yield from table.take(best).select(["group", "digest"]).to_batches()
+
+
+def _distances(threshold: float):
+    """The ring of each text: its exact distance from its group's centre (the first row of each piece) in steps."""
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["group", "piece"]
+        for table in _whole_groups(batches, keys, 5_000, "text"):
+            size, text = _groups(table, keys), table.column("text").combine_chunks()
+            ring = np.zeros(table.num_rows, np.int64)
+            for f, s in zip(np.cumsum(size) - size, size, strict=True):
+                h, r = _shingle_sets(text.slice(f, s))
+                own = np.bincount(r, minlength=s)
+                both = np.bincount(r[np.isin(h, h[r == 0])], minlength=s)
+                ring[f : f + s] = np.floor((1 - both / (own + own[0] - both)) * RINGS / (1 - threshold))
+            # a centre is sent to every piece, and is a member of one
+            out = table.select(["group", "digest", "bytes"]).append_column("ring", pa.array(ring))
+            yield from out.filter(pa.array(table.column("member").to_numpy(zero_copy_only=False))).to_batches()
+
+    return distances
+
+
 def candidate_groups(signatures: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(digest, group) of the texts that may have a link; texts in different groups have none."""
     placed = _buckets(signatures)
@@ -340,23 +378,58 @@ def candidate_groups(signatures: DataFrame, threshold: float = THRESHOLD) -> Dat
     return components(edges.unionByName(far), "jaccard-candidates").select(F.col("node").alias("digest"), F.col("root").alias("group"))
 
 
+def _blocks(n: str | Column, size: str | Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+
+def _rings(large: DataFrame, signatures: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For groups of more than one block: the links that follow from distances to a centre, and the blocks left to compare.
+
+    Distances obey the triangle inequality. Two texts whose distances from the centre add up to 1 - threshold at most are
+    linked, two whose distances differ by more are not: both without a comparison. So texts are dealt into rings around
+    the centre, sure links are sums over the (at most a few hundred) rings of a group, and only rings in between meet.
+    """
+    ids = large.select("group", "digest").join(signatures.select("digest", "sketch"), "digest")
+    few = ids.groupBy("group", F.pmod(F.xxhash64("digest", F.lit("few")), F.lit(16)).alias("k")).agg(F.min(F.struct("digest", "sketch")).alias("m"))
+    sample = few.select("group", "m.digest", "m.sketch").repartition("group").sortWithinPartitions("group", "digest")
+    centres = cut(sample.mapInArrow(_centres, "group bigint, digest bigint"), "jaccard-centres")
+    columns = ["group", "piece", "member", "digest", "bytes", "text"]
+    pieces = large.withColumn("piece", F.pmod(F.xxhash64("digest", F.lit("piece")), "blocks").cast("int")).withColumn("member", F.lit(True))
+    sent = large.join(centres, ["group", "digest"]).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = pieces.select(columns).unionByName(sent.withColumn("member", F.lit(False)).select(columns))
+    dealt = dealt.repartition("group", "piece").sortWithinPartitions("group", "piece", "member", "digest")
+    rings = cut(dealt.mapInArrow(_distances(threshold), "group bigint, digest bigint, bytes bigint, ring bigint"), "jaccard-rings")
+    sizes = cut(rings.groupBy("group", "ring").agg(F.count("*").alias("n"), _blocks(F.count("*"), F.sum("bytes")).alias("parts")), "jaccard-ring-sizes")
+    other = sizes.select("group", F.col("ring").alias("other"), F.col("n").alias("others"), F.col("parts").alias("other_parts"))
+    pairs, near = sizes.join(other, "group"), F.col("ring") + F.col("other") + 2 <= RINGS
+    sure = pairs.where(near).groupBy("group", "ring").agg((F.sum("others") - F.max((2 * F.col("ring") + 2 <= RINGS).cast("long"))).alias("links"))
+    known = rings.join(sure, ["group", "ring"]).join(centres.withColumnRenamed("digest", "root"), "group").select("digest", "root", "links")
+    first = lambda ring: F.col(ring) * (1 << 32)
+    meets = pairs.where(~near & (F.abs(F.col("ring") - F.col("other")) <= RINGS)).select(
+        "group", "ring", "parts", F.explode(F.sequence(first("other"), first("other") + F.col("other_parts") - 1)).alias("with")
+    )
+    own = first("ring") + F.pmod(F.xxhash64("digest", F.lit("block")), "parts")
+    left = rings.join(meets, ["group", "ring"]).select("group", "digest", own.alias("block"), "with")
+    met = left.join(large.select("digest", "text").hint("merge"), "digest")
+    return known, met.select("group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "digest", "text")
+
+
 def links(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(digest, root) and (digest, links) of the distinct texts that have a link. Takes digest and text, also repeated."""
     made = texts.select("digest", "text").mapInArrow(_signatures, "digest bigint, paths array<bigint>, sketch binary, bytes bigint")
     signatures = cut(made.where("paths[0] <> 0").dropDuplicates(["digest"]), "jaccard-signatures")
     groups = cut(candidate_groups(signatures, threshold), "jaccard-groups")
+    sized = groups.join(signatures.select("digest", "bytes"), "digest")
+    several = sized.groupBy("group").agg(_blocks(F.count("*"), F.sum("bytes")).alias("blocks")).where("blocks > 1")
+    placed = sized.join(several, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # one plan at every size: texts move once, and no table that grows with them is broadcast
-    members = texts.select("digest", "text").hint("merge").join(groups, "digest").dropDuplicates(["digest"])
-    sized = groups.join(signatures.select("digest", "bytes"), "digest").groupBy("group").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")
-    )
-    several = sized.where("blocks > 1")
-    blocked = members.join(several, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("digest", F.lit("block")), "blocks").cast("int"))
-    meets = blocked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    meets = meets.select("group", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "digest", "text")
-    dealt = meets.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "digest")
-    found = cut(dealt.mapInArrow(_verify(threshold), "digest bigint, root bigint, links bigint").where("links > 0 OR root <> digest"), "jaccard-links")
+    members = cut(texts.select("digest", "text").hint("merge").join(placed, "digest").dropDuplicates(["digest"]), "jaccard-members")
+    one = F.lit(0).cast("long")
+    small = members.where("blocks = 1").select("group", one.alias("low"), one.alias("high"), one.alias("block"), "digest", "text")
+    known, met = _rings(members.where("blocks > 1"), signatures, threshold)
+    dealt = small.unionByName(met).repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "digest")
+    compared = dealt.mapInArrow(_verify(threshold), "digest bigint, root bigint, links bigint")
+    found = cut(compared.unionByName(known).where("links > 0 OR root <> digest"), "jaccard-links")
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")), "jaccard-classes")
     return roots.select(F.col("node").alias("digest"), "root"), found.groupBy("digest").agg(F.sum("links").alias("links"))
 
