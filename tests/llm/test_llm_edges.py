@@ -137,6 +137,32 @@ def test_questions_with_other_numbers_and_names(spark):
     assert decontaminate.contaminated(twice, spark.createDataFrame([(9, uneven)], "item_id long, text string")).count() == 0
 
 
+def found(spark, items, docs):
+    pairs = [spark.createDataFrame(list(enumerate(texts)), f"{name} long, text string") for name, texts in (("doc_id", docs), ("item_id", items))]
+    return {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(*pairs).collect()}
+
+
+def test_names_that_open_sentences(spark):
+    items = [
+        "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?",
+        "Anna reads 12 pages a day. Ben reads 15 pages a day. Carl reads 20 pages a day. Dora reads 9 pages a day.",
+        "Before that the old mill ground forty sacks of grain. Then the miller Anna sold them all to a baker.",
+    ]
+    docs = [
+        items[0].replace("Tom", "Ben"),
+        "Eve reads 12 pages a day. Finn reads 15 pages a day. Gus reads 20 pages a day. Hal reads 9 pages a day.",
+        # word for word in small letters, and with sentences drawn together
+        items[2].lower().replace("anna", "Anna"),
+        "We know that before that the old mill ground forty sacks of grain. Then the miller Eve sold them all to a baker.",
+        "Anna. Ben. Carl. Dora. Eve. Finn. Gus. Hal. Ida. Jon.",
+    ]
+    got = found(spark, items, docs)
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 2)}
+    assert [(got[k].n_windows, got[k].share) for k in sorted(got)] == [(7, 1), (17, 1), (13, 1), (13, 1)]
+    # most changes of one alignment: the second item also meets its copy a sentence away
+    assert [got[k].n_changed for k in sorted(got)] == [1, 6, 0, 1]
+
+
 @pytest.mark.parametrize("crowd,rows_", [(20_000, 256), (30, 16)])
 def test_near_copies_in_large_groups(spark, monkeypatch, crowd, rows_):
     monkeypatch.setattr(jaccard, "CROWD", crowd)

@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens are numbers, words and sentence marks. Numbers, units after a number, and names (a capital inside a sentence) become
-typed placeholders, all else lower case; sentence marks are dropped. Windows of ``WINDOW`` template tokens of the benchmark
+typed placeholders, all else lower case; sentence marks are dropped. A capital that opens a sentence may be a name or not, so
+such a token is both: it meets any name and any other opening capital as a placeholder, and its own word in lower case. A window
+has a hash for each reading of its opening tokens. Windows of ``WINDOW`` template tokens of the benchmark
 are hash-joined with the windows of all documents. Windows of one item at one distance form an alignment;
 it counts if its slots are consistent, that is, if each value of the item's slots has one counterpart in the
 document, equal or not. So a question with other numbers or names is found, and a mere likeness of form is not.
@@ -26,6 +28,8 @@ LEAST_WINDOWS = 6
 LEAST_SHARE = 0.5
 #: Windows of the benchmark that are broadcast at once; more are joined slice by slice.
 BROADCAST_WINDOWS = 500_000
+#: Windows of a document that are hashed at once: a task holds the readings of so many, whatever the length of the text.
+CHUNK = 256
 
 #: Words that are units when they follow a number.
 UNITS = (
@@ -38,7 +42,7 @@ _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}]+|[.!?\n]"
 
 
 def _typed(raw: Column, token: Column, i: Column) -> Column:
-    """Template token of a token, or null for a sentence mark."""
+    """Template token of a token, <open> for a capital that opens a sentence, or null for a sentence mark."""
     first = F.substring(token, 1, 1)
     before = F.get(raw, i - 1)
     digit = first.between("0", "9")
@@ -46,44 +50,86 @@ def _typed(raw: Column, token: Column, i: Column) -> Column:
         F.when(token.isin(".", "!", "?", "\n"), None)
         .when(digit, F.lit("<num>"))
         .when(F.substring(before, 1, 1).between("0", "9") & F.lower(token).isin(*UNITS), F.lit("<unit>"))
-        .when((F.lower(first) != first) & (i > 0) & ~before.isin(".", "!", "?", "\n"), F.lit("<name>"))
+        .when(F.lower(first) != first, F.when((i > 0) & ~before.isin(".", "!", "?", "\n"), F.lit("<name>")).otherwise(F.lit("<open>")))
         .otherwise(F.lower(token))
     )
 
 
 def with_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add raw (tokens without marks) and template (hashes of their canonical form)."""
+    """Add raw (tokens without marks), template (hashes of their canonical form, opening capitals as names) and opens (which those are)."""
     marks = F.array(*[F.lit(m) for m in ".!?\n"])
     return (
         df.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0)))
-        .withColumn("_typed", F.transform("_tokens", lambda t, i: _typed(F.col("_tokens"), t, i)))
+        .withColumn("_typed", F.filter(F.transform("_tokens", lambda t, i: _typed(F.col("_tokens"), t, i)), lambda t: t.isNotNull()))
         .withColumn("raw", F.filter("_tokens", lambda t: ~F.array_contains(marks, t)))
-        .withColumn("template", F.transform(F.filter("_typed", lambda t: t.isNotNull()), lambda t: F.xxhash64(t)))
+        .withColumn("template", F.transform("_typed", lambda t: F.xxhash64(F.when(t == "<open>", F.lit("<name>")).otherwise(t))))
+        .withColumn("opens", F.transform("_typed", lambda t: t == "<open>"))
         .drop("_tokens", "_typed")
     )
 
 
-def _windows(size: int) -> Column:
+def _chunks(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """Pieces of CHUNK windows: start, and the raw, template and opens of their tokens. No window is in two pieces."""
+    piece = lambda c, s: F.slice(c, s + 1, CHUNK + size - 1).alias(c)
+    starts = F.sequence(F.lit(0), F.size("template") - size, F.lit(CHUNK))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s), piece("opens", s)))
+    return df.where(F.size("template") >= size).select(*keep, F.explode(pieces).alias("_piece")).select(*keep, "_piece.*")
+
+
+def _readings(size: int) -> Column:
+    """All windows of a piece in all readings: at (place in the piece), hash, and lits (bits of the opening tokens read as words)."""
     hashes = F.col("template")
-    runs = F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)])
+    window = lambda at, tokens, lits: F.struct(at.alias("at"), F.xxhash64(F.lit(size), *tokens).alias("hash"), lits.alias("lits"))
+    plain = F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - size), lambda i: window(i, [F.get(hashes, i + k) for k in range(size)], F.lit(0))
+    )
+
+    def word(at: Column, words: Column) -> Column:
+        return F.when(F.array_contains(words, at), F.xxhash64(F.lower(F.get("raw", at)))).otherwise(F.get(hashes, at))
+
+    def bits(at: Column, words: Column) -> Column:
+        out = F.lit(0)
+        for k in range(size):
+            out = out + F.when(F.array_contains(words, at + k), F.lit(1 << k)).otherwise(F.lit(0))
+        return out
+
+    def holding(words: Column) -> Column:
+        # the windows that hold all of these tokens, which are in order
+        low = F.greatest(F.element_at(words, -1) - (size - 1), F.lit(0))
+        high = F.least(F.get(words, F.lit(0)), F.size(hashes) - size)
+        return F.transform(F.sequence(low, high), lambda i: window(i, [word(i + k, words) for k in range(size)], bits(i, words)))
+
+    def from_first(opening: Column, p: Column, j: Column) -> Column:
+        # all sets of opening tokens that begin with p and fit in a window
+        after = F.filter(F.slice(opening, j + 2, size - 1), lambda q: q < p + size) if size > 1 else F.array().cast("array<int>")
+        chosen = lambda m: F.filter(after, lambda q, b: m.bitwiseAND(F.get(F.array(*[F.lit(1 << k) for k in range(size)]), b)) != 0)
+        sets = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(after)).cast("int") - 1)
+        return F.flatten(F.transform(sets, lambda m: holding(F.concat(F.array(p), chosen(m)))))
+
+    opening = F.filter(F.sequence(F.lit(0), F.size("opens") - 1), lambda i: F.get("opens", i))
+    return F.concat(plain, F.flatten(F.transform(opening, lambda p, j: from_first(opening, p, j))))
+
+
+def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
+    """Each reading of each window: the columns to keep, at, hash, lits and the raw tokens of the window."""
+    shown = _chunks(df, size, *keep).select(*keep, "start", "raw", F.explode(_readings(size)).alias("_window"))
+    return shown.select(
+        *keep, (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits", F.slice("raw", F.col("_window.at") + 1, size).alias("words")
     )
-    return F.when(F.size(hashes) >= size, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _bench_windows(bench: DataFrame) -> DataFrame:
-    """item_id, size of the windows, number of windows, place, hash and raw tokens of each window."""
+    """item_id, size of the windows, number of windows, place, hash, reading and raw tokens of each window."""
     items = with_template(bench.select("item_id", "text")).where(F.size("template") > 0)
-    parts = [
-        items.where(F.size("template") == size if size < WINDOW else F.size("template") >= WINDOW).select(
-            "item_id", "raw", F.lit(size).alias("size"), F.size(_windows(size)).alias("n"), F.posexplode(_windows(size)).alias("place", "hash")
-        )
-        for size in range(1, WINDOW + 1)
-    ]
+    parts = []
+    for size in range(1, WINDOW + 1):
+        own = items.where(F.size("template") == size if size < WINDOW else F.size("template") >= WINDOW)
+        own = own.withColumn("size", F.lit(size)).withColumn("n", F.size("template") - size + 1)
+        parts.append(_windows(own, size, "item_id", "size", "n"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.select("item_id", "size", "n", "place", "hash", F.slice("raw", F.col("place") + 1, F.col("size")).alias("item_raw"))
+    return every.select("item_id", "size", "n", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"))
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -94,11 +140,12 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     out = None
     for size, rows in sizes:
         slices = -(-rows // BROADCAST_WINDOWS)
-        shown = keyed.select("doc_id", "digest", "raw", F.posexplode(_windows(size)).alias("at", "hash"))
+        shown = _windows(keyed, size, "doc_id", "digest")
         for k in range(slices):
             side = windows.where((F.col("size") == size) & (F.pmod("hash", F.lit(slices)) == k))
-            found = shown.join(F.broadcast(side), "hash").select(
-                "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", F.slice("raw", F.col("at") + 1, F.col("size")).alias("doc_raw")
+            # two opening tokens meet as names, so that a pair of windows comes once
+            found = shown.join(F.broadcast(side), "hash").where(F.col("lits").bitwiseAND(F.col("item_lits")) == 0).select(
+                "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", F.col("words").alias("doc_raw")
             )
             out = found if out is None else out.unionByName(found)
     if out is None:
