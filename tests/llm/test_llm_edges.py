@@ -163,6 +163,19 @@ def test_names_that_open_sentences(spark):
     assert [got[k].n_changed for k in sorted(got)] == [1, 6, 0, 1]
 
 
+def test_one_torn_slot_leaves_the_other_windows(spark):
+    items = [
+        "in the box there are 12 red pens and 12 blue pens for all the children who come to draw a picture of the sea",
+        "a shop sells 5 jars of honey to each of the people who wait in line at noon and then 5 more to those who come late in the day",
+    ]
+    docs = [items[0].replace("12 blue", "15 blue"), items[1].replace("5 jars", "7 jars").replace("5 more", "9 more"), items[0].replace("12", "15")]
+    got = found(spark, items, docs)
+    assert set(got) == {(0, 0), (1, 1), (2, 0)}
+    # all 18 windows but those that hold the changed 12, at word 9; those of neither 5, at words 3 and 20; all
+    assert [got[k].n_windows for k in sorted(got)] == [10, 11, 18]
+    assert [got[k].n_changed for k in sorted(got)] == [0, 0, 1]
+
+
 @pytest.mark.parametrize("crowd,rows_", [(20_000, 256), (30, 16)])
 def test_near_copies_in_large_groups(spark, monkeypatch, crowd, rows_):
     monkeypatch.setattr(jaccard, "CROWD", crowd)

@@ -4,11 +4,12 @@ Tokens are numbers, words and sentence marks. Numbers, units after a number, and
 typed placeholders, all else lower case; sentence marks are dropped. A capital that opens a sentence may be a name or not, so
 such a token is both: it meets any name and any other opening capital as a placeholder, and its own word in lower case. A window
 has a hash for each reading of its opening tokens. Windows of ``WINDOW`` template tokens of the benchmark
-are hash-joined with the windows of all documents. Windows of one item at one distance form an alignment;
-it counts if its slots are consistent, that is, if each value of the item's slots has one counterpart in the
-document, equal or not. So a question with other numbers or names is found, and a mere likeness of form is not.
+are hash-joined with the windows of all documents. Windows of one item at one distance form an alignment.
+Its slots are the typed tokens of the item; a slot value is torn if it has several counterparts in the document. A window counts
+if none of its slots is changed, or if none of its slot values is torn. So a question with other numbers or names is found, an exact
+copy in part is found whatever is beside it, and a mere likeness of form is not.
 
-A document is contaminated by an item if its consistent alignments cover ``LEAST_WINDOWS`` windows of the item
+A document is contaminated by an item if the windows that count cover ``LEAST_WINDOWS`` windows of the item
 or ``LEAST_SHARE`` of them. DataFrame expressions only.
 
 Defined results: null and empty texts match nothing; items shorter than a window are compared whole (as windows of their
@@ -56,7 +57,7 @@ def _typed(raw: Column, token: Column, i: Column) -> Column:
 
 
 def with_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add raw (tokens without marks), template (hashes of their canonical form, opening capitals as names) and opens (which those are)."""
+    """Add raw (tokens without marks), template (hashes of their canonical form, opening capitals as names), opens (which those are) and slots (which are typed)."""
     marks = F.array(*[F.lit(m) for m in ".!?\n"])
     return (
         df.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0)))
@@ -64,15 +65,16 @@ def with_template(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("raw", F.filter("_tokens", lambda t: ~F.array_contains(marks, t)))
         .withColumn("template", F.transform("_typed", lambda t: F.xxhash64(F.when(t == "<open>", F.lit("<name>")).otherwise(t))))
         .withColumn("opens", F.transform("_typed", lambda t: t == "<open>"))
+        .withColumn("slots", F.transform("_typed", lambda t: t.startswith("<")))
         .drop("_tokens", "_typed")
     )
 
 
 def _chunks(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """Pieces of CHUNK windows: start, and the raw, template and opens of their tokens. No window is in two pieces."""
+    """Pieces of CHUNK windows: start, and the raw, template, opens and slots of their tokens. No window is in two pieces."""
     piece = lambda c, s: F.slice(c, s + 1, CHUNK + size - 1).alias(c)
     starts = F.sequence(F.lit(0), F.size("template") - size, F.lit(CHUNK))
-    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s), piece("opens", s)))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s), piece("opens", s), piece("slots", s)))
     return df.where(F.size("template") >= size).select(*keep, F.explode(pieces).alias("_piece")).select(*keep, "_piece.*")
 
 
@@ -111,15 +113,16 @@ def _readings(size: int) -> Column:
 
 
 def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """Each reading of each window: the columns to keep, at, hash, lits and the raw tokens of the window."""
-    shown = _chunks(df, size, *keep).select(*keep, "start", "raw", F.explode(_readings(size)).alias("_window"))
+    """Each reading of each window: the columns to keep, at, hash, lits, and the raw tokens and slots of the window."""
+    shown = _chunks(df, size, *keep).select(*keep, "start", "raw", "slots", F.explode(_readings(size)).alias("_window"))
     return shown.select(
-        *keep, (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits", F.slice("raw", F.col("_window.at") + 1, size).alias("words")
-    )
+        *keep, (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits",
+        F.slice("raw", F.col("_window.at") + 1, size).alias("words"), F.slice("slots", F.col("_window.at") + 1, size).alias("slots"),
+    )
 
 
 def _bench_windows(bench: DataFrame) -> DataFrame:
-    """item_id, size of the windows, number of windows, place, hash, reading and raw tokens of each window."""
+    """item_id, size of the windows, number of windows, place, hash, reading, raw tokens and slots of each window."""
     items = with_template(bench.select("item_id", "text")).where(F.size("template") > 0)
     parts = []
     for size in range(1, WINDOW + 1):
@@ -129,7 +132,7 @@ def _bench_windows(bench: DataFrame) -> DataFrame:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.select("item_id", "size", "n", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"))
+    return every.select("item_id", "size", "n", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), F.col("slots").alias("item_slots"))
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -145,37 +148,49 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
             side = windows.where((F.col("size") == size) & (F.pmod("hash", F.lit(slices)) == k))
             # two opening tokens meet as names, so that a pair of windows comes once
             found = shown.join(F.broadcast(side), "hash").where(F.col("lits").bitwiseAND(F.col("item_lits")) == 0).select(
-                "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", F.col("words").alias("doc_raw")
+                "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", "item_slots", F.col("words").alias("doc_raw")
             )
             out = found if out is None else out.unionByName(found)
     if out is None:
         out = keyed.join(windows.withColumnRenamed("hash", "digest"), "digest").select(
-            "doc_id", "digest", "item_id", "n", "place", F.lit(0).alias("at"), "item_raw", F.col("item_raw").alias("doc_raw")
+            "doc_id", "digest", "item_id", "n", "place", F.lit(0).alias("at"), "item_raw", "item_slots", F.col("item_raw").alias("doc_raw")
         )
     return out
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE) -> DataFrame:
     """doc_id, digest of its text, item_id, n_windows, share of the item's windows, and n_changed slots."""
-    found = cut(matches(docs, bench), "bench-matches").withColumn("shift", F.col("at") - F.col("place"))
-    # only tokens that differ can be slots with another value; case alone is no other value
-    slots = (
-        found.select(
-            "doc_id", "digest", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_raw").alias("old"), F.col("doc_raw").alias("new"))).alias("pair")
-        )
-        .select("doc_id", "digest", "item_id", "shift", F.lower("pair.old").alias("old"), F.lower("pair.new").alias("new"))
-        .groupBy("doc_id", "digest", "item_id", "shift", "old")
-        .agg(F.min("new").alias("least"), F.max("new").alias("most"))
-        .groupBy("doc_id", "digest", "item_id", "shift")
-        .agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("torn"), F.sum((F.col("old") != F.col("least")).cast("long")).alias("changed"))
-    )
+    found = cut(matches(docs, bench), "bench-matches")
+    # only typed tokens that differ are slots with another value; case alone is no other value
+    pairs = F.filter(F.arrays_zip(F.col("item_raw").alias("old"), F.col("doc_raw").alias("new"), F.col("item_slots").alias("slot")), lambda p: p["slot"])
     keys = ["doc_id", "digest", "item_id", "shift"]
+    slots = found.select(
+        "doc_id", "digest", "item_id", (F.col("at") - F.col("place")).alias("shift"), "n", "place",
+        F.transform(pairs, lambda p: F.struct(F.lower(p["old"]).alias("old"), F.lower(p["new"]).alias("new"))).alias("slots"),
+    )
+    torn = (
+        slots.select(*keys, F.explode("slots").alias("slot"))
+        .groupBy(*keys, "slot.old")
+        .agg(F.min("slot.new").alias("least"), F.max("slot.new").alias("most"))
+        .where("least <> most")
+        .groupBy(*keys)
+        .agg(F.collect_set("old").alias("torn"))
+    )
     even = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    places = found.select(*keys, "n", "place").distinct()
+    changed = F.array_distinct(F.transform(F.filter("slots", lambda p: p["old"] != p["new"]), lambda p: p["old"]))
+    values = F.transform("slots", lambda p: p["old"])
+    counted = (
+        slots.alias("l")
+        .join(torn.alias("r"), even[0] & even[1] & even[2] & even[3], "left")
+        .select(*[f"l.{k}" for k in keys], "n", "place", changed.alias("changed"), values.alias("values"), "torn")
+        .where((F.size("changed") == 0) | F.col("torn").isNull() | ~F.arrays_overlap("values", "torn"))
+    )
+    # an alignment has no more windows than its item
     return (
-        places.alias("l")
-        .join(slots.where("torn = 0").alias("r"), even[0] & even[1] & even[2] & even[3])
-        .groupBy("l.doc_id", "l.digest", "l.item_id", "l.n")
+        counted.groupBy(*keys, "n")
+        .agg(F.collect_set("place").alias("places"), F.size(F.array_distinct(F.flatten(F.collect_set("changed")))).cast("long").alias("changed"))
+        .select("doc_id", "digest", "item_id", "n", "changed", F.explode("places").alias("place"))
+        .groupBy("doc_id", "digest", "item_id", "n")
         .agg(F.count_distinct("place").alias("n_windows"), F.max("changed").alias("n_changed"))
         .withColumn("share", F.col("n_windows") / F.col("n"))
         .where((F.col("n_windows") >= least_windows) | (F.col("share") >= least_share))
