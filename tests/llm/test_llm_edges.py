@@ -176,6 +176,14 @@ def test_one_torn_slot_leaves_the_other_windows(spark):
     assert [got[k].n_changed for k in sorted(got)] == [0, 0, 1]
 
 
+def test_items_shorter_than_a_window(spark):
+    items = ["42", "What is 2 and 3", "short", "Who wrote Hamlet?"]
+    docs = ["He is 42 and 7.", "42.", "Now, what is 2 and 3 in all", "What is 4 and 5", "a short text", "Short!", "Who met Anna?", "who wrote hamlet"]
+    got = found(spark, items, docs)
+    assert set(got) == {(1, 0), (2, 1), (5, 2), (7, 3)}
+    assert {(r.n_windows, r.share, r.n_changed) for r in got.values()} == {(1, 1, 0)}
+
+
 @pytest.mark.parametrize("crowd,rows_", [(20_000, 256), (30, 16)])
 def test_near_copies_in_large_groups(spark, monkeypatch, crowd, rows_):
     monkeypatch.setattr(jaccard, "CROWD", crowd)

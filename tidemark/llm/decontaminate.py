@@ -12,8 +12,9 @@ copy in part is found whatever is beside it, and a mere likeness of form is not.
 A document is contaminated by an item if the windows that count cover ``LEAST_WINDOWS`` windows of the item
 or ``LEAST_SHARE`` of them. DataFrame expressions only.
 
-Defined results: null and empty texts match nothing; items shorter than a window are compared whole (as windows of their
-own length); items with equal templates and slots are reported each; documents that are equal in id and
+Defined results: null and empty texts match nothing; items shorter than a window match where a
+document holds all their tokens in a row, case aside, without any changed slot, and those of fewer than ``LEAST_WORDS`` words (numbers, units
+and names inside a sentence are none) match only documents that consist of these tokens; items with equal templates and slots are reported each; documents that are equal in id and
 text are reported once; an empty benchmark or table gives no rows; other columns are not read.
 """
 
@@ -27,6 +28,8 @@ from ..session import cut
 WINDOW = 8
 LEAST_WINDOWS = 6
 LEAST_SHARE = 0.5
+#: Words from which an item that is shorter than a window counts inside a longer text.
+LEAST_WORDS = 3
 #: Windows of the benchmark that are broadcast at once; more are joined slice by slice.
 BROADCAST_WINDOWS = 500_000
 #: Windows of a document that are hashed at once: a task holds the readings of so many, whatever the length of the text.
@@ -79,12 +82,17 @@ def _chunks(df: DataFrame, size: int, *keep: str) -> DataFrame:
 
 
 def _readings(size: int) -> Column:
-    """All windows of a piece in all readings: at (place in the piece), hash, and lits (bits of the opening tokens read as words)."""
+    """All windows of a piece in all readings: at (place in the piece), hash, and lits (bits of the opening tokens read as words).
+
+    Below the full size a window has one reading, its raw tokens in lower case."""
     hashes = F.col("template")
+    token = lambda at: F.get(hashes, at) if size == WINDOW else F.lower(F.get("raw", at))
     window = lambda at, tokens, lits: F.struct(at.alias("at"), F.xxhash64(F.lit(size), *tokens).alias("hash"), lits.alias("lits"))
     plain = F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - size), lambda i: window(i, [F.get(hashes, i + k) for k in range(size)], F.lit(0))
+        F.sequence(F.lit(0), F.size(hashes) - size), lambda i: window(i, [token(i + k) for k in range(size)], F.lit(0))
     )
+    if size < WINDOW:
+        return plain
 
     def word(at: Column, words: Column) -> Column:
         return F.when(F.array_contains(words, at), F.xxhash64(F.lower(F.get("raw", at)))).otherwise(F.get(hashes, at))
@@ -103,7 +111,7 @@ def _readings(size: int) -> Column:
 
     def from_first(opening: Column, p: Column, j: Column) -> Column:
         # all sets of opening tokens that begin with p and fit in a window
-        after = F.filter(F.slice(opening, j + 2, size - 1), lambda q: q < p + size) if size > 1 else F.array().cast("array<int>")
+        after = F.filter(F.slice(opening, j + 2, size - 1), lambda q: q < p + size)
         chosen = lambda m: F.filter(after, lambda q, b: m.bitwiseAND(F.get(F.array(*[F.lit(1 << k) for k in range(size)]), b)) != 0)
         sets = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(after)).cast("int") - 1)
         return F.flatten(F.transform(sets, lambda m: holding(F.concat(F.array(p), chosen(m)))))
@@ -122,32 +130,34 @@ def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
 
 
 def _bench_windows(bench: DataFrame) -> DataFrame:
-    """item_id, size of the windows, number of windows, place, hash, reading, raw tokens and slots of each window."""
+    """item_id, size of the windows, number of windows, whether the item has too few words, place, hash, reading, raw tokens and slots of each window."""
     items = with_template(bench.select("item_id", "text")).where(F.size("template") > 0)
     parts = []
     for size in range(1, WINDOW + 1):
         own = items.where(F.size("template") == size if size < WINDOW else F.size("template") >= WINDOW)
-        own = own.withColumn("size", F.lit(size)).withColumn("n", F.size("template") - size + 1)
-        parts.append(_windows(own, size, "item_id", "size", "n"))
+        words = F.size(F.filter("slots", lambda s, i: ~s | F.get("opens", i)))
+        own = own.withColumn("size", F.lit(size)).withColumn("n", F.size("template") - size + 1).withColumn("few", (F.lit(size) < WINDOW) & (words < LEAST_WORDS))
+        parts.append(_windows(own, size, "item_id", "size", "n", "few"))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.select("item_id", "size", "n", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), F.col("slots").alias("item_slots"))
+    return every.select("item_id", "size", "n", "few", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), F.col("slots").alias("item_slots"))
 
 
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Every window that a document shares with an item, with the tokens of both."""
     windows = cut(_bench_windows(bench), "bench-windows")
     sizes = [(r["size"], r["rows"]) for r in windows.groupBy("size").agg(F.count("*").alias("rows")).collect()]  # 8 rows at most
-    keyed = with_template(docs.select("doc_id", "text")).withColumn("digest", F.xxhash64("text"))
+    keyed = with_template(docs.select("doc_id", "text")).withColumn("digest", F.xxhash64("text")).withColumn("tokens", F.size("raw"))
     out = None
     for size, rows in sizes:
         slices = -(-rows // BROADCAST_WINDOWS)
-        shown = _windows(keyed, size, "doc_id", "digest")
+        shown = _windows(keyed, size, "doc_id", "digest", "tokens")
         for k in range(slices):
             side = windows.where((F.col("size") == size) & (F.pmod("hash", F.lit(slices)) == k))
             # two opening tokens meet as names, so that a pair of windows comes once
-            found = shown.join(F.broadcast(side), "hash").where(F.col("lits").bitwiseAND(F.col("item_lits")) == 0).select(
+            once = F.col("lits").bitwiseAND(F.col("item_lits")) == 0
+            found = shown.join(F.broadcast(side), "hash").where(once & (~F.col("few") | (F.col("tokens") == size))).select(
                 "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", "item_slots", F.col("words").alias("doc_raw")
             )
             out = found if out is None else out.unionByName(found)
