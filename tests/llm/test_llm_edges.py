@@ -280,6 +280,24 @@ def test_main_text_of_other_templates():
     assert html.decode(score, parent).tolist() == [True, False, False, True]
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('<article><p>a</p><svg class="i"/><p>b</p></article>', "a|b"),
+        ("<article><p>a</p><svg/><p>b</p><svg><g><path/><title>t</title></g><style/></svg><p>c</p></article>", "a|b|c"),
+        ("<article><p>a</p><button>x<p>b</p></article><p>c</p>", "a|x|b|c"),
+        ("<div><p>a</p><select><option>x<option>y</div><p>b</p>", "a|x|y|b"),
+        ("<p>a</p><object><p>b</p><button>x</button><p>c</p>", "a|b|c"),
+        ("<p>a</p><select><option>x<option>y</select><button><div>z</div></button><p>b</p>", "a|b"),
+        ("<p><a href=x><svg><path></a> b</p><p>c</p>", "b|c"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math></p><math/><p>b</p>", "so x=2|b"),
+        ("<p>a</p><script>var b = '<p>'", "a"),
+    ],
+)
+def test_silent_elements_end_where_they_end(source, want):
+    assert "|".join(text for _, text, _ in html.Page(source).blocks) == want
+
+
 def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>a", "x"), (2, "u", "", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.text, r.n_chars) for r in html.extract(pages).collect()) == [("", 0), ("", 0), ("a", 1)]

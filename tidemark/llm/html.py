@@ -7,7 +7,9 @@ page of the sample that mark is hidden, so the trees do not lean on it alone. De
 in which no node under a rejected node is kept.
 
 White space inside a block becomes one space, blocks are joined by line feeds in page order; scripts, styles, head and
-comments are no text; broken markup is read as far as it goes.
+comments are no text, nor is what stands in buttons, select lists, drawings, objects, templates, noscript, iframes and text areas; formulas are
+text. A button (or another of ``SILENT``) that has no end tag before its ancestor ends hides nothing; only ``RAW`` elements without
+an end tag go to the end of the page. Broken markup is read as far as it goes.
 
 Defined results: null and empty pages give the empty text; pages without any block give their text if there is any; rows that
 repeat repeat; where no page of the sample marks an article, nodes without a token of page furniture count as one; other
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +36,12 @@ TREES, LEVELS, RATE, BINS = 30, 3, 0.3, 32
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr".split()
+    "time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd mspace semantics".split()
 )
-SILENT = frozenset("script style title noscript template svg math iframe object select textarea button".split())
+#: Elements whose content is no markup, and elements whose content is markup but not read.
+RAW = frozenset("script style title iframe textarea".split())
+SILENT = frozenset("noscript template svg object select button annotation annotation-xml".split())
 #: What an element that begins also ends.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -85,26 +91,64 @@ class Page:
             if self._links:
                 self._linked += len(text)
 
+    @staticmethod
+    def _reveal(hush: list[tuple[str, int]], endless: set[int]) -> int:
+        """Silent elements that are still open have no end: they hide nothing. Returns the place to read again from."""
+        at = hush[0][1]
+        endless.update(place for name, place in hush if name in SILENT)
+        hush.clear()
+        return at
+
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#page", 0)]
+        # elements that are open from a silent one on, each with the place after its tag; silent ones that turned out to have no end
+        hush: list[tuple[str, int]] = []
+        endless: set[int] = set()
+        inline: Counter[str] = Counter()
         node, at, end = 0, 0, source.rfind(">") + 1
-        while at < end:
-            m = _TAG.search(source, at, end)
-            if m is None:
+        while True:
+            m = _TAG.search(source, at, end) if at < end else None
+            if m is None and not hush:
                 break
-            self._say(source[at : m.start()])
+            if m is None:
+                at = self._reveal(hush, endless)
+                continue
+            if not hush:
+                self._say(source[at : m.start()])
             at = m.end()
             name = m[2] or m[5]
             if name is None:
                 continue
             name, closing = name.lower(), m[1] or m[4]
-            if name in SILENT and not closing:
+            alone = m[0].endswith("/>")
+            if name in RAW and not closing:
+                if alone and any(n == "svg" for n, _ in hush):
+                    continue
                 stop = re.compile("</" + re.escape(name) + r"(?=[\s/>])", re.I).search(source, at)
                 at = stop.start() if stop else len(source)
                 end = max(end, at) if stop else at
                 continue
+            if hush:
+                if closing:
+                    k = next((k for k in range(len(hush) - 1, -1, -1) if hush[k][0] == name), -1)
+                    if k >= 0:
+                        del hush[k:]
+                        if not hush:
+                            self._flush(node)
+                            self._links = 0
+                    elif inline[name] or any(n == name for n, _ in stack):
+                        at = self._reveal(hush, endless)
+                elif name not in VOID and not (alone and (name == "svg" or any(n == "svg" for n, _ in hush))):
+                    hush.append((name, at))
+                continue
+            if name in SILENT and not closing:
+                if at not in endless and not (alone and name == "svg"):
+                    hush.append((name, at))
+                continue
             if name in INLINE or name in VOID:
                 self.inner[node] += 1
+                if name in INLINE and not alone:
+                    inline[name] = max(0, inline[name] - 1) if closing else inline[name] + 1
                 if name == "a":
                     self._links = 0 if closing else 1
                 elif name not in VOID:
