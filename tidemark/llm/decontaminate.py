@@ -94,6 +94,9 @@ def _readings(size: int) -> Column:
     if size < WINDOW:
         return plain
 
+    # a value that a lambda uses often is worked out once
+    once = lambda value, body: F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
     def word(at: Column, words: Column) -> Column:
         return F.when(F.array_contains(words, at), F.xxhash64(F.lower(F.get("raw", at)))).otherwise(F.get(hashes, at))
 
@@ -112,12 +115,12 @@ def _readings(size: int) -> Column:
     def from_first(opening: Column, p: Column, j: Column) -> Column:
         # all sets of opening tokens that begin with p and fit in a window
         after = F.filter(F.slice(opening, j + 2, size - 1), lambda q: q < p + size)
-        chosen = lambda m: F.filter(after, lambda q, b: m.bitwiseAND(F.get(F.array(*[F.lit(1 << k) for k in range(size)]), b)) != 0)
-        sets = F.sequence(F.lit(0), F.pow(F.lit(2), F.size(after)).cast("int") - 1)
-        return F.flatten(F.transform(sets, lambda m: holding(F.concat(F.array(p), chosen(m)))))
+        chosen = lambda a, m: F.filter(a, lambda q, b: m.bitwiseAND(F.get(F.array(*[F.lit(1 << k) for k in range(size)]), b)) != 0)
+        sets = lambda a: F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), F.size(a)).cast("int") - 1), lambda m: F.concat(F.array(p), chosen(a, m)))
+        return F.flatten(F.transform(once(after, sets), lambda w: holding(w)))
 
     opening = F.filter(F.sequence(F.lit(0), F.size("opens") - 1), lambda i: F.get("opens", i))
-    return F.concat(plain, F.flatten(F.transform(opening, lambda p, j: from_first(opening, p, j))))
+    return F.concat(plain, once(opening, lambda o: F.flatten(F.transform(o, lambda p, j: from_first(o, p, j)))))
 
 
 def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
