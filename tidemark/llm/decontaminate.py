@@ -4,7 +4,8 @@ Tokens are numbers, words and sentence marks. Numbers, units after a number, and
 typed placeholders, all else lower case; sentence marks are dropped. A capital that opens a sentence may be a name or not, so
 such a token is both: it meets any name and any other opening capital as a placeholder, and its own word in lower case. A window
 has a hash for each reading of its opening tokens. Windows of ``WINDOW`` template tokens of the benchmark
-are hash-joined with the windows of all documents. Windows of one item at one distance form an alignment.
+are hash-joined with the windows of all documents, but for those of which a half in no reading is a half of the benchmark's
+(a bitmap of bounded size tells): they can meet nothing. Windows of one item at one distance form an alignment.
 Its slots are the typed tokens of the item; a slot value is torn if it has several counterparts in the document. A window counts
 if none of its slots is changed, or if none of its slot values is torn. So a question with other numbers or names is found, an exact
 copy in part is found whatever is beside it, and a mere likeness of form is not.
@@ -20,18 +21,21 @@ text are reported once; an empty benchmark or table gives no rows; other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 WINDOW = 8
+HALF = WINDOW // 2
 LEAST_WINDOWS = 6
 LEAST_SHARE = 0.5
 #: Words from which an item that is shorter than a window counts inside a longer text.
 LEAST_WORDS = 3
-#: Windows of the benchmark that are broadcast at once; more are joined slice by slice.
-BROADCAST_WINDOWS = 500_000
+#: Bits of the test for what the benchmark holds, at most.
+MOST_BITS = 1 << 20
 #: Windows of a document that are hashed at once: a task holds the readings of so many, whatever the length of the text.
 CHUNK = 256
 
@@ -42,6 +46,7 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degrees"
 ).split()
 
+Test = Callable[[Column], Column]
 _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}]+|[.!?\n]"
 
 
@@ -73,102 +78,123 @@ def with_template(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def _chunks(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """Pieces of CHUNK windows: start, and the raw, template, opens and slots of their tokens. No window is in two pieces."""
-    piece = lambda c, s: F.slice(c, s + 1, CHUNK + size - 1).alias(c)
-    starts = F.sequence(F.lit(0), F.size("template") - size, F.lit(CHUNK))
+def _no_places() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _chunks(df: DataFrame, *keep: str) -> DataFrame:
+    """Pieces of CHUNK places: start, and the raw, template, opens and slots of their tokens and of those that the last windows reach into."""
+    piece = lambda c, s: F.slice(c, s + 1, CHUNK + WINDOW - 1).alias(c)
+    # no filter on a computed array: Spark would push it below the array and tokenise once more per token
+    starts = F.when(F.size("template") > 0, F.sequence(F.lit(0), F.size("template") - 1, F.lit(CHUNK))).otherwise(_no_places())
     pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s), piece("opens", s), piece("slots", s)))
-    return df.where(F.size("template") >= size).select(*keep, F.explode(pieces).alias("_piece")).select(*keep, "_piece.*")
+    return df.select(*keep, F.explode(pieces).alias("_piece")).select(*keep, "_piece.*")
 
 
-def _readings(size: int) -> Column:
-    """All windows of a piece in all readings: at (place in the piece), hash, and lits (bits of the opening tokens read as words).
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """A value that a lambda uses often is worked out once."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
-    Below the full size a window has one reading, its raw tokens in lower case."""
-    hashes = F.col("template")
-    token = lambda at: F.get(hashes, at) if size == WINDOW else F.lower(F.get("raw", at))
-    window = lambda at, tokens, lits: F.struct(at.alias("at"), F.xxhash64(F.lit(size), *tokens).alias("hash"), lits.alias("lits"))
-    plain = F.transform(
-        F.sequence(F.lit(0), F.size(hashes) - size), lambda i: window(i, [token(i + k) for k in range(size)], F.lit(0))
-    )
-    if size < WINDOW:
-        return plain
 
-    # a value that a lambda uses often is worked out once
-    once = lambda value, body: F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+def _half(i: Column) -> Column:
+    """The readings of the half window at i: hash, and lits (bits of the opening tokens read as words)."""
+    token = lambda k: F.get("template", i + k)
+    word = lambda k: F.xxhash64(F.lower(F.get("raw", i + k)))
+    plain = F.struct(F.xxhash64(F.lit(HALF), *[token(k) for k in range(HALF)]).alias("hash"), F.lit(0).alias("lits"))
+
+    def reading(lits: Column) -> Column:
+        tokens = [F.when(lits.bitwiseAND(1 << k) != 0, word(k)).otherwise(token(k)) for k in range(HALF)]
+        return F.struct(F.xxhash64(F.lit(HALF), *tokens).alias("hash"), lits.alias("lits"))
+
+    def readings(opening: Column) -> Column:
+        bits = F.lit(0)
+        for k in range(HALF):
+            bits = bits + F.when(F.get(opening, F.lit(k)), 1 << k).otherwise(0)
+        sets = _once(bits, lambda b: F.filter(F.sequence(F.lit(0), F.lit((1 << HALF) - 1)), lambda m: m.bitwiseAND(b) == m))
+        return F.when(F.array_contains(opening, True), F.transform(sets, reading)).otherwise(F.array(plain))
+
+    return _once(F.slice("opens", i + 1, HALF), readings)
 
-    def word(at: Column, words: Column) -> Column:
-        return F.when(F.array_contains(words, at), F.xxhash64(F.lower(F.get("raw", at)))).otherwise(F.get(hashes, at))
 
-    def bits(at: Column, words: Column) -> Column:
-        out = F.lit(0)
-        for k in range(size):
-            out = out + F.when(F.array_contains(words, at + k), F.lit(1 << k)).otherwise(F.lit(0))
-        return out
+def _readings(sizes: Sequence[int], known: Test) -> Column:
+    """All windows of a piece in all readings whose halves pass the test: size, place in the piece, hash, and lits.
 
-    def holding(words: Column) -> Column:
-        # the windows that hold all of these tokens, which are in order
-        low = F.greatest(F.element_at(words, -1) - (size - 1), F.lit(0))
-        high = F.least(F.get(words, F.lit(0)), F.size(hashes) - size)
-        return F.transform(F.sequence(low, high), lambda i: window(i, [word(i + k, words) for k in range(size)], bits(i, words)))
+    Below the full size a window has one reading, its raw tokens in lower case, and is tested as a whole."""
+    window = lambda size, at, key, lits: F.struct(F.lit(size).alias("size"), at.alias("at"), key.alias("hash"), lits.alias("lits"))
+    fits = lambda size, most: F.when(F.size("template") >= size, F.sequence(F.lit(0), F.least(F.lit(most), F.size("template") - size))).otherwise(_no_places())
 
-    def from_first(opening: Column, p: Column, j: Column) -> Column:
-        # all sets of opening tokens that begin with p and fit in a window
-        after = F.filter(F.slice(opening, j + 2, size - 1), lambda q: q < p + size)
-        chosen = lambda a, m: F.filter(a, lambda q, b: m.bitwiseAND(F.get(F.array(*[F.lit(1 << k) for k in range(size)]), b)) != 0)
-        sets = lambda a: F.transform(F.sequence(F.lit(0), F.pow(F.lit(2), F.size(a)).cast("int") - 1), lambda m: F.concat(F.array(p), chosen(a, m)))
-        return F.flatten(F.transform(once(after, sets), lambda w: holding(w)))
+    def whole(halves: Column) -> Column:
+        joined = lambda i, a, b: window(WINDOW, i, F.xxhash64(a["hash"], b["hash"]), a["lits"] + b["lits"] * (1 << HALF))
+        pairs = lambda i: F.flatten(F.transform(F.get(halves, i), lambda a: F.transform(F.get(halves, i + HALF), lambda b: joined(i, a, b))))
+        both = F.filter(fits(WINDOW, CHUNK - 1), lambda i: (F.size(F.get(halves, i)) > 0) & (F.size(F.get(halves, i + HALF)) > 0))
+        return F.flatten(F.transform(both, pairs))
 
-    opening = F.filter(F.sequence(F.lit(0), F.size("opens") - 1), lambda i: F.get("opens", i))
-    return F.concat(plain, once(opening, lambda o: F.flatten(F.transform(o, lambda p, j: from_first(o, p, j)))))
+    def short(size: int) -> Column:
+        tokens = lambda i: F.xxhash64(F.lit(size), *[F.lower(F.get("raw", i + k)) for k in range(size)])
+        return F.filter(F.transform(fits(size, CHUNK - 1), lambda i: window(size, i, tokens(i), F.lit(0))), lambda w: known(w["hash"]))
 
+    halves = F.transform(fits(HALF, CHUNK - 1 + HALF), lambda i: F.filter(_half(i), lambda h: known(h["hash"])))
+    return F.concat(*[_once(halves, whole) if size == WINDOW else short(size) for size in sizes])
 
-def _windows(df: DataFrame, size: int, *keep: str) -> DataFrame:
-    """Each reading of each window: the columns to keep, at, hash, lits, and the raw tokens and slots of the window."""
-    shown = _chunks(df, size, *keep).select(*keep, "start", "raw", "slots", F.explode(_readings(size)).alias("_window"))
+
+def _windows(df: DataFrame, sizes: Sequence[int], known: Test, *keep: str) -> DataFrame:
+    """Each reading of each window that passes the test: the columns to keep, size, at, hash, lits, and the raw tokens and slots of the window."""
+    shown = _chunks(df, *keep).select(*keep, "start", "raw", "slots", F.explode(_readings(sizes, known)).alias("_window"))
     return shown.select(
-        *keep, (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits",
-        F.slice("raw", F.col("_window.at") + 1, size).alias("words"), F.slice("slots", F.col("_window.at") + 1, size).alias("slots"),
+        *keep, "_window.size", (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits",
+        F.expr("slice(raw, _window.at + 1, _window.size)").alias("words"), F.expr("slice(slots, _window.at + 1, _window.size)").alias("slots"),
     )
 
 
-def _bench_windows(bench: DataFrame) -> DataFrame:
+def _bench_windows(items: DataFrame) -> DataFrame:
     """item_id, size of the windows, number of windows, whether the item has too few words, place, hash, reading, raw tokens and slots of each window."""
-    items = with_template(bench.select("item_id", "text")).where(F.size("template") > 0)
-    parts = []
-    for size in range(1, WINDOW + 1):
-        own = items.where(F.size("template") == size if size < WINDOW else F.size("template") >= WINDOW)
-        words = F.size(F.filter("slots", lambda s, i: ~s | F.get("opens", i)))
-        own = own.withColumn("size", F.lit(size)).withColumn("n", F.size("template") - size + 1).withColumn("few", (F.lit(size) < WINDOW) & (words < LEAST_WORDS))
-        parts.append(_windows(own, size, "item_id", "size", "n", "few"))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
+    words = F.size(F.filter("slots", lambda s, i: ~s | F.get("opens", i)))
+    items = items.withColumn("of", F.least(F.size("template"), F.lit(WINDOW)))
+    items = items.withColumn("n", F.size("template") - F.col("of") + 1).withColumn("few", (F.col("of") < WINDOW) & (words < LEAST_WORDS))
+    every = _windows(items, range(1, WINDOW + 1), lambda h: F.lit(True), "item_id", "of", "n", "few").where("size = of")
     return every.select("item_id", "size", "n", "few", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), F.col("slots").alias("item_slots"))
 
 
+def _bitmap(items: DataFrame, windows: DataFrame) -> Test:
+    """A test that every half window and every short window of the benchmark passes, and most others fail: one bit per hash.
+
+    Texts that share nothing with the benchmark make next to no rows. The test has MOST_BITS bits at most, however large the
+    benchmark: beyond a sixteenth as many halves it lets more through, and never stops what the benchmark holds.
+    """
+    places = F.when(F.size("template") >= WINDOW, F.sequence(F.lit(0), F.size("template") - HALF)).otherwise(_no_places())
+    halves = items.select(F.explode(F.flatten(F.transform(places, _half))).alias("_half")).select("_half.hash")
+    keys = cut(halves.unionByName(windows.where(F.col("size") < WINDOW).select("hash")).distinct(), "bench-keys")
+    bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
+    place = F.col("hash").bitwiseAND(bits - 1)
+    word = F.call_function("shiftright", place, F.lit(6)).cast("int")
+    marks = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("mark"))
+    words = [0] * (bits // 64)
+    for row in marks.groupBy("word").agg(F.bit_or("mark").alias("marks")).collect():  # MOST_BITS / 64 rows at most
+        words[row["word"]] = row["marks"]
+    # a constant: Spark folds it into one array
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    def known(key: Column) -> Column:
+        at = key.bitwiseAND(bits - 1)
+        mark = F.get(table, F.call_function("shiftright", at, F.lit(6)).cast("int"))
+        return F.call_function("shiftright", mark, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+    return known
+
+
 def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Every window that a document shares with an item, with the tokens of both."""
-    windows = cut(_bench_windows(bench), "bench-windows")
-    sizes = [(r["size"], r["rows"]) for r in windows.groupBy("size").agg(F.count("*").alias("rows")).collect()]  # 8 rows at most
+    items = cut(with_template(bench.select("item_id", "text")), "bench-items")
+    windows = cut(_bench_windows(items), "bench-windows")
+    sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # WINDOW rows at most
     keyed = with_template(docs.select("doc_id", "text")).withColumn("digest", F.xxhash64("text")).withColumn("tokens", F.size("raw"))
-    out = None
-    for size, rows in sizes:
-        slices = -(-rows // BROADCAST_WINDOWS)
-        shown = _windows(keyed, size, "doc_id", "digest", "tokens")
-        for k in range(slices):
-            side = windows.where((F.col("size") == size) & (F.pmod("hash", F.lit(slices)) == k))
-            # two opening tokens meet as names, so that a pair of windows comes once
-            once = F.col("lits").bitwiseAND(F.col("item_lits")) == 0
-            found = shown.join(F.broadcast(side), "hash").where(once & (~F.col("few") | (F.col("tokens") == size))).select(
-                "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", "item_slots", F.col("words").alias("doc_raw")
-            )
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = keyed.join(windows.withColumnRenamed("hash", "digest"), "digest").select(
-            "doc_id", "digest", "item_id", "n", "place", F.lit(0).alias("at"), "item_raw", "item_slots", F.col("item_raw").alias("doc_raw")
-        )
-    return out
+    # the texts are tokenised once; their windows that may meet the benchmark are written, and meet it in one join
+    shown = cut(_windows(keyed, sorted(sizes) or [WINDOW], _bitmap(items, windows), "doc_id", "digest", "tokens"), "bench-candidates")
+    # two opening tokens meet as names, so that a pair of windows comes once
+    once = F.col("lits").bitwiseAND(F.col("item_lits")) == 0
+    return shown.join(windows.drop("size").withColumn("size", F.size("item_raw")), ["size", "hash"]).where(once & (~F.col("few") | (F.col("tokens") == F.col("size")))).select(
+        "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", "item_slots", F.col("words").alias("doc_raw")
+    )
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, least_windows: int = LEAST_WINDOWS, least_share: float = LEAST_SHARE) -> DataFrame:
