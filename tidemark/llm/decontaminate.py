@@ -4,8 +4,8 @@ Tokens are numbers, words and sentence marks. Numbers, units after a number, and
 typed placeholders, all else lower case; sentence marks are dropped. A capital that opens a sentence may be a name or not, so
 such a token is both: it meets any name and any other opening capital as a placeholder, and its own word in lower case. A window
 has a hash for each reading of its opening tokens. Windows of ``WINDOW`` template tokens of the benchmark
-are hash-joined with the windows of all documents, but for those of which a half in no reading is a half of the benchmark's
-(a bitmap of bounded size tells): they can meet nothing. Windows of one item at one distance form an alignment.
+are hash-joined with the windows of all documents, but for those of which a half can meet no half of the benchmark
+(a bitmap of bounded size tells). Windows of one item at one distance form an alignment.
 Its slots are the typed tokens of the item; a slot value is torn if it has several counterparts in the document. A window counts
 if none of its slots is changed, or if none of its slot values is torn. So a question with other numbers or names is found, an exact
 copy in part is found whatever is beside it, and a mere likeness of form is not.
@@ -35,7 +35,7 @@ LEAST_SHARE = 0.5
 #: Words from which an item that is shorter than a window counts inside a longer text.
 LEAST_WORDS = 3
 #: Bits of the test for what the benchmark holds, at most.
-MOST_BITS = 1 << 20
+MOST_BITS = 1 << 21
 #: Windows of a document that are hashed at once: a task holds the readings of so many, whatever the length of the text.
 CHUNK = 256
 
@@ -50,31 +50,36 @@ Test = Callable[[Column], Column]
 _TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{N}]+|[.!?\n]"
 
 
-def _typed(raw: Column, token: Column, i: Column) -> Column:
-    """Template token of a token, <open> for a capital that opens a sentence, or null for a sentence mark."""
+def _kind(name: str) -> Column:
+    """The hash that stands for a placeholder in a template: num, unit, name, or open for a capital that opens a sentence."""
+    return F.xxhash64(F.lit(f"<{name}>"))
+
+
+def _typed(tokens: Column, token: Column, i: Column, a_word: Test) -> Column:
+    """Template token: the hash of its canonical form, or null for a sentence mark. Comparisons with a sign after the last digit or letter tell the first character."""
+    before = F.get(tokens, i - 1)
+    unit = (before >= "0") & (before < ":") & F.lower(token).isin(*UNITS)
+    word = F.when(unit, _kind("unit")).otherwise(F.xxhash64(F.lower(token)))
     first = F.substring(token, 1, 1)
-    before = F.get(raw, i - 1)
-    digit = first.between("0", "9")
+    inside = (i > 0) & ~before.isin(".", "!", "?", "\n")
+    capital = F.when(inside | ~a_word(F.xxhash64(F.lower(token))), _kind("name")).otherwise(_kind("open"))
     return (
-        F.when(token.isin(".", "!", "?", "\n"), None)
-        .when(digit, F.lit("<num>"))
-        .when(F.substring(before, 1, 1).between("0", "9") & F.lower(token).isin(*UNITS), F.lit("<unit>"))
-        .when(F.lower(first) != first, F.when((i > 0) & ~before.isin(".", "!", "?", "\n"), F.lit("<name>")).otherwise(F.lit("<open>")))
-        .otherwise(F.lower(token))
+        F.when((token >= "a") & (token < "{"), word)
+        .when((token < "0") | (token == "?"), None)
+        .when(token < ":", _kind("num"))
+        .when(unit, _kind("unit"))
+        .when(F.lower(first) != first, capital)
+        .otherwise(F.xxhash64(F.lower(token)))
     )
 
 
-def with_template(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add raw (tokens without marks), template (hashes of their canonical form, opening capitals as names), opens (which those are) and slots (which are typed)."""
-    marks = F.array(*[F.lit(m) for m in ".!?\n"])
+def with_template(df: DataFrame, a_word: Test = lambda key: F.lit(True)) -> DataFrame:
+    """Add raw (tokens without marks) and template (hashes of their canonical form). An opening token that cannot be a word of the benchmark is a name."""
     return (
-        df.withColumn("_tokens", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_TOKEN), F.lit(0)))
-        .withColumn("_typed", F.filter(F.transform("_tokens", lambda t, i: _typed(F.col("_tokens"), t, i)), lambda t: t.isNotNull()))
-        .withColumn("raw", F.filter("_tokens", lambda t: ~F.array_contains(marks, t)))
-        .withColumn("template", F.transform("_typed", lambda t: F.xxhash64(F.when(t == "<open>", F.lit("<name>")).otherwise(t))))
-        .withColumn("opens", F.transform("_typed", lambda t: t == "<open>"))
-        .withColumn("slots", F.transform("_typed", lambda t: t.startswith("<")))
-        .drop("_tokens", "_typed")
+        df.withColumn("_tokens", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_TOKEN), F.lit(0)))
+        .withColumn("raw", F.filter("_tokens", lambda t: (t >= "0") & (t != "?")))
+        .withColumn("template", F.filter(F.transform("_tokens", lambda t, i: _typed(F.col("_tokens"), t, i, a_word)), lambda t: t.isNotNull()))
+        .drop("_tokens")
     )
 
 
@@ -83,11 +88,11 @@ def _no_places() -> Column:
 
 
 def _chunks(df: DataFrame, *keep: str) -> DataFrame:
-    """Pieces of CHUNK places: start, and the raw, template, opens and slots of their tokens and of those that the last windows reach into."""
+    """Pieces of CHUNK places: start, and the raw and template of their tokens and of those that the last windows reach into."""
     piece = lambda c, s: F.slice(c, s + 1, CHUNK + WINDOW - 1).alias(c)
     # no filter on a computed array: Spark would push it below the array and tokenise once more per token
     starts = F.when(F.size("template") > 0, F.sequence(F.lit(0), F.size("template") - 1, F.lit(CHUNK))).otherwise(_no_places())
-    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s), piece("opens", s), piece("slots", s)))
+    pieces = F.transform(starts, lambda s: F.struct(s.alias("start"), piece("raw", s), piece("template", s)))
     return df.select(*keep, F.explode(pieces).alias("_piece")).select(*keep, "_piece.*")
 
 
@@ -96,75 +101,111 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def _half_hash(tokens: Sequence[Column]) -> Column:
+    return F.xxhash64(F.lit(HALF), *tokens)
+
+
+def _word(i: Column) -> Column:
+    return F.xxhash64(F.lower(F.get("raw", i)))
+
+
 def _half(i: Column) -> Column:
     """The readings of the half window at i: hash, and lits (bits of the opening tokens read as words)."""
-    token = lambda k: F.get("template", i + k)
-    word = lambda k: F.xxhash64(F.lower(F.get("raw", i + k)))
-    plain = F.struct(F.xxhash64(F.lit(HALF), *[token(k) for k in range(HALF)]).alias("hash"), F.lit(0).alias("lits"))
 
     def reading(lits: Column) -> Column:
-        tokens = [F.when(lits.bitwiseAND(1 << k) != 0, word(k)).otherwise(token(k)) for k in range(HALF)]
-        return F.struct(F.xxhash64(F.lit(HALF), *tokens).alias("hash"), lits.alias("lits"))
-
-    def readings(opening: Column) -> Column:
-        bits = F.lit(0)
+        tokens = []
         for k in range(HALF):
-            bits = bits + F.when(F.get(opening, F.lit(k)), 1 << k).otherwise(0)
-        sets = _once(bits, lambda b: F.filter(F.sequence(F.lit(0), F.lit((1 << HALF) - 1)), lambda m: m.bitwiseAND(b) == m))
-        return F.when(F.array_contains(opening, True), F.transform(sets, reading)).otherwise(F.array(plain))
+            t = F.get("template", i + k)
+            tokens.append(F.when(t != _kind("open"), t).when(lits.bitwiseAND(1 << k) != 0, _word(i + k)).otherwise(_kind("name")))
+        return F.struct(_half_hash(tokens).alias("hash"), lits.alias("lits"))
+
+    bits = F.lit(0)
+    for k in range(HALF):
+        bits = bits + F.when(F.get("template", i + k) == _kind("open"), 1 << k).otherwise(0)
+    # the sets of opening tokens that may be words, for each set of opening tokens
+    sets = F.array(*[F.array(*[F.lit(m) for m in range(1 << HALF) if m & b == m]) for b in range(1 << HALF)])
+    return F.transform(F.get(sets, bits), reading)
+
 
-    return _once(F.slice("opens", i + 1, HALF), readings)
+def _fits(size: int, most: int) -> Column:
+    """Places of a piece, up to the given one, at which so many tokens begin."""
+    return F.when(F.size("template") >= size, F.sequence(F.lit(0), F.least(F.lit(most), F.size("template") - size))).otherwise(_no_places())
 
 
-def _readings(sizes: Sequence[int], known: Test) -> Column:
-    """All windows of a piece in all readings whose halves pass the test: size, place in the piece, hash, and lits.
+def _readings(sizes: Sequence[int], open_known: Test, known: Test) -> Column:
+    """All windows of a piece in all readings whose halves pass the tests: size, place in the piece, hash, and lits.
 
     Below the full size a window has one reading, its raw tokens in lower case, and is tested as a whole."""
     window = lambda size, at, key, lits: F.struct(F.lit(size).alias("size"), at.alias("at"), key.alias("hash"), lits.alias("lits"))
-    fits = lambda size, most: F.when(F.size("template") >= size, F.sequence(F.lit(0), F.least(F.lit(most), F.size("template") - size))).otherwise(_no_places())
 
-    def whole(halves: Column) -> Column:
-        joined = lambda i, a, b: window(WINDOW, i, F.xxhash64(a["hash"], b["hash"]), a["lits"] + b["lits"] * (1 << HALF))
-        pairs = lambda i: F.flatten(F.transform(F.get(halves, i), lambda a: F.transform(F.get(halves, i + HALF), lambda b: joined(i, a, b))))
-        both = F.filter(fits(WINDOW, CHUNK - 1), lambda i: (F.size(F.get(halves, i)) > 0) & (F.size(F.get(halves, i + HALF)) > 0))
-        return F.flatten(F.transform(both, pairs))
+    def whole(i: Column) -> Column:
+        kept = lambda j: F.filter(_half(j), lambda h: known(h["hash"]))
+        joined = lambda a, b: window(WINDOW, i, F.xxhash64(a["hash"], b["hash"]), a["lits"] + b["lits"] * (1 << HALF))
+        return F.flatten(F.transform(kept(i), lambda a: F.transform(kept(i + HALF), lambda b: joined(a, b))))
 
     def short(size: int) -> Column:
         tokens = lambda i: F.xxhash64(F.lit(size), *[F.lower(F.get("raw", i + k)) for k in range(size)])
-        return F.filter(F.transform(fits(size, CHUNK - 1), lambda i: window(size, i, tokens(i), F.lit(0))), lambda w: known(w["hash"]))
+        return F.filter(F.transform(_fits(size, CHUNK - 1), lambda i: window(size, i, tokens(i), F.lit(0))), lambda w: known(w["hash"]))
 
-    halves = F.transform(fits(HALF, CHUNK - 1 + HALF), lambda i: F.filter(_half(i), lambda h: known(h["hash"])))
-    return F.concat(*[_once(halves, whole) if size == WINDOW else short(size) for size in sizes])
+    # one hash per place with opening tokens left open tells where readings are worth while
+    open_halves = F.transform(_fits(HALF, CHUNK - 1 + HALF), lambda i: _half_hash([F.get("template", i + k) for k in range(HALF)]))
+    passes = F.transform(open_halves, open_known)
+    places = _once(passes, lambda p: F.filter(_fits(WINDOW, CHUNK - 1), lambda i: F.get(p, i) & F.get(p, i + HALF)))
+    return F.concat(*[F.flatten(F.transform(places, whole)) if size == WINDOW else short(size) for size in sizes])
 
 
-def _windows(df: DataFrame, sizes: Sequence[int], known: Test, *keep: str) -> DataFrame:
-    """Each reading of each window that passes the test: the columns to keep, size, at, hash, lits, and the raw tokens and slots of the window."""
-    shown = _chunks(df, *keep).select(*keep, "start", "raw", "slots", F.explode(_readings(sizes, known)).alias("_window"))
+def _windows(df: DataFrame, sizes: Sequence[int], open_known: Test, known: Test, *keep: str) -> DataFrame:
+    """Each reading of each window that passes the tests: the columns to keep, size, at, hash, lits, and the raw and template tokens of the window."""
+    shown = _chunks(df, *keep).select(*keep, "start", "raw", "template", F.explode(_readings(sizes, open_known, known)).alias("_window"))
+    tokens = lambda c: F.expr(f"slice({c}, _window.at + 1, _window.size)")
     return shown.select(
-        *keep, "_window.size", (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits",
-        F.expr("slice(raw, _window.at + 1, _window.size)").alias("words"), F.expr("slice(slots, _window.at + 1, _window.size)").alias("slots"),
+        *keep, "_window.size", (F.col("start") + F.col("_window.at")).alias("at"), "_window.hash", "_window.lits", tokens("raw").alias("words"), tokens("template").alias("types")
     )
 
 
 def _bench_windows(items: DataFrame) -> DataFrame:
     """item_id, size of the windows, number of windows, whether the item has too few words, place, hash, reading, raw tokens and slots of each window."""
-    words = F.size(F.filter("slots", lambda s, i: ~s | F.get("opens", i)))
+    words = F.size(F.filter("template", lambda t: ~t.isin(_kind("num"), _kind("unit"), _kind("name"))))
     items = items.withColumn("of", F.least(F.size("template"), F.lit(WINDOW)))
     items = items.withColumn("n", F.size("template") - F.col("of") + 1).withColumn("few", (F.col("of") < WINDOW) & (words < LEAST_WORDS))
-    every = _windows(items, range(1, WINDOW + 1), lambda h: F.lit(True), "item_id", "of", "n", "few").where("size = of")
-    return every.select("item_id", "size", "n", "few", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), F.col("slots").alias("item_slots"))
+    every = _windows(items, range(1, WINDOW + 1), lambda h: F.lit(True), lambda h: F.lit(True), "item_id", "of", "n", "few").where("size = of")
+    slots = F.transform("types", lambda t: t.isin(*[_kind(k) for k in ("num", "unit", "name", "open")]))
+    return every.select("item_id", "size", "n", "few", F.col("at").alias("place"), "hash", F.col("lits").alias("item_lits"), F.col("words").alias("item_raw"), slots.alias("item_slots"))
 
 
-def _bitmap(items: DataFrame, windows: DataFrame) -> Test:
-    """A test that every half window and every short window of the benchmark passes, and most others fail: one bit per hash.
+def _meets(i: Column) -> Column:
+    """The hashes of all halves of documents that the half at i of an item may meet, with opening tokens left open or read."""
+
+    def options(at: Column) -> Column:
+        t = F.get("template", at)
+        fixed = F.when(t.isin(_kind("num"), _kind("unit")), F.array(t))
+        return fixed.when(t == _kind("open"), F.array(t, _kind("name"), _word(at))).otherwise(F.array(t, _kind("open")))
+
+    def choose(chosen: list[Column], k: int) -> Column:
+        if k == HALF:
+            return F.array(_half_hash(chosen))
+        return F.flatten(F.transform(options(i + k), lambda t: choose([*chosen, t], k + 1)))
+
+    return choose([], 0)
+
+
+def _tests(items: DataFrame, windows: DataFrame) -> tuple[Test, Test]:
+    """Two tests: for halves with opening tokens left open that may meet the benchmark, and for its own halves and short windows."""
+    places = F.when(F.size("template") >= WINDOW, F.sequence(F.lit(0), F.size("template") - HALF)).otherwise(_no_places())
+    halves = cut(items.select("raw", "template", F.explode(places).alias("_at")), "bench-halves")
+    meets = halves.select(F.explode(_meets(F.col("_at"))).alias("hash"))
+    own = halves.select(F.explode(_half(F.col("_at"))).alias("_half")).select("_half.hash").unionByName(windows.where(F.col("size") < WINDOW).select("hash"))
+    return _bitmap(meets), _bitmap(own)
+
+
+def _bitmap(hashes: DataFrame) -> Test:
+    """A test that all these hashes pass, and most others fail: one bit per hash.
 
     Texts that share nothing with the benchmark make next to no rows. The test has MOST_BITS bits at most, however large the
-    benchmark: beyond a sixteenth as many halves it lets more through, and never stops what the benchmark holds.
+    benchmark: beyond a sixteenth as many hashes it lets more through, and never stops what may meet the benchmark.
     """
-    places = F.when(F.size("template") >= WINDOW, F.sequence(F.lit(0), F.size("template") - HALF)).otherwise(_no_places())
-    halves = items.select(F.explode(F.flatten(F.transform(places, _half))).alias("_half")).select("_half.hash")
-    keys = cut(halves.unionByName(windows.where(F.col("size") < WINDOW).select("hash")).distinct(), "bench-keys")
-    bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
+    keys = cut(hashes.distinct(), "bench-keys")
+    bits = min(MOST_BITS, 1 << max(10, (16 * keys.count()).bit_length()))
     place = F.col("hash").bitwiseAND(bits - 1)
     word = F.call_function("shiftright", place, F.lit(6)).cast("int")
     marks = keys.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int")).alias("mark"))
@@ -175,9 +216,8 @@ def _bitmap(items: DataFrame, windows: DataFrame) -> Test:
     table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
     def known(key: Column) -> Column:
-        at = key.bitwiseAND(bits - 1)
-        mark = F.get(table, F.call_function("shiftright", at, F.lit(6)).cast("int"))
-        return F.call_function("shiftright", mark, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        mark = F.get(table, F.call_function("shiftright", key.bitwiseAND(bits - 1), F.lit(6)).cast("int"))
+        return F.call_function("shiftright", mark, key.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
 
     return known
 
@@ -187,12 +227,13 @@ def matches(docs: DataFrame, bench: DataFrame) -> DataFrame:
     items = cut(with_template(bench.select("item_id", "text")), "bench-items")
     windows = cut(_bench_windows(items), "bench-windows")
     sizes = [r["size"] for r in windows.select("size").distinct().collect()]  # WINDOW rows at most
-    keyed = with_template(docs.select("doc_id", "text")).withColumn("digest", F.xxhash64("text")).withColumn("tokens", F.size("raw"))
+    a_word = _bitmap(items.select(F.explode("raw").alias("_word")).select(F.xxhash64(F.lower("_word")).alias("hash")))
+    keyed = with_template(docs.select("doc_id", "text"), a_word).withColumn("digest", F.xxhash64("text")).withColumn("tokens", F.size("raw"))
     # the texts are tokenised once; their windows that may meet the benchmark are written, and meet it in one join
-    shown = cut(_windows(keyed, sorted(sizes) or [WINDOW], _bitmap(items, windows), "doc_id", "digest", "tokens"), "bench-candidates")
+    shown = cut(_windows(keyed, sorted(sizes) or [WINDOW], *_tests(items, windows), "doc_id", "digest", "tokens").drop("types"), "bench-candidates")
     # two opening tokens meet as names, so that a pair of windows comes once
     once = F.col("lits").bitwiseAND(F.col("item_lits")) == 0
-    return shown.join(windows.drop("size").withColumn("size", F.size("item_raw")), ["size", "hash"]).where(once & (~F.col("few") | (F.col("tokens") == F.col("size")))).select(
+    return shown.join(windows, ["size", "hash"]).where(once & (~F.col("few") | (F.col("tokens") == F.col("size")))).select(
         "doc_id", "digest", "item_id", "n", "place", "at", "item_raw", "item_slots", F.col("words").alias("doc_raw")
     )
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, html, jaccard, pii, quality, sharding, toxicity
+from . import bpe, centroids, chat, decontaminate, fingerprints, html, jaccard, merkle, pii, quality, sharding, toxicity, verified
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
@@ -68,9 +68,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(_table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified.duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     every = (
         op1_chat_format, op2_quality, op3_pii, op4_main_text, op5_decontaminate, op6_bpe, op7_shards, op8_toxicity, op9_near_duplicates, op10_fingerprints,
+        op11_clusters, op12_duplicates, op13_manifest,
     )
     return {q.__name__: q for q in every}
 
@@ -99,4 +112,4 @@ FROM numbered GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op11_clusters": centroids.cluster_sql(), "op13_manifest": merkle.manifest_sql()}
