@@ -265,3 +265,20 @@ def test_strict_shapes(spark, name, schedule, codes):
     row = {**dict.fromkeys([c.split()[0] for c in SPEC.split(", ")]), **GOOD, "index_name": name, "schedule": schedule}
     found = {r.code for r in check_specs(spark.createDataFrame([tuple(row.values())], SPEC), strict=True).collect()}
     assert found - {"schedule:invalid"} == codes
+
+
+def test_each_index_of_an_owner_has_its_own_flag(spark):
+    old = dt.datetime(2024, 1, 1)
+    flags = spark.createDataFrame(
+        [("o", "i1", True, old, None), ("o", "i2", True, old, None)],
+        "owner string, index_name string, drift_flag boolean, last_detected timestamp, last_remediated timestamp",
+    )
+    report = spark.createDataFrame(
+        [("o", "i1", "clean", "Auto"), ("o", "i2", "drift", "Auto")], "owner string, index_name string, outcome string, policy string"
+    )
+    after = update_drift_flags(flags, report, F.lit(NOW))
+    assert {(r.owner, r.index_name, r.drift_flag, r.last_detected) for r in after.collect()} == {("o", "i1", False, old), ("o", "i2", True, NOW)}
+    done = flags.withColumn("last_remediated", F.when(F.col("index_name") == "i2", F.lit(NOW)))
+    runs = spark.createDataFrame([], "owner string, active int")
+    assert reset_candidates(report, done, runs).count() == 0
+    assert reset_candidates(report, flags, runs).count() == 1

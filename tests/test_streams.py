@@ -9,11 +9,13 @@ from tidemark.plans.index_table import IndexTable
 from tidemark.session import scratch_path
 from tidemark.streaming.feeds import (
     apply_stream,
+    carried_flags,
     drift_flags,
     land_counts,
     land_new,
     newest_changes,
     read_stream,
+    tick_calendar,
     window_drift,
 )
 
@@ -104,3 +106,34 @@ def test_changes_are_applied_once_even_when_the_stream_forgets(spark):
     # a lost checkpoint replays everything as batch 0, with a row that is new
     land(spark, f"{root}/in", [(4, "put", at(2))])
     assert run("other-checkpoint") == ["2", "3", "4"]
+
+
+COUNTS = "window_start timestamp, window_end timestamp, owner string, n long"
+
+
+def test_silent_sources_drift(spark):
+    """Sources that fall silent, that never delivered, and of which nothing is expected; each judged from its first tick on."""
+    counts = spark.createDataFrame([(at(0), at(5), "a", 1), (at(5), at(10), "a", 1), (at(15), at(20), "b", 1), (at(0), at(5), "none", 3)], COUNTS)
+    expected = spark.createDataFrame([("a", 1), ("b", 1), ("never", 2), ("none", 0)], "owner string, expected long")
+    ticks = window_drift(counts, expected, "5 minutes")
+    got = {(r.owner, r.window_start, r.n, r.drift) for r in ticks.collect()}
+    assert got == {
+        ("a", at(0), 1, False), ("a", at(5), 1, False), ("a", at(10), 0, True), ("a", at(15), 0, True), ("b", at(15), 1, False),
+        *{("never", at(5 * i), 0, True) for i in range(4)}, *{("none", at(5 * i), 3 if i == 0 else 0, None) for i in range(4)},
+    }
+    assert {tuple(r) for r in drift_flags(ticks).collect()} == {("a", True, at(20)), ("b", False, None), ("never", True, at(20)), ("none", False, None)}
+    # up to the time of the check, and from the time a source is known
+    later = {(r.owner, r.window_start) for r in tick_calendar(counts, expected, "5 minutes", until=at(31)).collect()}
+    assert max(t for o, t in later if o == "b") == at(30) and min(t for o, t in later if o == "b") == at(15)
+    since = expected.withColumn("since", F.when(F.col("owner") == "never", F.lit(at(10))))
+    assert {r.window_start for r in tick_calendar(counts, since, "5 minutes").where("owner = 'never'").collect()} == {at(10), at(15)}
+    assert tick_calendar(counts.limit(0), expected, "5 minutes").collect() == []
+    assert len(tick_calendar(counts.limit(0), expected, "5 minutes", until=at(7)).collect()) == 4
+
+
+def test_flags_are_carried_over_skipped_checks(spark):
+    rows = [("a", at(5), True), ("a", at(10), None), ("a", at(15), False), ("a", at(20), None), ("b", at(5), None)]
+    windows = spark.createDataFrame(rows, "owner string, window_end timestamp, drift boolean")
+    got = {(r.owner, r.window_end): r.drift_flag for r in carried_flags(windows).collect()}
+    assert got == {("a", at(5)): True, ("a", at(10)): True, ("a", at(15)): False, ("a", at(20)): False, ("b", at(5)): False}
+    assert {(r.owner, r.drift_flag) for r in drift_flags(windows).collect()} == {("a", False), ("b", False)}

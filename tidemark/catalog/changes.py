@@ -11,12 +11,18 @@ from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..operators.diff import change_counts as count_changes
 from ..operators.diff import snapshot_diff as diff_trees
 from ..operators.documents import file_documents
+from ..operators.likeness import pair_edited
+from ..operators.tree_digests import land_digests
+from ..operators.tree_digests import tree_diff as diff_digests
 from ..plans.index_table import IndexTable
 from ..plans.sync_all import path_rules, sync_all
 from ..session import cut, scratch_path
 from ..sources.trees import land_snapshot
 from .inputs import (
     INDEX_SQL,
+    NAMES,
+    NEW_PATH,
+    OLD_PATH,
     SCOPE,
     TREES_SQL,
     diff_sql,
@@ -26,6 +32,7 @@ from .inputs import (
     old_index,
     old_tree,
     run_ts,
+    table,
 )
 from .registry import query
 
@@ -39,6 +46,15 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _feed(spark, sf_dir)
 
 
+@query(f"WITH {TREES_SQL}, {diff_sql()} SELECT change_type, a_path, b_path, hash FROM diff")
+def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes by digests of folders: only folders that differ are opened."""
+    home = scratch_path(spark, "digests")
+    for version, tree in (("v1", old_tree(spark, sf_dir)), ("v2", new_tree(spark, sf_dir))):
+        land_digests(hashed(tree), home, version, buckets=16)
+    return diff_digests(spark, home, "v1", "v2", buckets=16)
+
+
 @query(f"WITH {TREES_SQL}, {diff_sql()} SELECT change_type, count(*) AS n FROM diff GROUP BY change_type")
 def change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_changes(_feed(spark, sf_dir))
@@ -56,6 +72,66 @@ def boundary_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.select("change_type", "a_path", "b_path")
 
 
+EDITED_TEXT = (
+    "CASE doc_id % 4 WHEN 0 THEN text || '#v2' WHEN 1 THEN substr(text, 1, CAST(floor(length(text) * 0.75) AS INT)) "
+    "WHEN 2 THEN substr(text, CAST(floor(length(text) * 0.6) AS INT) + 1) ELSE text END"
+)
+_LIKELIEST = "likeness DESC, renamed, a_path, b_path"
+
+
+def _taken_sql(rounds: int = 8) -> str:
+    """Pairs in descending order of likeness: those that are the best of both their files, round by round."""
+    out = []
+    for i in range(rounds):
+        out.append(
+            f"""ranked{i} AS (
+  SELECT *, row_number() OVER (PARTITION BY a_path ORDER BY {_LIKELIEST}) AS ra, row_number() OVER (PARTITION BY b_path ORDER BY {_LIKELIEST}) AS rb
+  FROM pairs{i}),
+taken{i} AS MATERIALIZED (SELECT a_path, b_path FROM ranked{i} WHERE ra = 1 AND rb = 1),
+pairs{i + 1} AS MATERIALIZED (
+  SELECT * FROM pairs{i} WHERE a_path NOT IN (SELECT a_path FROM taken{i}) AND b_path NOT IN (SELECT b_path FROM taken{i}))"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM taken{i}" for i in range(rounds))
+    return ",\n".join(out) + f",\ntaken AS ({every})"
+
+
+@query(rf"""
+WITH old_tree AS (SELECT doc_id, source, lang, {OLD_PATH} AS path, text FROM documents),
+new_tree AS (SELECT doc_id, source, lang, {NEW_PATH} AS path, {EDITED_TEXT} AS text FROM documents),
+{diff_sql(scoped=True)},
+files AS (
+  SELECT 'went' AS side, o.source, o.lang, o.path, o.text FROM diff JOIN old_tree o ON o.path = a_path WHERE change_type = 'D'
+  UNION ALL
+  SELECT 'came', n.source, n.lang, n.path, n.text FROM diff JOIN new_tree n ON n.path = b_path WHERE change_type = 'A'),
+lines AS (SELECT side, source, lang, path, unnest(regexp_extract_all(text, '[^
+]{{0,63}}
+|[^
+]{{1,64}}')) AS line FROM files),
+weights AS (SELECT side, source, lang, path, line, sum(length(line)) AS w FROM lines GROUP BY ALL),
+sizes AS (SELECT side, path, sum(w) AS size FROM weights GROUP BY ALL),
+shared AS (
+  SELECT a.path AS a_path, b.path AS b_path, sum(least(a.w, b.w)) AS w
+  FROM weights a JOIN weights b ON a.side = 'went' AND b.side = 'came' AND a.source = b.source AND a.lang = b.lang AND a.line = b.line
+  GROUP BY ALL),
+pairs0 AS (
+  SELECT a_path, b_path, list_last(string_split(a_path, '/')) <> list_last(string_split(b_path, '/')) AS renamed,
+    CAST(w AS DOUBLE) / CAST(greatest(a.size, b.size) AS DOUBLE) AS likeness
+  FROM shared JOIN sizes a ON a.side = 'went' AND a.path = a_path JOIN sizes b ON b.side = 'came' AND b.path = b_path
+  WHERE likeness >= 0.5),
+{_taken_sql()}
+SELECT change_type, a_path, b_path, hash FROM diff
+WHERE NOT (change_type = 'D' AND a_path IN (SELECT a_path FROM taken)) AND NOT (change_type = 'A' AND b_path IN (SELECT b_path FROM taken))
+UNION ALL
+SELECT 'R', t.a_path, t.b_path, d.hash FROM taken t JOIN diff d ON d.change_type = 'A' AND d.b_path = t.b_path
+""")
+def rename_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that moved and were edited are renames where half of the larger version is in both."""
+    old = old_tree(spark, sf_dir)
+    new = table(spark, sf_dir, "documents").selectExpr(*NAMES, f"{NEW_PATH} AS path", f"{EDITED_TEXT} AS text")
+    feed = cut(diff_trees(hashed(old), hashed(new), scope=SCOPE), "feed")
+    return pair_edited(feed, old, new, SCOPE, content="text").select("change_type", "a_path", "b_path", "hash")
+
+
 def scoped_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of all sources at once; a file never becomes a rename of another source's file."""
     feed = diff_trees(hashed(old_tree(spark, sf_dir)), hashed(new_tree(spark, sf_dir)), scope=SCOPE)

@@ -91,19 +91,33 @@ FLAGS = (
 )
 
 
+# every source fills a second index, too, that holds nothing yet
+SECOND = "replace(index_name, 'IDX-', 'ALT-')"
+
+
 @query(f"""
-WITH {DRIFT_SQL}, flags AS (SELECT {', '.join(FLAGS)} FROM registry)
-SELECT f.owner,
+WITH {DRIFT_SQL}, flags AS (SELECT {', '.join(FLAGS)} FROM registry),
+checks AS (
+  SELECT owner, 'IDX-' || substr(owner, 7) AS index_name, outcome FROM gated
+  UNION ALL
+  SELECT owner, 'ALT-' || substr(owner, 7),
+    CASE WHEN policy = 'Ignore' THEN 'skipped:policy' WHEN drift_phase <> 'Scheduled' THEN 'skipped:phase'
+         WHEN suspend THEN 'skipped:suspended' ELSE 'drift' END FROM registry)
+SELECT f.owner, g.index_name,
   CASE g.outcome WHEN 'drift' THEN true WHEN 'clean' THEN false ELSE f.drift_flag END AS drift_flag,
   CASE WHEN g.outcome = 'drift' THEN '2024-02-01T00:00:00.000000Z'
        WHEN f.last_detected IS NOT NULL THEN '2024-01-20T00:00:00.000000Z' END AS last_detected
-FROM flags f JOIN gated g ON f.owner = g.owner
+FROM flags f JOIN checks g ON f.owner = g.owner
 """)
 def drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = report_drift(_status(spark, sf_dir), _index(spark, sf_dir))
-    flags = registry(spark, sf_dir).selectExpr(*FLAGS)
+    """Each source has a flag for each of its two indexes, and a check of one leaves the other's flag alone."""
+    status = _status(spark, sf_dir)
+    second = status.withColumn("index_name", F.expr(SECOND)).withColumn("expected", F.lit(5).cast("long"))
+    report = report_drift(status.unionByName(second), _index(spark, sf_dir))
+    named = registry(spark, sf_dir).selectExpr(*FLAGS).join(status.select("owner", "index_name"), "owner")
+    flags = named.unionByName(named.withColumn("index_name", F.expr(SECOND)))
     after = update_drift_flags(flags, report, run_ts())
-    return after.select("owner", "drift_flag", iso_utc(F.col("last_detected")).alias("last_detected"))
+    return after.select("owner", "index_name", "drift_flag", iso_utc(F.col("last_detected")).alias("last_detected"))
 
 
 BUSY = "CASE WHEN user_id % 3 = 0 AND event_type = 'signup' AND user_id % 40 > 20 THEN 1 ELSE 0 END"

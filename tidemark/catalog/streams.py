@@ -11,7 +11,7 @@ from ..functions.records import rows_to_text
 from ..operators.changes import changed_files, deleted_ids, resolve_doc_ids
 from ..plans.index_table import IndexTable
 from ..session import cut, scratch_path
-from ..streaming.feeds import apply_stream, drift_flags, land_counts, land_new, read_stream, window_drift
+from ..streaming.feeds import apply_stream, carried_flags, drift_flags, land_counts, land_new, read_stream, window_drift
 from .changes import RESOLVED_SQL, scoped_feed
 from .inputs import OWNER, SCOPE, index_of, new_tree, old_index, table
 from .registry import query
@@ -52,14 +52,14 @@ def stream_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_to_text(rows).select("event_id", "text")
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _windows(spark: SparkSession, sf_dir: str, width: str = "5 minutes") -> DataFrame:
     timed = table(spark, sf_dir, "events").selectExpr("event_id", f"{OWNER} AS owner", "CAST(ts AS TIMESTAMP) AS ts")
     landed, counted = scratch_path(spark, "landed"), scratch_path(spark, "windows")
 
     def run(stream: DataFrame, checkpoint: str) -> DataFrame:
         land_new(stream, "event_id", landed, checkpoint)
         once = read_stream(spark, landed, stream.schema)
-        return land_counts(once, ["owner"], "ts", "5 minutes", counted, f"{checkpoint}-counts")
+        return land_counts(once, ["owner"], "ts", width, counted, f"{checkpoint}-counts")
 
     return _runs(spark, timed, _third(), run)
 
@@ -77,22 +77,56 @@ def stream_drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# one event an hour is expected of the sources that deliver, two of sources that never did, and nothing of some of these
+SILENT = "'ns_src' || (n_nationkey + 41)"
+SILENT_EXPECTED = "CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 2 END"
+
+TICKS_SQL = f"""
+{WINDOWS_SQL.replace("5 minutes", "1 hour")},
+owners AS (
+  SELECT owner, 1 AS expected, min(start) AS since FROM windows GROUP BY owner
+  UNION ALL SELECT {SILENT}, {SILENT_EXPECTED}, (SELECT min(start) FROM windows) FROM nation),
+ticks AS (SELECT owner, expected, unnest(generate_series(since, (SELECT max(start) FROM windows), INTERVAL '1 hour')) AS start FROM owners),
+judged AS (
+  SELECT owner, start, coalesce(n, 0) AS n, CASE WHEN expected > 0 THEN coalesce(n, 0) <> expected END AS drift
+  FROM ticks LEFT JOIN windows USING (owner, start))
+"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = cut(_windows(spark, sf_dir, "1 hour"), "windows")
+    delivers = counts.groupBy("owner").agg(F.lit(1).cast("long").alias("expected"))
+    silent = table(spark, sf_dir, "nation").selectExpr(f"{SILENT} AS owner", f"CAST({SILENT_EXPECTED} AS BIGINT) AS expected")
+    return window_drift(counts, delivers.unionByName(silent), "1 hour")
+
+
 @query(f"""
-WITH {WINDOWS_SQL}
-SELECT owner, arg_max(n <> 1, start) AS drift_flag,
-  strftime(max(start) FILTER (n <> 1) + INTERVAL '5 minutes', '%Y-%m-%d %H:%M') AS last_detected
-FROM windows GROUP BY owner
+WITH {TICKS_SQL}
+SELECT owner, coalesce(arg_max(drift, start) FILTER (drift IS NOT NULL), false) AS drift_flag,
+  strftime(max(start) FILTER (drift) + INTERVAL '1 hour', '%Y-%m-%d %H:%M') AS last_detected
+FROM judged GROUP BY owner
 """)
 def stream_drift_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event per source and window is expected; the flag follows the newest window."""
-    counts = _windows(spark, sf_dir)
-    expected = counts.groupBy("owner").agg(F.lit(1).cast("long").alias("expected"))
-    flags = drift_flags(window_drift(counts, expected))
+    """The flag follows the newest tick, also of sources that fell silent or never delivered."""
+    flags = drift_flags(_judged(spark, sf_dir))
     return flags.select(
         "owner", "drift_flag", F.date_format("last_detected", "yyyy-MM-dd HH:mm").alias("last_detected")
     )
 
 
+@query(f"""
+WITH {TICKS_SQL}
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS window_start, owner, n, drift,
+  coalesce(last_value(drift IGNORE NULLS) OVER (PARTITION BY owner ORDER BY start ROWS UNBOUNDED PRECEDING), false) AS drift_flag
+FROM judged
+""")
+def stream_drift_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tick of every source with its count, its check and the flag after it."""
+    return carried_flags(_judged(spark, sf_dir)).select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "owner", "n", "drift", "drift_flag"
+    )
+
+
 @query(f"""
 WITH {RESOLVED_SQL}
 SELECT doc_key AS doc_id, source_uri, md5(text) AS text_hash FROM old_index

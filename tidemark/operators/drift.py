@@ -44,17 +44,23 @@ def drift_tally(report: DataFrame) -> DataFrame:
     return report.groupBy("outcome").agg(F.count("*").alias("n_sources"))
 
 
+def _flag_keys(flags: DataFrame, report: DataFrame) -> list[str]:
+    """What a flag belongs to: an owner may fill several indexes, each with a check of its own."""
+    both = "index_name" in flags.columns and "index_name" in report.columns
+    return ["owner", "index_name"] if both else ["owner"]
+
+
 def update_drift_flags(flags: DataFrame, report: DataFrame, now: Column) -> DataFrame:
-    """The drift flags after one pass.
+    """The drift flags after one pass, one per owner, or per owner and index where both frames name the index.
 
     ``drift`` sets the flag and stamps the time; ``clean`` clears it; skipped sources and
     failed checks leave it as it was.
     """
-    seen = report.select("owner", "outcome")
-    joined = flags.join(seen, "owner", "full_outer")
+    keys = _flag_keys(flags, report)
+    joined = flags.join(report.select(*keys, "outcome"), keys, "full_outer")
     drifted = F.col("outcome") == "drift"
     return joined.select(
-        "owner",
+        *keys,
         F.when(drifted, F.lit(True))
         .when(F.col("outcome") == "clean", F.lit(False))
         .otherwise(F.coalesce("drift_flag", F.lit(False)))
@@ -72,9 +78,10 @@ def already_remediated() -> Column:
 def reset_candidates(report: DataFrame, flags: DataFrame, runs: DataFrame) -> DataFrame:
     """Sources whose index is to be dropped: drifted, policy Auto, not yet remediated, nothing running."""
     busy = runs.where(F.col("active") > 0).select("owner").distinct()
+    keys = _flag_keys(flags, report)
     return (
         report.where((F.col("outcome") == "drift") & (F.col("policy") == "Auto"))
-        .join(flags.select("owner", "last_detected", "last_remediated"), "owner", "left")
+        .join(flags.select(*keys, "last_detected", "last_remediated"), keys, "left")
         .where(~already_remediated())
         .join(busy, "owner", "left_anti")
     )

@@ -15,6 +15,7 @@ from ..operators.content import extract_text, with_any_charset
 from ..operators.diff import snapshot_diff, with_hash
 from ..functions.records import rows_to_text
 from ..functions.urls import url_path
+from ..operators.likeness import pair_edited
 from ..operators.documents import file_documents, position_key, row_documents, url_documents
 from ..operators.pages import assemble_pages, documents_without_text
 from ..operators.sinks import checked, error_rows
@@ -34,6 +35,8 @@ class FileSource:
     include: Sequence[str] = field(default_factory=tuple)
     exclude: Sequence[str] = field(default_factory=tuple)
     mode: str = "permissive"
+    #: Likeness from which a file that moved and was edited keeps its document (``operators.likeness``); None: equal content only.
+    rename_likeness: float | None = None
 
 
 def read_files(files: DataFrame, source: FileSource) -> DataFrame:
@@ -66,6 +69,8 @@ def plan_changes(
 ) -> DataFrame:
     """The change feed of an incremental run with the documents it concerns, written once."""
     feed = snapshot_diff(with_hash(old), with_hash(new), source.include, source.exclude)
+    if source.rename_likeness is not None:
+        feed = pair_edited(cut(feed, "feed"), old, new, least=source.rename_likeness)
     owned = index.where((F.col("owner") == source.owner) & (F.col("index_name") == source.index_name))
     named = {"owner": F.lit(source.owner), "index_name": F.lit(source.index_name)}
     return cut(resolve_doc_ids(cut(feed.withColumns(named), "feed"), owned, version), "resolved")

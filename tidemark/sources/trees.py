@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import keep_path
 from ..operators.diff import with_hash
+from ..operators.tree_digests import land_digests
 
 #: The usual limit for captured URLs; files of a tree have none unless one is set.
 MAX_FILE_SIZE = 100 * 1024 * 1024
@@ -62,14 +63,19 @@ def oversized_files(
     )
 
 
-def land_snapshot(files: DataFrame, root: str, version: str) -> None:
+def land_snapshot(files: DataFrame, root: str, version: str, digests: str | None = None) -> None:
     """Add one version of ``(path, content)`` to a captures table.
 
     Content hashes are stored alongside, so comparing versions later reads paths and hashes only.
     A version that is landed again replaces itself. Files that name their ``owner`` are filed by owner and version,
     so sources may use the same version names: only the owners among the files are replaced.
+
+    With ``digests``, a folder of its own, the digests of the version's folders are written there for ``tree_digests.tree_diff``;
+    the files must be those of one tree.
     """
     hashed = with_hash(files)
+    if digests is not None:
+        land_digests(hashed.select("path", "hash", "size"), digests, version)
     if "owner" not in files.columns:
         hashed.write.mode("overwrite").parquet(f"{root}/version={version}")
         return

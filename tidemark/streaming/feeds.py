@@ -10,12 +10,14 @@ checkpoint folder changes, so the batches after a lost checkpoint never pass for
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
 from ..plans.index_table import IndexTable
 
@@ -126,19 +128,60 @@ def newest_changes(batch: DataFrame, keys: list[str], order: list[str]) -> DataF
     return batch.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last")).select(*keys, "_last.*").select(*batch.columns)
 
 
-def window_drift(counts: DataFrame, expected: DataFrame) -> DataFrame:
-    """Windows whose count is not the expected one, per owner."""
-    return counts.join(expected, "owner").withColumn("drift", F.col("n") != F.col("expected"))
+def tick_calendar(counts: DataFrame, expected: DataFrame, every: str, until: dt.datetime | None = None) -> DataFrame:
+    """``(owner, expected, window_start, window_end)``: every tick at which an owner is checked, whether rows came or not.
+
+    An owner is checked from its first window on (one that never delivered from the first of all), or from a column
+    ``since`` of ``expected``, up to the tick that holds ``until`` or the newest window of any owner. A tick is as long as
+    the windows of ``counts``. Rows follow the owners' own spans: the ticks are spread out owner by owner, and no counts are read twice.
+    """
+    tick = F.expr(f"INTERVAL {every}")
+    span = counts.agg(F.min("window_start").alias("first"), F.max("window_start").alias("last")).first()  # one row
+    if until is None and span["last"] is None:
+        return expected.select("owner", "expected", *[F.lit(None).cast("timestamp").alias(f"window_{s}") for s in ("start", "end")]).limit(0)
+    firsts = counts.groupBy("owner").agg(F.min("window_start").alias("_first"))
+    last = F.lit(span["last"]) if until is None else F.window(F.lit(until), every)["start"]
+    begin = F.coalesce("_first", F.lit(span["first"]), last)
+    if "since" in expected.columns:
+        begin = F.coalesce("since", begin)
+    ticks = F.when(begin <= last, F.sequence(begin, last, tick)).otherwise(F.array().cast("array<timestamp>"))
+    return (
+        expected.join(firsts, "owner", "left")
+        .select("owner", "expected", F.explode(ticks).alias("window_start"))
+        .withColumn("window_end", F.col("window_start") + tick)
+    )
+
+
+def window_drift(counts: DataFrame, expected: DataFrame, every: str | None = None, until: dt.datetime | None = None) -> DataFrame:
+    """Windows with their count, the expected one, and whether they differ, per owner.
+
+    With ``every``, the length of the windows, each tick of ``tick_calendar`` is judged, so an owner that
+    falls silent, or never delivered at all, drifts. Without it only windows that hold rows are. Nothing is
+    expected of an owner whose expected count is 0: its check is skipped, and ``drift`` is null.
+    """
+    if every is None:
+        joined = counts.join(expected, "owner")
+    else:
+        ticks = tick_calendar(counts, expected, every, until)
+        joined = ticks.join(counts.drop("window_end"), ["owner", "window_start"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return joined.withColumn("drift", F.when(F.col("expected") != 0, F.col("n") != F.col("expected")))
 
 
 def drift_flags(windows: DataFrame) -> DataFrame:
-    """Per owner: the flag after the newest window, and the last time drift was seen."""
+    """Per owner: the flag after the newest window that was checked, and the last time drift was seen."""
+    checked = F.when(F.col("drift").isNotNull(), F.col("window_end"))
     return windows.groupBy("owner").agg(
-        F.max_by("drift", "window_end").alias("drift_flag"),
+        F.coalesce(F.max_by("drift", checked), F.lit(False)).alias("drift_flag"),
         F.max(F.when(F.col("drift"), F.col("window_end"))).alias("last_detected"),
     )
 
 
+def carried_flags(windows: DataFrame) -> DataFrame:
+    """Add ``drift_flag``, the flag after each window: a skipped check leaves it as it was. An owner's ticks meet in one task."""
+    so_far = Window.partitionBy("owner").orderBy("window_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return windows.withColumn("drift_flag", F.coalesce(F.last("drift", ignorenulls=True).over(so_far), F.lit(False)))
+
+
 def apply_stream(
     changes: DataFrame,
     table: IndexTable,
