@@ -106,13 +106,24 @@ def read_back(formatted: str | Column) -> Column:
     )
 
 
+def learned_texts(formatted: str = "formatted", mask: str = "loss_mask") -> Column:
+    """The texts under the loss mask, cut out of the formatted text run by run, and unescaped."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, run: Column) -> Column:
+        piece = F.substr(F.col(formatted), a["at"] + 1, run["n"])
+        return F.struct((a["at"] + run["n"]).alias("at"), F.when(run["learned"], F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
+
+    return F.transform(F.aggregate(mask, start, step, lambda a: a["out"]), unescape)
+
+
 def digests(conversations: DataFrame) -> DataFrame:
-    """What the formatted texts hold, read back from them."""
-    turns = conversations.select("conv_id", "formatted", "n_messages", read_back("formatted").alias("turns"))
+    """What the formatted texts hold, read back from them: the turns, and the text under the loss mask."""
+    turns = conversations.select("conv_id", "formatted", "n_messages", read_back("formatted").alias("turns"), learned_texts().alias("learned"))
     said = turns.select(
         "*",
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == LEARNED), lambda t: t["text"]), "").alias("loss"),
+        F.array_join("learned", "").alias("loss"),
     )
     return said.select(
         "conv_id",

@@ -353,7 +353,11 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, bound: int = TRAIN_PAGES) -> Trees:
     """Learn in one task from a bounded sample; a few hundred numbers come back to the driver."""
-    sample = pages.select("page_id", "url", "html").orderBy(F.xxhash64("page_id", "url"), "page_id", "url", F.xxhash64("html")).limit(bound)
+    key = F.xxhash64("page_id", "url")
+    # the ids first: no page that is not chosen leaves its task, and a second limit holds where an id has many rows
+    chosen = pages.select(key.alias("_key")).orderBy("_key").limit(bound)
+    sample = pages.select("page_id", "url", "html", key.alias("_key")).join(F.broadcast(chosen), "_key", "left_semi")
+    sample = sample.orderBy("_key", "page_id", "url", F.xxhash64("html")).limit(bound)
     got = sample.select("html").mapInArrow(_train, "tree int, feature array<bigint>, cut array<double>, leaf array<double>, base double").orderBy("tree").toArrow()
     if not got.num_rows:
         return fit([])

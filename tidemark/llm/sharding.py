@@ -5,7 +5,7 @@ Every row has 60 bits, from an MD5 of its id and text. Sizes are summed per lead
 rolled up to all shorter prefixes; a row's shard is its shortest prefix that fits. What is too large even at
 that depth goes through the next round, on the next bits. Only ids, hashes and sizes are shuffled.
 
-Defined results: a row larger than the limit is a shard of its own, named ``big-`` and its hash; rows that are
+Defined results: a row larger than the limit is a shard of its own, named ``big-``, its bits and its number among the rows equal to it; rows that are
 equal in id and text share all bits, so a group of them that is too large is cut by a running number into pieces named
 after the prefix; null ids and null texts count as empty; an empty table gives no rows; other columns are not read.
 """
@@ -46,7 +46,8 @@ def assign(docs: DataFrame, limit: int, keep: list[str] | None = None) -> DataFr
     """doc_id, shard, depth (bits used), bytes of the row, and shard_bytes, of every row; and the columns to keep."""
     keep = keep or []
     rows = cut(_hashed(docs, keep), "shard-rows")
-    parts = [rows.where(F.col("bytes") > limit).select("doc_id", *keep, "bytes", F.concat(F.lit("big-"), "bits").alias("shard"), F.lit(BITS).alias("depth"))]
+    big = _cut_equal(rows.where(F.col("bytes") > limit), limit, keep)
+    parts = [big.withColumn("shard", F.concat(F.lit("big-"), "shard"))]
     left, done = rows.where(F.col("bytes") <= limit), 0
     while True:
         deep = min(BITS, done + ROUND_BITS)
