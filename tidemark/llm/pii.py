@@ -2,7 +2,8 @@
 
 Seeds are the entities that fixed patterns find (e-mail, IP address, card number, phone number). The words around them are
 lexical patterns. Other strings of an identifier's shape are candidates. Pattern and instance form a graph that is scored in
-rounds: a pattern is as good as the trusted part of its distinct instances, an instance as good as its patterns together;
+rounds: a pattern is as good as the trusted part of its distinct instances, an instance as good as its patterns together, so that
+an instance which several good patterns surround strengthens the others it stands in;
 patterns of high confidence and enough distinct instances then make candidates of a fitting shape identifiers. Counts are of
 distinct instances, so copies of a document add nothing. DataFrame expressions only.
 
@@ -20,8 +21,10 @@ from ..session import cut
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
-#: A pattern needs so many trusted distinct instances of one kind, and such a part of all its instances.
+#: A pattern needs so much trust in its distinct instances of one kind, and such a part of all its instances in the end.
 LEAST_SUPPORT, LEAST_CONFIDENCE = 4.0, 0.7
+#: The part from which a pattern hands trust on to its instances between the rounds.
+LEAST_SPREAD = 0.6
 #: Code points of context that are looked at on either side.
 CONTEXT = 60
 
@@ -102,12 +105,14 @@ def _valid(kind: str, hit: Column) -> Column:
 
 
 def _patterns(left: Column, right: Column) -> Column:
-    """Two words before; and one word on either side."""
+    """Two words before; and one word on either side. A pattern holds a letter at least."""
     plain = lambda c: F.lower(F.regexp_replace(c, "[0-9]", "0"))
     before = F.regexp_extract(plain(left), r"(\S*)\s*$", 1)
     two = F.regexp_extract(plain(left), r"(?:\S+\s+)?\S+\s*$", 0)
     after = F.regexp_extract(plain(right), r"^\s*(\S*)", 1)
-    return F.array(F.concat(F.lit("2|"), F.regexp_replace(F.trim(two), r"\s+", " ")), F.concat(F.lit("1|"), before, F.lit("|"), after))
+    found = F.array(F.concat(F.lit("2|"), F.regexp_replace(F.trim(two), r"\s+", " ")), F.concat(F.lit("1|"), before, F.lit("|"), after))
+    # signs alone say nothing of what they surround
+    return F.filter(found, lambda p: p.rlike(r"\p{L}"))
 
 
 def _fits(hit: Column) -> Column:
@@ -164,18 +169,19 @@ def score_patterns(spans: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, D
     links = edges.select("pattern", "instance", F.explode("kinds").alias("kind")).distinct()
     trusted = seeds
     for i in range(rounds):
+        least = LEAST_CONFIDENCE if i == rounds - 1 else LEAST_SPREAD
         scored = links.join(trusted, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("trust").alias("support"))
         good = (
             scored.where(F.col("support") >= LEAST_SUPPORT)
             .join(totals, "pattern")
             .withColumn("confidence", F.col("support") / F.col("total"))
-            .where(F.col("confidence") >= LEAST_CONFIDENCE)
+            .where(F.col("confidence") >= least)
             .select("pattern", "kind", "confidence")
         )
         good = cut(good, f"pii-patterns-{i}")
         doubt = F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.99)))))
         found = links.join(good, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - doubt).alias("trust"))
-        trusted = found.where(F.col("trust") >= LEAST_CONFIDENCE).unionByName(seeds).groupBy("instance", "kind").agg(F.max("trust").alias("trust"))
+        trusted = found.where(F.col("trust") >= LEAST_SPREAD).unionByName(seeds).groupBy("instance", "kind").agg(F.max("trust").alias("trust"))
     return good, trusted
 
 
