@@ -43,3 +43,13 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             )
         before = (state["n"], state["s"])
         current = cut(_stars(_stars(current, large=True), large=False), name)
+
+
+def meetings(blocks: DataFrame) -> DataFrame:
+    """Rows of a block, once for every block of their key that it meets, itself included: low and high name the two.
+
+    Takes ``block`` (from 0) and ``parts``, the number of blocks of the row's key.
+    """
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("_other")
+    each = blocks.select("*", other)
+    return each.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_other", "parts")

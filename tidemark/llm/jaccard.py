@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .flat import WORDS, Tokens, buffers, chunks, mix, shingles
-from .graph import components
+from .graph import components, meetings
 
 SIZE = 5
 THRESHOLD = 0.8
@@ -42,6 +42,8 @@ DEPTH = 3
 SMALL = 32
 #: Sketches in one task's bucket; a larger bucket is dealt out, and the pivots of its parts are compared.
 CROWD = 20_000
+#: Pivots of a crowded node in one block; two blocks are compared in a task.
+PIVOTS = 4_096
 BINS = 128
 #: Texts and bytes of text in one block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 256, 4_000_000
@@ -247,16 +249,18 @@ def _pivots(threshold: float):
 
 
 def _pivot_links(threshold: float):
-    """Links of pivots of different parts that members within the threshold of each other may stand behind."""
+    """Links of the pivots of two blocks that members within the threshold of each other may stand behind."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_groups(batches, ["bucket"], 20_000):
-            size, sketch = _groups(table, ["bucket"]), _sketch_array(table)
-            digest, first = table.column("digest").to_numpy(), np.cumsum(size) - size
-            for f, s in zip(first, size, strict=True):
-                for p in range(f, f + s):
-                    alike, used = _alike(sketch[f : f + s], sketch[p][None, :])
-                    near = f + np.flatnonzero(alike >= _least(used, threshold - 0.3))
+        keys = ["bucket", "low", "high"]
+        for table in _whole_groups(batches, keys, 20_000):
+            size, sketch = _groups(table, keys), _sketch_array(table)
+            digest, low, high, block = (table.column(c).to_numpy() for c in ("digest", "low", "high", "block"))
+            for f, s in zip(np.cumsum(size) - size, size, strict=True):
+                left, right = f + np.flatnonzero(block[f : f + s] == low[f]), f + np.flatnonzero(block[f : f + s] == high[f])
+                for p in left if len(right) else ():
+                    alike, used = _alike(sketch[right], sketch[p][None, :])
+                    near = right[alike >= _least(used, threshold - 0.3)]
                     yield _edges(digest, near, np.full(len(near), p))
 
     return links
@@ -374,7 +378,13 @@ def candidate_groups(signatures: DataFrame, threshold: float = THRESHOLD) -> Dat
     edges = dealt.mapInArrow(_compare_buckets(threshold), "a bigint, b bigint")
     large = crowd.where(F.col("n") > CROWD).repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "digest")
     pivots = large.select("bucket", "salt", "digest", "sketch").mapInArrow(_pivots(threshold), "bucket bigint, digest bigint, sketch binary")
-    far = pivots.repartition("bucket").sortWithinPartitions("bucket", "digest").mapInArrow(_pivot_links(threshold), "a bigint, b bigint")
+    pivots = cut(pivots, "jaccard-pivots")
+    # where nearly each text is a pivot, its bucket has many: they meet in blocks, two at a time
+    parts = pivots.groupBy("bucket").agg(F.ceil(F.count("*") / PIVOTS).cast("int").alias("parts"))
+    blocks = pivots.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("digest", F.lit("pivot")), "parts").cast("long"))
+    met = meetings(blocks).select("bucket", "low", "high", "block", "digest", "sketch")
+    met = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "digest")
+    far = met.mapInArrow(_pivot_links(threshold), "a bigint, b bigint")
     return components(edges.unionByName(far), "jaccard-candidates").select(F.col("node").alias("digest"), F.col("root").alias("group"))
 
 
@@ -434,9 +444,14 @@ def links(texts: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Da
     return roots.select(F.col("node").alias("digest"), "root"), found.groupBy("digest").agg(F.sum("links").alias("links"))
 
 
+def _text() -> Column:
+    """The text that stands for a document: null and texts without words are the empty one."""
+    return F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.col("text")).otherwise("")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_links (to other texts) and n_copies of its text, per document."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+    keyed = docs.select("doc_id", _text().alias("text")).withColumn("digest", F.xxhash64("text"))
     distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
     roots, counts = links(keyed, threshold)
     known = cut(
@@ -451,16 +466,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, that of the least id; all columns as they were."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text")).withColumn("digest", F.xxhash64("text"))
+    keyed = docs.select("doc_id", _text().alias("text")).withColumn("digest", F.xxhash64("text"))
     roots, _ = links(keyed, threshold)
     ids = keyed.select("doc_id", "digest").join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     ids = cut(ids, "jaccard-ids")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = ids.groupBy("root").agg(F.min(first).alias("best"))
     other = ids.join(best, "root").where(first != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    kept = docs.join(other.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_digest")), "left_anti")
+    kept = docs.join(other.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(_text()) == F.col("_digest")), "left_anti")
     if ids.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         return kept
     # rows that are equal in id and text: any one of them
-    return kept.dropDuplicates(["doc_id", "text"])
+    return kept.withColumn("_plain_text", _text()).dropDuplicates(["doc_id", "_plain_text"]).drop("_plain_text")

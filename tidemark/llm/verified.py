@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .flat import WORDS, Tokens, buffers, chunks, mix, shingles
-from .graph import components
+from .graph import components, meetings
 
 SIZE = 5
 #: The threshold as a fraction: links have PARTS * intersection >= LEAST * union.
@@ -277,19 +277,12 @@ def candidate_groups(signatures: DataFrame) -> DataFrame:
     pivots = dealt(full.where(F.col("n") > CROWD)).mapInArrow(_find_pivots, "bucket bigint, digest bigint, signature binary")
     pivots = cut(pivots, "verified-pivots")
     parts = pivots.groupBy("bucket").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
-    met = _meetings(pivots.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("digest", F.lit("pivot")), "parts").cast("long")))
+    met = meetings(pivots.join(parts, "bucket").withColumn("block", F.pmod(F.xxhash64("digest", F.lit("pivot")), "parts").cast("long")))
     met = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "digest")
     wide = met.select("bucket", "low", "high", "block", "digest", "signature").mapInArrow(_meet_pivots, "a bigint, b bigint")
     return components(edges.unionByName(wide), "verified-candidates").select(F.col("node").alias("digest"), F.col("root").alias("group"))
 
 
-def _meetings(blocks: DataFrame) -> DataFrame:
-    """Every block with every other and with itself, where a key has ``parts`` of them: low and high."""
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("_other")
-    each = blocks.select("*", other)
-    return each.withColumn("low", F.least("block", "_other")).withColumn("high", F.greatest("block", "_other")).drop("_other", "parts")
-
-
 class _Classes:
     """Components that grow link by link."""
 
