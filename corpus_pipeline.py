@@ -52,7 +52,7 @@ STAGES = [
     ("encode", token_ids),
 ]
 
-#: Training and recursion have no place in SQL; the stages are tested against brute force.
+#: Training and recursion have no place in SQL; tests/llm/test_llm_proofs.py holds the rows of run() against plain Python, from the ids the classifier keeps.
 ORACLE_SQL = None
 
 
