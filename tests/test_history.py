@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.conditions import condition_history, latest_conditions, merge_status, patch_status
+from tidemark.operators.conditions import condition_history, in_ranges, latest_conditions, merge_status, patch_status
 from tidemark.operators.runs import (
     completion_events,
     error_summary,
@@ -176,3 +176,21 @@ def test_runnable(spark):
     registry = spark.createDataFrame([("a", None), ("b", True), ("c", False)], "owner string, suspend boolean")
     active = spark.createDataFrame([("c", 1), ("a", 0)], "owner string, active int")
     assert {r.owner for r in runnable(registry, active).collect()} == {"a"}
+
+
+def test_a_burst_of_one_condition_is_many_even_ranges(spark):
+    """All events of one condition within a day: no piece is twice the median, and the history is that of one sorted pass."""
+    events = spark.range(5000).select(
+        F.lit("x").alias("owner"), F.lit("t").alias("type"), (F.col("id") % 7 < 3).alias("status"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 17 % 80_000).alias("ts"), F.col("id").alias("event_id"),
+    )
+    pieces = in_ranges(events, ["owner", "type", "ts", "event_id"], 16)
+    sizes = sorted(r["count"] for r in pieces.groupBy("_chunk").count().collect())
+    assert len(sizes) == 16 and sizes[-1] < 2 * sizes[8]
+    state, want = None, {}
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        if state is None or state[0] != r.status:
+            state = (r.status, r.ts)
+        want[r.event_id] = state[1]
+    assert {r.event_id: r.last_transition for r in condition_history(events, ranges=16).collect()} == want
+    assert {r.event_id: r.last_transition for r in condition_history(events, ranges=1).collect()} == want

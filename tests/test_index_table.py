@@ -200,3 +200,21 @@ def test_a_filter_on_the_index_reaches_every_scan(spark, index):
     plan = index.read().where("index_name = 'j'")._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert len(scans) >= 3 and all("index_name" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+
+
+def test_names_follow_changes_and_drops(spark, index):
+    every = docs(spark, {"a": "1", "b": "2"}, "one").unionByName(docs(spark, {"a": "1"}, "two")).unionByName(docs(spark, {"a": "1"}, "three"))
+    index.index_documents(every)
+    assert names(index) == ["one", "three", "two"]
+    index.delete_documents(ids(index.read().where("index_name = 'two'"), "a"))
+    index.index_documents(docs(spark, {"x": "1"}, "four"))
+    index.update_documents(docs(spark, {"b": "new"}, "one"))
+    assert names(index) == ["four", "one", "three"]
+    # of an index that no change touches only the name is read
+    plan = index.list_indexes()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") <= plan.count("Relation [") * 2
+    index.drop("three")
+    index.delete_documents(ids(index.read().where("index_name = 'four'"), "x"))
+    assert names(index) == ["one"]
+    index.compact()
+    assert names(index) == ["one"]

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.operators.documents import empty_index, owner_key, row_documents
-from tidemark.operators.sinks import send_batches
+from tidemark.operators.sinks import send_batches, send_numbered
 from tidemark.plans.index_table import IndexTable
 from tidemark.plans.sync import FileSource, RowSource, UrlSource, sync_files, sync_rows, sync_urls
 from tidemark.session import scratch_path
@@ -377,3 +377,30 @@ def test_one_job_for_all_sources(spark):
     assert path_rules(["# nothing"], ["# nothing"]) == ("(?!)", None)
     with pytest.raises(ValueError):
         path_rules(["!a"])
+
+
+def test_numbered_lists_are_the_same_on_every_run(spark):
+    """Lists of 10 and of 50 with a remainder; a bad list fails alone; another partitioning sends the same lists."""
+    rows = [(f"d{i}", "hot" if i % 3 else f"s{i % 2}", "x", i) for i in range(137)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string, batch int")
+
+    def deliver(batch):
+        assert set(batch[0]) == {"doc_id", "source", "text", "batch"}
+        if any(r["doc_id"] == "d7" for r in batch):
+            raise ValueError("refused")
+
+    def lists(frame, size):
+        sent = send_numbered(frame, deliver, size, ["source"], "doc_id")
+        return sorted((r.source, r.batch_no, r.n_rows, r.first_unit, r.error) for r in sent.collect())
+
+    for size in (10, 50):
+        got = lists(df.repartition(7), size)
+        assert got == lists(df.coalesce(1), size)
+        for source in ("hot", "s0", "s1"):
+            total = sum(s == source for _, s, _, _ in rows)
+            sizes = [n for s, _, n, _, _ in got if s == source]
+            assert sizes == [size] * (total // size) + ([total % size] if total % size else [])
+        assert [e for *_, e in got if e] == ["Failed to index document batch: refused"]
+    assert send_numbered(df.limit(0), deliver, 10, ["source"], "doc_id").collect() == []
+    two = send_numbered(df, deliver, 10, ["source", "text"], "doc_id")
+    assert sum(r.n_rows for r in two.collect()) == 137

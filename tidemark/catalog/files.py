@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension, filter_paths, with_file_type
 from ..operators.numbering import batch_numbers, progress
-from ..operators.sinks import BATCH_SIZES, send_batches
+from ..operators.sinks import BATCH_SIZES, send_batches, send_numbered
 from ..session import scratch_path
 from ..sources.trees import read_tree
 from .inputs import NEW_PATH, TREES_SQL, new_tree, table
@@ -134,3 +134,29 @@ def sink_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sent.groupBy(F.substring_index("first_unit", "#", 1).alias("source")).agg(
         F.sum("n_rows").alias("n_rows"), F.count_if(F.col("error").isNotNull()).alias("n_failed")
     )
+
+
+def _lists_sql(size: int) -> str:
+    return f"""
+SELECT {size} AS size, source, batch_no, count(*) AS n_rows, bool_or(doc_id % 97 = 3) AS failed
+FROM (SELECT doc_id, source,
+        (row_number() OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) // {size} AS batch_no FROM documents)
+GROUP BY source, batch_no"""
+
+
+@query(f"{_lists_sql(BATCH_SIZES['git'])} UNION ALL {_lists_sql(BATCH_SIZES['database'])}")
+def sink_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of 10 and of 50 rows per source, the last one shorter: a list with a row that is refused fails, the others arrive."""
+
+    def deliver(batch: list[dict]) -> None:
+        refused = [row["doc_id"] for row in batch if row["doc_id"] % 97 == 3]
+        if refused:
+            raise ValueError(f"refused {refused}")
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    out = None
+    for size in (BATCH_SIZES["git"], BATCH_SIZES["database"]):
+        sent = send_numbered(rows, deliver, size, ["source"], "doc_id")
+        lists = sent.select(F.lit(size).alias("size"), "source", "batch_no", "n_rows", F.col("error").isNotNull().alias("failed"))
+        out = lists if out is None else out.unionByName(lists)
+    return out

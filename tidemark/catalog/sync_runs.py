@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_rfc3339
 from ..operators.changes import documents_page
+from ..operators.content import register_handler, unregister_handler
 from ..operators.documents import file_documents, owner_key
 from ..operators.pages import NO_TEXT
 from ..plans.index_table import IndexTable
@@ -63,6 +65,63 @@ def sync_files_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(index, sync_files(index, captures, source, "v2", "v1", run_ts()))
 
 
+@query(f"""
+WITH files AS (SELECT doc_id, {OLD_PATH} AS path, text FROM documents),
+old AS (SELECT path, md5(text) AS text_hash FROM files)
+SELECT 'before' AS step, path AS source_uri, text_hash FROM old
+UNION ALL SELECT 'stopped', path, text_hash FROM old
+UNION ALL SELECT 'after', path, md5(CASE WHEN {BAD} THEN text ELSE {NEW_TEXT} END) FROM files
+UNION ALL SELECT 'error', path, {NO_HANDLER_HASH} FROM files WHERE {BAD}
+""")
+def failfast_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One unreadable file stops a strict run and nothing is written; a permissive run takes the rest and reports it."""
+    kind = "CASE WHEN {} THEN 'application/octet-stream' END AS content_type"
+    documents = table(spark, sf_dir, "documents")
+    old = documents.selectExpr("'v1' AS version", f"{OLD_PATH} AS path", "CAST(text AS BINARY) AS content", kind.format("false"))
+    new = documents.selectExpr(
+        "'v2' AS version",
+        f"{OLD_PATH} AS path",
+        f"CASE WHEN {BAD} THEN concat(X'00', CAST(text AS BINARY)) ELSE CAST({NEW_TEXT} AS BINARY) END AS content",
+        kind.format(BAD),
+    )
+    captures = cut(old.unionByName(new), "captures")
+    index = IndexTable(spark, scratch_path(spark, "index"))
+
+    def state(step: str) -> DataFrame:
+        return cut(index.read().select(F.lit(step).alias("step"), "source_uri", F.md5("text").alias("text_hash")), step)
+
+    strict = FileSource("ns_docs", "all", "docs", mode="failfast")
+    sync_files(index, captures, strict, "v1", None, run_ts())
+    before = state("before")
+    try:
+        sync_files(index, captures, strict, "v2", "v1", run_ts())
+    except PySparkException:
+        stopped = state("stopped")
+    else:
+        raise AssertionError("a strict run took an unreadable file")
+    errors = sync_files(index, captures, FileSource("ns_docs", "all", "docs"), "v2", "v1", run_ts())
+    failed = errors.select(F.lit("error").alias("step"), F.col("unit").alias("source_uri"), F.md5("message").alias("text_hash"))
+    return before.unionByName(stopped).unionByName(state("after")).unionByName(failed)
+
+
+@query(f"""
+WITH files AS (SELECT {OLD_PATH} AS path, text FROM documents)
+SELECT path AS source_uri, md5(CASE WHEN path LIKE '%.go' THEN 'rows of ' || text ELSE text END) AS text_hash FROM files
+""")
+def custom_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run with a handler of the user's own, which comes before the built-in ones for the files it takes."""
+    files = table(spark, sf_dir, "documents").selectExpr("'v1' AS version", f"{OLD_PATH} AS path", "CAST(text AS BINARY) AS content")
+    index = IndexTable(spark, scratch_path(spark, "index"))
+    register_handler(
+        "rows", 20, lambda content, content_type, ext: ext == ".go", lambda content, content_type, ext: F.concat(F.lit("rows of "), content.cast("string"))
+    )
+    try:
+        sync_files(index, files, FileSource("ns_docs", "all", "docs"), "v1", None, run_ts())
+    finally:
+        unregister_handler("rows")
+    return index.read().select("source_uri", F.md5("text").alias("text_hash"))
+
+
 @query(f"""
 WITH files AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'a/' ELSE 'fix/' END || 'd' || doc_id || '.md' AS old_path,
                text || '#' || doc_id AS text FROM documents),

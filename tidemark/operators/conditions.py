@@ -8,44 +8,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 _KEY = ["owner", "type"]
 
 
-#: A day of one condition's events is worked on at once.
-CHUNK_SECONDS = 86_400
+#: Ranges of events per shuffle partition: more than one, so that they spread evenly over the tasks.
+RANGES_PER_TASK = 4
 
 
 def condition_history(
-    events: DataFrame, ts: str = "ts", tie: str = "event_id", chunk_seconds: int | None = None
+    events: DataFrame, ts: str = "ts", tie: str = "event_id", chunk_seconds: int | None = None, ranges: int | None = None
 ) -> DataFrame:
     """Add ``last_transition``: the time at which the condition last changed its status.
 
-    An event that repeats the status keeps the older time. Conditions are worked on in time chunks, at
-    any size: inside a chunk the changes are found by a window, then the last status and change of
-    each chunk are carried over to the next ones, which are few rows. Events without a time come
-    first, in a chunk of their own; null owners and types are keys like others. Choose shorter chunks
-    where one condition has more events in a day than a task can sort.
+    An event that repeats the status keeps the older time. Events are dealt into ranges of (owner, type, time) of
+    even size and written, so a condition with a third of all events, or a burst of them within a day, is many ranges: inside
+    a range the changes are found by a window, then the last status and change of
+    each range are carried over to the next ones, which are few rows. Events without a time come
+    first; null owners and types are keys like others. With ``chunk_seconds`` the pieces are stretches of time instead, and
+    nothing is written; a burst then meets in one task.
     """
-    return _chunked_history(events, [ts, tie], chunk_seconds or CHUNK_SECONDS)
+    # nulls must meet in the joins, too
+    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in _KEY}
+    keyed = events.withColumns(named)
+    if chunk_seconds is not None:
+        chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / chunk_seconds)
+        pieces = keyed.withColumn("_chunk", F.coalesce(chunk, F.lit(-(2**62))))
+    else:
+        pieces = in_ranges(keyed, [*named, ts, tie], ranges)
+    return _pieced_history(pieces, [*named], [ts, tie]).select(*events.columns, "last_transition")
+
 
+def in_ranges(df: DataFrame, by: list[str], ranges: int | None = None, out: str = "_chunk") -> DataFrame:
+    """The rows dealt into even ranges of some columns, nulls first, with the number of the range; written, so that the numbers stay."""
+    if ranges is None:
+        ranges = RANGES_PER_TASK * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(ranges, *[F.col(c).asc_nulls_first() for c in by])
+    return cut(dealt.withColumn(out, F.spark_partition_id().cast("long")), "ranges")
 
-def _chunked_history(events: DataFrame, order: list[str], chunk_seconds: int) -> DataFrame:
+
+def _pieced_history(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The history of events in pieces: ``_chunk`` ascends with the order, key by key."""
     ts = order[0]
-    chunk = F.floor(F.unix_timestamp(F.col(ts).cast("timestamp")) / chunk_seconds)
-    # nulls must meet in the join below, too
-    named = {f"_{k}": F.coalesce(F.col(k).cast("string"), F.lit("\u0000")) for k in _KEY}
-    keys = [*named]
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     changed = ~F.col("_first") & ~F.col("status").eqNullSafe(F.col("_before"))
     rows = (
-        events.withColumns(named)
-        .withColumn("_chunk", F.coalesce(chunk, F.lit(-(2**62))))
-        .withColumns({"_before": F.lag("status").over(inside), "_first": F.row_number().over(inside) == 1})
+        pieces.withColumns({"_before": F.lag("status").over(inside), "_first": F.row_number().over(inside) == 1})
         .withColumn("_change", F.when(changed, F.col(ts)))
         .withColumn("_local", F.max("_change").over(so_far))
     )
-    # the same events, reduced to one row per chunk
+    # the same events, reduced to one row per piece
     at = F.struct(*order)
     chunks = rows.groupBy(*keys, "_chunk").agg(
         F.min_by("status", at).alias("_opens"),
@@ -66,7 +80,6 @@ def _chunked_history(events: DataFrame, order: list[str], chunk_seconds: int) ->
     return (
         rows.join(carried, [*keys, "_chunk"])
         .withColumn("last_transition", F.coalesce("_local", "_at_start", "_carry"))
-        .select(*events.columns, "last_transition")
     )
 
 

@@ -79,6 +79,11 @@ def register_handler(
     return handler
 
 
+def unregister_handler(name: str) -> None:
+    """Take a handler out again; one that is not there changes nothing."""
+    _REGISTERED[:] = [h for h in _REGISTERED if h.name != name]
+
+
 def default_handlers() -> list[Handler]:
     return sorted(_REGISTERED, key=lambda h: -h.priority)
 

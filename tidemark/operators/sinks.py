@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import batch_numbers
+
 # fixed values: rows per write, by kind of source
 BATCH_SIZES = {"git": 10, "url": 10, "database": 50}
 
@@ -57,6 +59,46 @@ def send_batches(
     return df.mapInPandas(run, _OUTCOME)
 
 
+def send_numbered(
+    df: DataFrame, send: Callable[[list[dict]], None], size: int, keys: Sequence[str], by: str, unit: str = "doc_id"
+) -> DataFrame:
+    """Hand the rows of each key to ``send`` in lists of ``size``, the last one shorter; ``(*keys, batch_no, n_rows, first_unit, error)``.
+
+    Lists follow ``batch_numbers``: which rows share a list depends on the data alone, so a task that Spark repeats sends the same lists
+    again, and a key of any size is spread over many tasks, whole lists in each. A list that fails is recorded and the next one is sent.
+    """
+    numbered = batch_numbers(df, keys[0], by, size) if len(keys) == 1 else None
+    if numbered is None:
+        joined = df.withColumn("_key", F.to_json(F.struct(*keys)))
+        numbered = batch_numbers(joined, "_key", by, size).drop("_key")
+    place = [*keys, "batch_no"]
+    dealt = numbered.repartition(*place).sortWithinPartitions(*place, by)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list[dict] = []
+
+        def flush() -> pd.DataFrame:
+            error, first = None, waiting[0]
+            try:
+                send([{k: v for k, v in row.items() if k != "batch_no"} for row in waiting])
+            except Exception as exc:  # one failed list must not stop the others
+                error = f"Failed to index document batch: {exc}"
+            row = {**{c: [first[c]] for c in place}, "n_rows": [len(waiting)], "first_unit": [str(first.get(unit))], "error": [error]}
+            return pd.DataFrame(row)
+
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                if waiting and any(row[c] != waiting[0][c] for c in place):
+                    yield flush()
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield flush()
+
+    kinds = ", ".join(f"{c} {numbered.schema[c].dataType.simpleString()}" for c in place)
+    return dealt.mapInPandas(run, f"{kinds}, n_rows long, first_unit string, error string")
+
+
 def good_rows(df: DataFrame, error: str = "error") -> DataFrame:
     return df.where(F.col(error).isNull()).drop(error)
 

@@ -157,7 +157,17 @@ class IndexTable:
         return kept.select(*_COLUMNS).unionByName(puts.select(*_COLUMNS))
 
     def list_indexes(self) -> DataFrame:
-        return list_indexes(self.read())
+        """The names of all indexes that hold a document.
+
+        Names are folders of the written files. Those that no change since the last full copy touches need no search for the newest
+        rows; of the others, whose documents may all be gone, only their own folders are read.
+        """
+        base, changes, dropped = self._live()
+        if base is None or not changes:
+            return list_indexes(self.read())
+        touched = self._rows(changes, None).select("index_name").distinct()
+        calm = self._rows([base], dropped).select("index_name").distinct().join(touched, "index_name", "left_anti")
+        return calm.unionByName(list_indexes(self.read().join(touched, "index_name", "left_semi")))
 
     def list_documents(self, index_name: str, metadata_filter=None, limit: int = 10, offset: int = 0, after=None):
         """One page of documents; see ``operators.changes.list_documents``."""
