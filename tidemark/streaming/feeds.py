@@ -20,6 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..plans.index_table import IndexTable
+from ..session import cut
+from .keys import KEYS_PER_BUCKET, KeyStore
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -87,19 +89,35 @@ def land_batches(
     return read_batches(spark, path, schema)
 
 
-def land_new(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
+def land_new(
+    stream: DataFrame, key: str, path: str, checkpoint: str, keys: str | None = None, keys_per_bucket: int = KEYS_PER_BUCKET
+) -> DataFrame:
     """Land each key once, however late it comes and however often; returns all landed rows.
 
-    The landed keys are first reduced to those of the batch, so it is the batch that Spark may broadcast. Rows
-    without a key are all kept.
+    Landed keys are found in a ``KeyStore`` beside the rows (``keys``, by default the path with ``.keys``): a batch opens the
+    buckets of its own keys, not all that is landed. A batch's rows land before its keys are stored; at the start of a run the keys of
+    batches that a job left without are added from their rows. Rows without a key are all kept.
     """
+    spark, schema = stream.sparkSession, stream.schema
+    store = KeyStore(spark, keys or f"{path}.keys", schema[key].dataType, keys_per_bucket)
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/stream=none/batch_id=-1")
+    landed = read_batches(spark, path, schema)
+    missing = landed.select("stream", "batch_id").distinct().join(store.batches(), ["stream", "batch_id"], "left_anti")
+    for r in missing.collect():  # those of the last job that died, as a rule none; all where a store is built for an older table
+        own = landed.where((F.col("stream") == r["stream"]) & (F.col("batch_id") == r["batch_id"]) & F.col(key).isNotNull())
+        store.add(own.select(F.col(key).alias("key")), r["stream"], r["batch_id"])
 
-    def fresh(batch: DataFrame, landed: DataFrame) -> DataFrame:
-        keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
-        known = landed.select(key).join(keyed.select(key), key, "left_semi").distinct()
-        return keyed.join(known, key, "left_anti").select(*batch.columns).unionByName(batch.where(F.col(key).isNull()))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        own = stream_id(batch.sparkSession, checkpoint)
+        keyed = cut(batch.where(F.col(key).isNotNull()).dropDuplicates([key]), "batch")
+        known = store.known(keyed.select(F.col(key).alias("key")), own, batch_id).withColumnRenamed("key", key)
+        fresh = cut(keyed.join(known, key, "left_anti").select(*batch.columns), "fresh")
+        rows = fresh.unionByName(batch.where(F.col(key).isNull()))
+        rows.write.mode("overwrite").parquet(f"{path}/stream={own}/batch_id={batch_id}")
+        store.add(fresh.select(F.col(key).alias("key")), own, batch_id)
 
-    return land_batches(stream, path, checkpoint, fresh)
+    run_batches(stream, write, checkpoint)
+    return read_batches(spark, path, schema)
 
 
 def window_counts(rows: DataFrame, keys: list[str], ts: str, width: str) -> DataFrame:
