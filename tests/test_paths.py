@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import random
 import shutil
 import subprocess
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import LANGUAGES, extension, filter_paths, with_file_type
-from tidemark.functions.patterns import compile_patterns, matches
+from tidemark.functions.patterns import RULES, compile_patterns, matches, matches_rules, rule_list
 
 
 def kept(spark, paths, **kwargs):
@@ -110,3 +111,19 @@ def test_file_types_are_looked_up_without_a_shuffle(spark):
     df = spark.range(10).select(F.concat(F.col("id").cast("string"), F.lit(".py")).alias("path"))
     plan = with_file_type(df)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rules_in_a_column_match_like_the_same_list(spark, seed):
+    rng = random.Random(seed)
+    parts = ["a", "b", "c.md", "d.go", "e"]
+    lists = [
+        [rng.choice(["!", ""]) + rng.choice(["/", "", "**/", "a/"]) + rng.choice(["*", "a", "b", "*.md", "?.go", "e", "a/**"]) + rng.choice(["/", ""]) for _ in range(5)]
+        for _ in range(6)
+    ] + [[], ["# comment", ""]]
+    paths = sorted({"/".join(rng.choice(parts) for _ in range(rng.randrange(1, 5))) for _ in range(80)})
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    rows = spark.createDataFrame([(p, k, rule_list(patterns)) for p in paths for k, patterns in enumerate(lists)], f"path string, k int, rules {RULES}")
+    got = {(r.k, r.path) for r in rows.where(matches_rules(F.col("path"), F.col("rules"))).collect()}
+    want = {(k, r.path) for k, patterns in enumerate(lists) for r in df.where(matches(F.col("path"), patterns)).collect()}
+    assert got == want

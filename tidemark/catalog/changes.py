@@ -15,7 +15,7 @@ from ..operators.likeness import pair_edited
 from ..operators.tree_digests import land_digests
 from ..operators.tree_digests import tree_diff as diff_digests
 from ..plans.index_table import IndexTable
-from ..plans.sync_all import path_rules, sync_all
+from ..plans.sync_all import path_columns, path_rules, sync_all
 from ..session import cut, scratch_path
 from ..sources.trees import land_snapshot
 from .inputs import (
@@ -237,6 +237,37 @@ def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+NEGATED = ("*.md", "inbox/", "moved/", "!/src3/**/*.md", "!/src4/**/moved/*.go", "!/src5/**/moved/")
+NEGATED_KEPT = (
+    "(path NOT LIKE '%.md' OR path LIKE 'src3/%') AND path NOT LIKE '%/inbox/%' AND (path NOT LIKE '%/moved/%' OR path LIKE 'src5/%')"
+)
+
+
+@query(f"""
+WITH {TREES_SQL}
+SELECT 'ns_' || source AS owner, path AS source_uri, md5(text) AS text_hash FROM new_tree
+WHERE CASE WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5') THEN {NEGATED_KEPT} ELSE path LIKE '%.go' AND path NOT LIKE '%/moved/%' END
+""")
+def sync_ordered_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with ordered rules (what ``!`` brings back stays out below an excluded folder) and with plain ones, in one job: in full, then by changes, two of them after a lost checkpoint."""
+    landed = scratch_path(spark, "captures")
+    for version, tree in (("v1", old_tree(spark, sf_dir)), ("v2", new_tree(spark, sf_dir))):
+        land_snapshot(tree.select("owner", "path", F.col("text").cast("binary").alias("content")), landed, version)
+    captures = spark.read.parquet(landed)
+    owners = old_tree(spark, sf_dir).select("owner", "source").distinct()
+    first = F.col("source").isin("src1", "src2", "src3", "src4", "src5")
+    about = {"index_name": F.lit("all"), "repository": F.lit("docs"), "branch": F.lit("main"), "version": F.lit("v1"), "checkpoint": F.lit(None).cast("string")}
+    specs = owners.where(first).withColumns(about | path_columns(exclude=NEGATED)).unionByName(
+        owners.where(~first).withColumns(about | path_columns(include=["*.go"], exclude=["moved/"]))
+    )
+    specs = cut(specs, "registry")
+    index = IndexTable(spark, scratch_path(spark, "index"))
+    sync_all(index, captures, specs.drop("source"), run_ts())
+    lost = F.when(F.col("source").isin("src2", "src7"), F.lit("lost")).otherwise(F.lit("v1"))
+    sync_all(index, captures, specs.withColumns({"version": F.lit("v2"), "checkpoint": lost}).drop("source"), run_ts())
+    return index.read().select("owner", "source_uri", F.md5("text").alias("text_hash"))
+
+
 FULL_AGAIN = "CASE WHEN source IN ('src3', 'src8') THEN NULL WHEN source = 'src5' THEN 'lost' ELSE 'v1' END"
 NO_TEXT_FILES = "path NOT LIKE '%.txt'"
 

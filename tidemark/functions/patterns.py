@@ -117,3 +117,25 @@ def matches(path: Column, patterns: Iterable[str]) -> Column:
         F.sequence(F.lit(1), depth),
         lambda n: verdict(F.array_join(F.slice(parts, F.lit(1), n), "/"), n < depth),
     )
+
+
+#: The type of a list of rules in a column.
+RULES = "array<struct<body:string,negated:boolean,folder:boolean>>"
+
+
+def rule_list(patterns: Iterable[str]) -> list[tuple[str, bool, bool]]:
+    """The patterns as the rows of a rules column, in order."""
+    return [(r"(?s)\A(?:" + p.body + r")\z", p.negated, p.directory_only) for p in parse_patterns(patterns)]
+
+
+def matches_rules(path: Column, rules: Column) -> Column:
+    """``matches`` with the rules of each row's own column: the last rule that matches decides, and a folder that stays excluded takes all below with it."""
+    parts = F.split(path, "/")
+    depth = F.size(parts)
+
+    def verdict(n: Column) -> Column:
+        prefix = F.array_join(F.slice(parts, F.lit(1), n), "/")
+        hits = F.filter(rules, lambda r: F.rlike(prefix, r["body"]) & (~r["folder"] | (n < depth)))
+        return F.coalesce(~F.get(hits, F.size(hits) - 1)["negated"], F.lit(False))
+
+    return F.exists(F.sequence(F.lit(1), depth), verdict)

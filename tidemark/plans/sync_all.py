@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_binary_name, is_hidden, with_file_type
-from ..functions.patterns import compile_patterns
+from ..functions.patterns import RULES, compile_patterns, matches_rules, parse_patterns, rule_list
 from ..operators.changes import deleted_ids, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
@@ -26,21 +26,45 @@ from .index_table import IndexTable
 
 _SCOPE = ("index_name", "owner")
 _NOTHING = "(?!)"
+_PATTERNS = ("include_re", "include_rules", "exclude_re", "exclude_rules")
 
 
 def path_rules(include: Sequence[str] = (), exclude: Sequence[str] = ()) -> tuple[str | None, str | None]:
-    """Pattern lists as the ``include_re`` and ``exclude_re`` of a spec row; no ``!`` patterns here."""
+    """Pattern lists as the ``include_re`` and ``exclude_re`` of a spec row; no ``!`` patterns here, see ``path_columns``."""
     return (
         (compile_patterns(include) or _NOTHING) if include else None,
         compile_patterns(exclude) if exclude else None,
     )
 
 
+def path_columns(include: Sequence[str] = (), exclude: Sequence[str] = ()) -> dict[str, Column]:
+    """Pattern lists as the four columns of a spec row. A list with ``!`` becomes ordered rules, any other one expression, which is faster."""
+    out = {}
+    for name, patterns in (("include", include), ("exclude", exclude)):
+        ordered = any(p.negated for p in parse_patterns(patterns))
+        one = None if ordered or not patterns else compile_patterns(patterns)
+        if name == "include" and patterns and not ordered and one is None:
+            one = _NOTHING
+        rules = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("body", "negated", "folder"), r, strict=True)]) for r in rule_list(patterns)])
+        out[f"{name}_re"] = F.lit(one).cast("string")
+        out[f"{name}_rules"] = (rules if ordered else F.lit(None)).cast(RULES)
+    return out
+
+
+def _with_rules(specs: DataFrame) -> DataFrame:
+    """Specs with all four columns; those that are absent select nothing out."""
+    absent = {c: F.lit(None).cast("string" if c.endswith("_re") else RULES) for c in _PATTERNS if c not in specs.columns}
+    return specs.withColumns(absent) if absent else specs
+
+
 def _kept() -> Column:
     path = F.col("path")
     included = F.col("include_re").isNull() | F.rlike(path, F.col("include_re"))
     excluded = F.col("exclude_re").isNotNull() & F.rlike(path, F.col("exclude_re"))
-    return ~is_hidden(path) & ~is_binary_name(path) & included & ~F.coalesce(excluded, F.lit(False))
+    # ordered rules only where a row has them
+    included = included & F.when(F.col("include_rules").isNull(), F.lit(True)).otherwise(matches_rules(path, F.col("include_rules")))
+    excluded = F.coalesce(excluded, F.lit(False)) | F.when(F.col("exclude_rules").isNull(), F.lit(False)).otherwise(matches_rules(path, F.col("exclude_rules")))
+    return ~is_hidden(path) & ~is_binary_name(path) & included & ~excluded
 
 
 def scan_modes(specs: DataFrame, captures: DataFrame) -> DataFrame:
@@ -52,8 +76,8 @@ def scan_modes(specs: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def _files(captures: DataFrame, specs: DataFrame, version: str) -> DataFrame:
-    wanted = specs.select(*_SCOPE, "include_re", "exclude_re", F.col(version).alias("version"))
-    return captures.join(wanted, ["owner", "version"]).where(_kept()).drop("include_re", "exclude_re")
+    wanted = specs.select(*_SCOPE, *_PATTERNS, F.col(version).alias("version"))
+    return captures.join(wanted, ["owner", "version"]).where(_kept()).drop(*_PATTERNS)
 
 
 def sync_all(
@@ -66,10 +90,10 @@ def sync_all(
 
     ``captures`` has ``owner, version, path, content`` (and ``hash, size`` when landed with them).
     ``specs`` has one row per source: ``owner, index_name, repository, branch, version, checkpoint,
-    include_re, exclude_re``. Sources in need of a full run are replaced; the others are compared with their
+    include_re, exclude_re``, or ``include_rules, exclude_rules`` for lists with ``!`` (``path_columns`` gives all four). Sources in need of a full run are replaced; the others are compared with their
     checkpoint. It is one commit for all.
     """
-    planned = cut(scan_modes(specs, captures), "specs")
+    planned = cut(scan_modes(_with_rules(specs), captures), "specs")
     captures = with_hash(captures)
     whole, partly = planned.where("full"), planned.where(~F.col("full"))
     about = planned.select(*_SCOPE, "version", "repository", "branch")
