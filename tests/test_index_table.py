@@ -218,3 +218,39 @@ def test_names_follow_changes_and_drops(spark, index):
     assert names(index) == ["one"]
     index.compact()
     assert names(index) == ["one"]
+
+
+def test_landed_counts_are_those_of_a_scan(spark):
+    """Random commits: after each one the landed counts equal a count of all documents, and they read no document."""
+    import random
+
+    rng, index = random.Random(8), IndexTable(spark, scratch_path(spark, "index"), fold_after=4, keep_counts=True)
+    assert index.counts().collect() == []
+
+    def some(n):
+        rows = {(f"i{rng.randrange(2)}", f"u{rng.randrange(12)}"): rng.choice("abc") for _ in range(n)}
+        frames = spark.createDataFrame([(i, u, o, "t") for (i, u), o in rows.items()], "i string, url string, o string, text string")
+        at = F.lit("2024-01-01").cast("timestamp")
+        docs_ = url_documents(frames, index_name=F.col("i"), owner=F.lit("o"), run_ts=at)
+        return docs_.join(frames.select(F.col("i").alias("index_name"), F.col("url").alias("source_uri"), F.col("o").alias("_o")), ["index_name", "source_uri"]).withColumn("owner", F.col("_o")).drop("_o")
+
+    for step in range(8):
+        kind = ["put", "both", "replace", "drop", "put", "remove", "put", "both"][step]
+        if kind == "put":
+            index.index_documents(some(8))
+        elif kind == "remove":
+            index.delete_documents(some(6))
+        elif kind == "both":
+            index.apply(upserts=some(5), deletes=some(5))
+        elif kind == "replace":
+            index.apply(upserts=some(4).withColumn("owner", F.lit("a")), replaces=spark.createDataFrame([("i0", "a"), ("i1", "a")], "index_name string, owner string"))
+        else:
+            index.drop("i1")
+        assert index.miscounts().collect() == [], kind
+    assert sum(r.n_documents for r in index.counts().collect()) == index.read().count() > 0
+    index.compact()
+    assert index.miscounts().collect() == []
+    plan = index.counts()._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan and "text" not in plan
+    with pytest.raises(ValueError):
+        IndexTable(spark, index.root).counts()

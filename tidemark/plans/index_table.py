@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import list_documents, list_indexes
+from ..operators.changes import index_counts, list_documents, list_indexes
 from ..schema import DOCUMENT
 
 _STORED = T.StructType(
@@ -46,6 +46,7 @@ _COMMITS = T.StructType(
 )
 _COLUMNS = [f.name for f in DOCUMENT.fields]
 _ID = ["index_name", "doc_id"]
+_COUNTS = "index_name string, owner string, delta bigint, commit_no bigint"
 
 
 def _seq_of(df: DataFrame) -> Column:
@@ -53,9 +54,11 @@ def _seq_of(df: DataFrame) -> Column:
 
 
 class IndexTable:
-    def __init__(self, spark: SparkSession, root: str, fold_after: int = 64):
+    def __init__(self, spark: SparkSession, root: str, fold_after: int = 64, keep_counts: bool = False):
+        """With ``keep_counts`` every commit lands signed counts per index and owner, which ``counts`` sums; use it from the first commit on."""
         self.spark = spark
         self.fold_after = fold_after
+        self.keep_counts = keep_counts
         self.root = root.rstrip("/")
         # an empty commit table, unless there is one already
         self._row(0, "", "none", {}).limit(0).write.mode("ignore").parquet(f"{self.root}/commits")
@@ -117,6 +120,11 @@ class IndexTable:
         rows = rows.select(
             "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
         )
+        return self._without(rows, dropped)
+
+    @staticmethod
+    def _without(rows: DataFrame, dropped: DataFrame | None) -> DataFrame:
+        """The rows but for those that a later drop or replacement voids."""
         if dropped is None:
             return rows
         whole = dropped.where(F.col("owner").isNull()).select("index_name", "dropped_at")
@@ -156,6 +164,53 @@ class IndexTable:
         kept = full.join(newest.select(*_ID), _ID, "left_anti")
         return kept.select(*_COLUMNS).unionByName(puts.select(*_COLUMNS))
 
+    # ---- counts ----
+
+    def counts(self) -> DataFrame:
+        """``(index_name, owner, n_documents)`` from what the commits landed, without a look at the documents.
+
+        A full copy lands its counts whole, a change what it added and took away; drops and replacements void what was landed before them.
+        """
+        if not self.keep_counts:
+            raise ValueError("this table was opened without keep_counts")
+        base, changes, dropped = self._live()
+        ids = [base, *changes] if base else changes
+        if not ids:
+            rows = self.spark.createDataFrame([], _COUNTS)
+        else:
+            rows = self.spark.read.schema(_COUNTS).parquet(*[f"{self.root}/counts/commit_id={c}" for c in ids])
+        rows = self._without(rows, dropped)
+        summed = rows.groupBy("index_name", "owner").agg(F.sum("delta").alias("n_documents"))
+        return summed.where("n_documents <> 0")
+
+    def miscounts(self) -> DataFrame:
+        """Where the landed counts and a count of all documents differ: ``(index_name, owner, landed, counted)``; empty as long as all is well."""
+        counted = index_counts(self.read()).withColumnRenamed("n_documents", "counted")
+        landed = self.counts().withColumnRenamed("n_documents", "landed")
+        same = [counted[c].eqNullSafe(landed[c]) for c in ("index_name", "owner")]
+        both = counted.join(landed, same[0] & same[1], "full_outer").where(~F.col("counted").eqNullSafe(F.col("landed")))
+        return both.select(F.coalesce(counted["index_name"], landed["index_name"]).alias("index_name"), F.coalesce(counted["owner"], landed["owner"]).alias("owner"), "landed", "counted")
+
+    def _land_counts(self, commit_id: str, number: int, deltas: DataFrame) -> None:
+        rows = deltas.select("index_name", "owner", F.col("delta").cast("long").alias("delta"), F.lit(number).cast("long").alias("commit_no"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/counts/commit_id={commit_id}")
+
+    def _deltas(self, commit_id: str, replaces: DataFrame | None) -> DataFrame:
+        """What a commit that is written, but not yet in the table of commits, adds and takes away. Reads ids and owners, no text.
+
+        The rows of a replaced owner go by the replacement itself, so they are not taken away once more.
+        """
+        rows = self._rows([commit_id], None)
+        place = F.struct("_seq", (~F.col("removed")).alias("put"), "_file", "_row")
+        last = rows.groupBy(*_ID).agg(F.max_by(F.struct("owner", "removed"), place).alias("last"))
+        came = last.where(~F.col("last.removed")).select("index_name", "last.owner").groupBy("index_name", "owner").agg(F.count("*").alias("delta"))
+        before = self.read().select(*_ID, "owner").join(last.select(*_ID), _ID, "left_semi")
+        if replaces is not None:
+            names = replaces.select("index_name", "owner").distinct()
+            before = before.join(names, ["index_name", "owner"], "left_anti")
+        went = before.groupBy("index_name", "owner").agg((-F.count("*")).alias("delta"))
+        return came.unionByName(went)
+
     def list_indexes(self) -> DataFrame:
         """The names of all indexes that hold a document.
 
@@ -233,6 +288,9 @@ class IndexTable:
         commit_id = self._write(rows, number)
         first = self.commits().where("kind IN ('full', 'change')").isEmpty()
         kind = "full" if first and deletes is None and self._is_full(commit_id) else "change"
+        if self.keep_counts:
+            # before the commit counts: a job that dies here leaves counts that no commit names
+            self._land_counts(commit_id, number, self._deltas(commit_id, replaces if kind == "change" else None))
         row = self._row(number, commit_id, kind, {"writer": writer, "batch_id": batch_id})
         if replaces is not None and kind == "change":
             row = row.unionByName(self._named(replaces, number, commit_id, "replace"))
@@ -264,6 +322,8 @@ class IndexTable:
         """Write the current state as a new full copy."""
         number = self._next()
         commit_id = self._write(self._stored(self.read()), number)
+        if self.keep_counts:
+            self._land_counts(commit_id, number, self.counts().withColumnRenamed("n_documents", "delta"))
         self._commit("full", number, commit_id)
 
     def obsolete_commits(self) -> DataFrame:
