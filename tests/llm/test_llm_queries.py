@@ -38,7 +38,7 @@ def run(spark, name):
 
 def test_queries_with_sql_agree_with_it(spark):
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DATA}/{name}.parquet'")
     for name, sql in llm.oracle_sql().items():
         df = QUERIES[name](spark, DATA)
