@@ -9,6 +9,9 @@ files. The first commit is a full copy where its ids are unique. After ``fold_af
 table, which is written last, so a job that dies half-way leaves the index as it was: its rows
 have an id that no commit names.
 
+Text moves as little as it can. Reading finds the rows that later commits void by ids and places and hands their places to the scans
+as masks, one bit per row. A commit of few indexes is written by the tasks that made its rows.
+
 One writer at a time per table, as with scheduled runs that must not overlap.
 """
 
@@ -19,9 +22,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..operators.changes import index_counts, list_documents, list_indexes
 from ..schema import DOCUMENT
+from ..session import cut
+
+#: Up to so many indexes in a commit, every task writes its own rows; with more, rows are gathered by index first, lest files be many and small.
+FEW_INDEXES = 16
 
 _STORED = T.StructType(
     [*[f for f in DOCUMENT.fields if f.name != "index_name"]]
@@ -46,6 +54,15 @@ _COMMITS = T.StructType(
 )
 _COLUMNS = [f.name for f in DOCUMENT.fields]
 _ID = ["index_name", "doc_id"]
+# 64 rows of a file share a mask
+_VOIDS = T.StructType(
+    [
+        T.StructField("_file", T.StringType()),
+        T.StructField("_block", T.LongType()),
+        T.StructField("_mask", T.LongType()),
+        T.StructField("index_name", T.StringType()),
+    ]
+)
 _COUNTS = "index_name string, owner string, delta bigint, commit_no bigint"
 
 
@@ -53,6 +70,11 @@ def _seq_of(df: DataFrame) -> Column:
     return (F.col("_seq") if "_seq" in df.columns else F.lit(None)).cast("long").alias("_seq")
 
 
+def _named() -> Column:
+    """A row without its index or id is no change of any document."""
+    return F.col("index_name").isNotNull() & F.col("doc_id").isNotNull()
+
+
 class IndexTable:
     def __init__(self, spark: SparkSession, root: str, fold_after: int = 64, keep_counts: bool = False):
         """With ``keep_counts`` every commit lands signed counts per index and owner, which ``counts`` sums; use it from the first commit on."""
@@ -140,8 +162,8 @@ class IndexTable:
     def read(self) -> DataFrame:
         """All documents as of the last commit.
 
-        With no changes since the last full copy this is a plain scan. Otherwise the changed ids
-        are taken out of the full copy: few ids are broadcast and the copy is not shuffled.
+        With no changes since the last full copy this is a plain scan. Otherwise rows that do not count are left out by
+        their places: a table of masks, a bit per row, which is broadcast while it is small; no text is shuffled.
         """
         base, changes, dropped = self._live()
         if base is None and not changes:
@@ -149,20 +171,34 @@ class IndexTable:
         full = self._rows([base], dropped) if base else None
         if not changes:
             return full.select(*_COLUMNS)
-        changed = self._rows(changes, dropped)
-        # an id belongs to an index; with the index in the keys, a filter on it reaches every scan
-        # the search for the row that counts reads ids and places, no text
+        changed = self._rows(changes, dropped).where(_named())
+        voids = self._voids(full, changed)
+        puts = self._unvoided(changed.where(~F.col("removed")), voids)
+        return puts if full is None else self._unvoided(full, voids).unionByName(puts)
+
+    def _voids(self, full: DataFrame | None, changed: DataFrame) -> DataFrame:
+        """``(index_name, _file, _block, _mask)``: which rows later ones take the place of. Reads ids and places, no text.
+
+        Every index with changes has a row, so its folder is there for a filter on the index.
+        """
         place = F.struct("commit_no", "_seq", (~F.col("removed")).alias("put"), "_file", "_row")
-        newest = (
-            changed.groupBy(*_ID)
-            .agg(F.max(place).alias("place"))
-            .select(*_ID, F.col("place._file").alias("_file"), F.col("place._row").alias("_row"))
-        )
-        puts = changed.where(~F.col("removed")).join(newest, [*_ID, "_file", "_row"], "left_semi")
-        if full is None:
-            return puts.select(*_COLUMNS)
-        kept = full.join(newest.select(*_ID), _ID, "left_anti")
-        return kept.select(*_COLUMNS).unionByName(puts.select(*_COLUMNS))
+        ranked = changed.select(*_ID, "_file", "_row", "removed", place.alias("_place"))
+        ranked = ranked.withColumn("_last", F.col("_place") == F.max("_place").over(Window.partitionBy(*_ID)))
+        marked = ranked.select("index_name", "_file", "_row", (~F.col("_last")).alias("_void"))
+        if full is not None:
+            beaten = full.select(*_ID, "_file", "_row").join(ranked.where("_last").select(*_ID), _ID, "left_semi")
+            marked = marked.unionByName(beaten.select("index_name", "_file", "_row", F.lit(True).alias("_void")))
+        bit = F.when(F.col("_void"), F.expr("shiftleft(1L, CAST(_row & 63 AS INT))")).otherwise(F.lit(0).cast("long"))
+        masks = marked.groupBy("index_name", "_file", F.shiftright("_row", 6).alias("_block")).agg(F.bit_or(bit).alias("_mask"))
+        return cut(masks.select(*[f.name for f in _VOIDS.fields]), "voids", "index_name")
+
+    @staticmethod
+    def _unvoided(rows: DataFrame, voids: DataFrame) -> DataFrame:
+        masks = voids.withColumnsRenamed({c: f"_v{c}" for c in voids.columns})
+        same = (F.col("index_name") == F.col("_vindex_name")) & (F.col("_file") == F.col("_v_file"))
+        same = same & (F.shiftright("_row", 6) == F.col("_v_block"))
+        void = F.expr("_v_mask & shiftleft(1L, CAST(_row & 63 AS INT))") != 0
+        return rows.join(masks, same & void, "left_anti").select(*_COLUMNS)
 
     # ---- counts ----
 
@@ -230,17 +266,29 @@ class IndexTable:
 
     # ---- writing ----
 
-    def _write(self, documents: DataFrame, number: int) -> str:
-        """Write rows under a new commit id; even files, so a big index is split over many."""
+    def _write(self, documents: DataFrame, number: int, n_indexes: int | None = None) -> str:
+        """Write rows under a new commit id.
+
+        Rows of few indexes are written where they are, a file per task and index, and no text is shuffled; rows of many are
+        gathered by index into even files.
+        """
         commit_id = uuid.uuid4().hex
-        (
-            documents.withColumn("commit_no", F.lit(number).cast("long"))
-            .hint("rebalance", "index_name")
-            .write.partitionBy("index_name")
-            .parquet(f"{self.root}/documents/commit_id={commit_id}")
-        )
+        if n_indexes is None:
+            n_indexes = self._n_indexes(documents)
+        rows = documents.withColumn("commit_no", F.lit(number).cast("long"))
+        if n_indexes > FEW_INDEXES:
+            rows = rows.hint("rebalance", "index_name")
+        rows.write.partitionBy("index_name").parquet(f"{self.root}/documents/commit_id={commit_id}")
         return commit_id
 
+    def _n_indexes(self, documents: DataFrame) -> int:
+        """Of how many indexes a commit is where the caller does not know: as many as the table has folders for; for a first commit the names are counted, without the text."""
+        base, changes, _ = self._live()
+        live = [base, *changes] if base else changes
+        files = self._rows(live, None).inputFiles() if live else []
+        names = {f.rsplit("/index_name=", 1)[1].split("/")[0] for f in files if "/index_name=" in f}
+        return len(names) or documents.select("index_name").distinct().limit(FEW_INDEXES + 1).count()
+
     def _is_full(self, commit_id: str) -> bool:
         """Whether a first commit can stand as a full copy: no id in it twice. Reads ids only."""
         ids = self._rows([commit_id], None).groupBy(*_ID).agg(F.count("*").alias("n"))
@@ -265,12 +313,14 @@ class IndexTable:
         writer: str | None = None,
         batch_id: int | None = None,
         replaces: DataFrame | None = None,
+        n_indexes: int | None = None,
     ) -> bool:
         """Append one commit of puts and removals; both name their index and ``doc_id``.
 
         With a writer and a batch id, a batch that was committed before is skipped. ``replaces``
         lists ``(index_name, owner)`` whose earlier documents this commit takes the place of. A long column
         ``_seq`` in either frame orders the rows of one id; without it an id both put and removed is put.
+        ``n_indexes``, how many indexes the documents are of, spares a look where the caller knows it.
         """
         if writer is not None and batch_id is not None:
             seen = (F.col("writer") == writer) & (F.col("batch_id") >= batch_id)
@@ -285,7 +335,7 @@ class IndexTable:
             return False
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         number = self._next()
-        commit_id = self._write(rows, number)
+        commit_id = self._write(rows, number, n_indexes)
         first = self.commits().where("kind IN ('full', 'change')").isEmpty()
         kind = "full" if first and deletes is None and self._is_full(commit_id) else "change"
         if self.keep_counts:
@@ -345,6 +395,6 @@ class IndexTable:
         present = self.read().where(F.col("index_name") == index_name)
         if overwrite:
             # one commit: the old documents go when the new ones come
-            self.apply(upserts=saved, replaces=present.select("index_name", "owner").distinct())
+            self.apply(upserts=saved, replaces=present.select("index_name", "owner").distinct(), n_indexes=1)
         else:
-            self.apply(upserts=saved.join(present.select("doc_id"), "doc_id", "left_anti"))
+            self.apply(upserts=saved.join(present.select("doc_id"), "doc_id", "left_anti"), n_indexes=1)

@@ -113,7 +113,7 @@ def sync_files(
         mine = new.sparkSession.range(1).select(
             F.lit(source.index_name).alias("index_name"), F.lit(source.owner).alias("owner")
         )
-        table.apply(upserts=documents, replaces=mine)
+        table.apply(upserts=documents, replaces=mine, n_indexes=1)
         return error_rows(read, "path", source.owner)
     old = read_snapshot(captures, checkpoint)
     resolved = plan_changes(old, new, table.read(), source, version)
@@ -123,7 +123,7 @@ def sync_files(
         )
     read = read_files(changed_files(new, resolved), source)
     documents = documents_of(read, source, version, run_ts)
-    table.apply(upserts=documents, deletes=deleted_ids(resolved))
+    table.apply(upserts=documents, deletes=deleted_ids(resolved), n_indexes=1)
     return error_rows(read, "path", source.owner)
 
 
@@ -165,7 +165,7 @@ def sync_urls(table: IndexTable, captures: DataFrame, source: UrlSource, run_ts:
     documents = url_documents(
         checked(read, source.mode), index_name=source.index_name, owner=source.owner, run_ts=run_ts
     )
-    table.apply(upserts=documents)
+    table.apply(upserts=documents, n_indexes=1)
     return error_rows(read, "url", source.owner)
 
 
@@ -179,7 +179,7 @@ def sync_pages(
     whole = assemble_pages(pages, tables).withColumn("url", F.col("doc_id").cast("string")).drop("doc_id")
     typed = with_file_type(whole.withColumn("_path", url_path(F.col("url"))), "_path")
     table.apply(
-        upserts=url_documents(typed, index_name=source.index_name, owner=source.owner, run_ts=run_ts)
+        upserts=url_documents(typed, index_name=source.index_name, owner=source.owner, run_ts=run_ts), n_indexes=1
     )
     empty = documents_without_text(pages, tables)
     return empty.select(F.lit(source.owner).alias("owner"), "unit", "message")
@@ -217,7 +217,8 @@ def sync_rows(
     table.apply(
         upserts=row_documents(
             texts, key=key, index_name=source.index_name, owner=source.owner, run_ts=run_ts
-        )
+        ),
+        n_indexes=1,
     )
     newest = high_water_mark(rows, source.ts) if source.ts else None
     return newest or last_ts

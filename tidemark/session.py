@@ -71,12 +71,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_run_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write a frame to the shared folder and read it back.
+def cut(df: DataFrame, name: str = "cut", *folders: str) -> DataFrame:
+    """Write a frame to the shared folder, in ``folders`` by some of its last columns where asked to, and read it back.
 
     For frames that several later steps use: they are computed once, a lost executor costs no
     recomputation, and Spark knows the real size when it picks a join.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
