@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.changes import changed_files, likely_rows
 from tidemark.operators.documents import url_documents
 from tidemark.plans.index_table import FEW_INDEXES, IndexTable
 from tidemark.session import scratch_path
@@ -60,3 +61,15 @@ def test_reading_after_many_changes_shuffles_no_text(spark, index, low):
     assert "BroadcastHashJoin" in plan(df) and "SortMergeJoin" not in plan(df) and "Exchange hashpartitioning" not in plan(df)
     want = {str(i): f"new{i}" if i < 2000 else "t" for i in range(500, 3000)}
     assert {r.source_uri: r.text for r in df.collect()} == want
+
+
+def test_only_content_of_changed_files_goes_on_to_the_join(spark):
+    files = spark.range(4000).selectExpr("'o' AS owner", "'p' || id AS path", "'x' || id AS content")
+    wanted = files.where("CAST(substr(path, 2) AS INT) % 40 = 7").select("owner", "path")
+    got = likely_rows(files, wanted, ["owner", "path"])
+    assert got.columns == files.columns and 100 <= got.count() <= 103 and got.join(wanted, ["owner", "path"]).count() == 100
+    # a null is wanted by nobody, copies come once
+    odd = spark.createDataFrame([("p1", "c"), (None, "n"), ("p2", "d")], "path string, content string")
+    resolved = spark.createDataFrame([("update", "p1", "id1", "modified"), ("update", None, "id2", "modified"), ("delete", "p2", "id3", None)], "action string, b_path string, doc_id string, change_label string")
+    assert [tuple(r) for r in changed_files(odd, resolved).collect()] == [("p1", "c", "id1", "modified")]
+    assert "LeftSemi" in plan(changed_files(files, wanted.selectExpr("'update' AS action", "path AS b_path", "path AS doc_id", "'m' AS change_label")))

@@ -86,16 +86,34 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
     )
 
 
+#: Bits of the mask that finds the content of changed files; 64 share a row, so that it has half a million rows at most.
+MASK_BITS = 2**25
+
+
+def likely_rows(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys are among the wanted ones, and a few whose hashes meet one.
+
+    For wide rows before a join with many wanted keys, so that the others are not shuffled. A bit per hash, 4 MB at
+    most, is broadcast to the scan; the more keys are wanted the more rows get through, never fewer.
+    """
+    place = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(MASK_BITS))
+    bits = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_slot"))
+    masks = bits.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")).alias("_mask"))
+    hit = (F.shiftright("_at", 6) == F.col("_slot")) & (F.expr("_mask & shiftleft(1L, CAST(_at & 63 AS INT))") != 0)
+    return rows.withColumn("_at", place).join(F.broadcast(masks), hit, "left_semi").drop("_at")
+
+
 def changed_files(files: DataFrame, resolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
     """The files behind creates and updates, with ``doc_id`` and ``change_label`` alongside.
 
     One join brings id and label to the content; when few files changed, Spark broadcasts the
-    changes and the content is not shuffled.
+    changes and the content is not shuffled. Otherwise only content of changed files is.
     """
     wanted = resolved.where(F.col("action") != "delete").select(
         *scope, F.col("b_path").alias("path"), "doc_id", "change_label"
     )
-    return files.join(wanted, [*scope, "path"])
+    keys = [*scope, "path"]
+    return likely_rows(files, wanted, keys).join(wanted, keys)
 
 
 def deleted_ids(resolved: DataFrame) -> DataFrame:
