@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.changes import changed_files, likely_rows
 from tidemark.operators.documents import url_documents
 from tidemark.plans.index_table import FEW_INDEXES, IndexTable
-from tidemark.session import scratch_path
+from tidemark.plans.sync_all import path_columns, sync_all
+from tidemark.session import cut, scratch_path
 
 
 def at():
@@ -73,3 +74,24 @@ def test_only_content_of_changed_files_goes_on_to_the_join(spark):
     resolved = spark.createDataFrame([("update", "p1", "id1", "modified"), ("update", None, "id2", "modified"), ("delete", "p2", "id3", None)], "action string, b_path string, doc_id string, change_label string")
     assert [tuple(r) for r in changed_files(odd, resolved).collect()] == [("p1", "c", "id1", "modified")]
     assert "LeftSemi" in plan(changed_files(files, wanted.selectExpr("'update' AS action", "path AS b_path", "path AS doc_id", "'m' AS change_label")))
+
+
+def test_one_job_for_all_sources_joins_content_of_changed_files_only(spark, index, monkeypatch, low):
+    def version(name, text):
+        return spark.range(40).selectExpr("'o' || id % 2 AS owner", f"'{name}' AS version", "'p' || id || '.md' AS path", f"CAST({text} AS BINARY) AS content")
+
+    captures = cut(version("v1", "'x' || id").unionByName(version("v2", "CASE WHEN id % 5 = 0 THEN 'new' || id ELSE 'x' || id END")), "captures", "owner", "version")
+    specs = spark.createDataFrame([("o0", "i"), ("o1", "i")], "owner string, index_name string").withColumns(
+        {"repository": F.lit("r"), "branch": F.lit("b"), "version": F.lit("v1"), "checkpoint": F.lit(None).cast("string"), **path_columns()}
+    )
+    sync_all(index, captures, specs, at())
+    plans, apply = [], index.apply
+
+    def spied(**given):
+        plans.append(plan(given["upserts"]))
+        return apply(**given)
+
+    monkeypatch.setattr(index, "apply", spied)
+    sync_all(index, captures, specs.withColumns({"version": F.lit("v2"), "checkpoint": F.lit("v1")}), at())
+    assert "LeftSemi" in plans[0] and "_mask" in plans[0]
+    assert {r.source_uri: r.text for r in index.read().collect()} == {f"p{i}.md": f"{'new' if i % 5 == 0 else 'x'}{i}" for i in range(40)}

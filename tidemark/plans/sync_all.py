@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import is_binary_name, is_hidden, with_file_type
 from ..functions.patterns import RULES, compile_patterns, matches_rules, parse_patterns, rule_list
-from ..operators.changes import deleted_ids, resolve_doc_ids
+from ..operators.changes import deleted_ids, likely_rows, resolve_doc_ids
 from ..operators.content import extract_text
 from ..operators.diff import snapshot_diff, with_hash
 from ..operators.documents import document_id, file_documents
@@ -113,7 +113,10 @@ def sync_all(
         .select(*_SCOPE, F.col("b_path").alias("path"), "doc_id", "change_label")
         .join(about, list(_SCOPE))
     )
-    changed = captures.join(wanted, ["owner", "version", "path"])
+    # versions that are compared, by the registry, so that folders of others are not opened; of those the changed files
+    versioned = captures.join(partly.select("owner", "version"), ["owner", "version"], "left_semi")
+    keys = ["owner", "version", "path"]
+    changed = likely_rows(versioned, wanted, keys).join(wanted, keys)
     first_id = document_id(F.col("index_name"), F.col("owner"), F.col("path"))
     files = in_full.withColumns({"doc_id": first_id, "change_label": F.lit("full")}).unionByName(changed)
     read = extract_text(with_file_type(files))
@@ -128,7 +131,8 @@ def sync_all(
         change_type=F.col("change_label"),
         doc_id=F.col("doc_id"),
     )
-    table.apply(upserts=documents, deletes=deleted_ids(resolved), replaces=whole)
+    n_indexes = planned.select("index_name").distinct().count()
+    table.apply(upserts=documents, deletes=deleted_ids(resolved), replaces=whole, n_indexes=n_indexes)
 
     failed = read.where(F.col("error").isNotNull())
     errors = cut(
