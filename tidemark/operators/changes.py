@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .documents import SEPARATOR, document_id
 
 
@@ -40,13 +41,18 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
     that was at its path before; the new one then gets an id that also depends on ``version``, the
     version that creates it. A repeat of the run gives the same ids: a file whose document is already at
     its path keeps it.
+
+    The index is read once: its rows that the changes may mean are written, and all lookups are among these.
     """
     keyed = changes.withColumn("source_uri", F.coalesce("a_path", "b_path"))
-    found = first_match(index, keyed)
+    renamed = keyed.where("change_type = 'R'").withColumn("source_uri", F.col("b_path"))
+    first_id = document_id(F.col("index_name"), F.col("owner"), F.col("b_path"))
+    wanted = keyed.where(~F.col("change_type").isin("D")).select("index_name", first_id.alias("doc_id"))
+    uris = keyed.select(*_URI).unionByName(renamed.select(*_URI))
+    meant = cut(likely_rows_of_any(index.select(*_URI, "doc_id"), [(uris, _URI), (wanted, _ID)]), "meant")
+    found = first_match(meant, keyed)
     # a rename that was applied before: its document is at the new path already
-    moved = first_match(
-        index, keyed.where("change_type = 'R'").withColumn("source_uri", F.col("b_path"))
-    ).withColumnsRenamed({"source_uri": "b_path", "doc_id": "_moved"})
+    moved = first_match(meant, renamed).withColumnsRenamed({"source_uri": "b_path", "doc_id": "_moved"})
     known = F.col("doc_id").isNotNull() & (F.col("change_type") != "A")
     action = (
         F.when(F.col("change_type") == "D", F.when(known, F.lit("delete")))
@@ -57,7 +63,6 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
         F.col("action") == "update",
         F.when(F.col("change_type") == "R", F.lit("renamed")).otherwise(F.lit("modified")),
     ).when(F.col("action") == "create", F.lit("added"))
-    first_id = document_id(F.col("index_name"), F.col("owner"), F.col("b_path"))
     with_id = (
         keyed.join(found, _URI, "left")
         .join(moved.withColumn("change_type", F.lit("R")), [*_URI[:2], "b_path", "change_type"], "left")
@@ -69,9 +74,8 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
         .withColumn("doc_id", F.coalesce("doc_id", first_id))
         .drop("source_uri", "_moved")
     )
-    wanted = keyed.where(~F.col("change_type").isin("D")).select("index_name", first_id.alias("doc_id"))
     taken = (
-        index.join(wanted, _ID, "left_semi")
+        meant.join(wanted, _ID, "left_semi")
         .where(F.col("doc_id").isNotNull())
         .select(*_ID, F.lit(True).alias("_taken"))
         .distinct()
@@ -90,17 +94,35 @@ def resolve_doc_ids(changes: DataFrame, index: DataFrame, version: Column | str
 MASK_BITS = 2**25
 
 
+def _place(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(MASK_BITS))
+
+
+def _masks(wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(_slot, _mask)``: a bit per hash of the wanted keys, 64 to a row."""
+    bits = wanted.select(_place(keys).alias("_place")).groupBy(F.shiftright("_place", 6).alias("_slot"))
+    return bits.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")).alias("_mask"))
+
+
 def likely_rows(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose keys are among the wanted ones, and a few whose hashes meet one.
 
     For wide rows before a join with many wanted keys, so that the others are not shuffled. A bit per hash, 4 MB at
     most, is broadcast to the scan; the more keys are wanted the more rows get through, never fewer.
     """
-    place = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(MASK_BITS))
-    bits = wanted.select(place.alias("_place")).groupBy(F.shiftright("_place", 6).alias("_slot"))
-    masks = bits.agg(F.bit_or(F.expr("shiftleft(1L, CAST(_place & 63 AS INT))")).alias("_mask"))
     hit = (F.shiftright("_at", 6) == F.col("_slot")) & (F.expr("_mask & shiftleft(1L, CAST(_at & 63 AS INT))") != 0)
-    return rows.withColumn("_at", place).join(F.broadcast(masks), hit, "left_semi").drop("_at")
+    return rows.withColumn("_at", _place(keys)).join(F.broadcast(_masks(wanted, keys)), hit, "left_semi").drop("_at")
+
+
+def likely_rows_of_any(rows: DataFrame, wanted: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """``likely_rows`` by several ``(wanted, keys)`` in one pass: the rows that may be among the wanted ones of any."""
+    marked, likely = rows, F.lit(False)
+    for i, (frame, keys) in enumerate(wanted):
+        masks = F.broadcast(_masks(frame, keys).withColumnsRenamed({"_slot": f"_slot{i}", "_mask": f"_mask{i}"}))
+        marked = marked.withColumn(f"_at{i}", _place(keys)).join(masks, F.shiftright(f"_at{i}", 6) == F.col(f"_slot{i}"), "left")
+        bit = F.expr(f"_mask{i} & shiftleft(1L, CAST(_at{i} & 63 AS INT))")
+        likely = likely | F.coalesce(bit != 0, F.lit(False))
+    return marked.where(likely).select(*rows.columns)
 
 
 def changed_files(files: DataFrame, resolved: DataFrame, scope: Sequence[str] = ()) -> DataFrame:

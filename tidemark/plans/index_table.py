@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.changes import index_counts, list_documents, list_indexes
+from ..operators.changes import index_counts, likely_rows, list_documents, list_indexes
 from ..schema import DOCUMENT
-from ..session import cut
+from ..session import cut, run_folder
 
 #: Up to so many indexes in a commit, every task writes its own rows; with more, rows are gathered by index first, lest files be many and small.
 FEW_INDEXES = 16
@@ -82,6 +82,7 @@ class IndexTable:
         self.fold_after = fold_after
         self.keep_counts = keep_counts
         self.root = root.rstrip("/")
+        self._kept_voids: tuple[str | None, str | None, frozenset[str], DataFrame] | None = None
         # an empty commit table, unless there is one already
         self._row(0, "", "none", {}).limit(0).write.mode("ignore").parquet(f"{self.root}/commits")
 
@@ -172,25 +173,42 @@ class IndexTable:
         if not changes:
             return full.select(*_COLUMNS)
         changed = self._rows(changes, dropped).where(_named())
-        voids = self._voids(full, changed)
+        voids = self._voids(base, changes, dropped)
         puts = self._unvoided(changed.where(~F.col("removed")), voids)
         return puts if full is None else self._unvoided(full, voids).unionByName(puts)
 
-    def _voids(self, full: DataFrame | None, changed: DataFrame) -> DataFrame:
+    def _voids(self, base: str | None, changes: list[str], dropped: DataFrame | None) -> DataFrame:
         """``(index_name, _file, _block, _mask)``: which rows later ones take the place of. Reads ids and places, no text.
 
-        Every index with changes has a row, so its folder is there for a filter on the index.
+        Every index with changes has a row, so its folder is there for a filter on the index. The masks are kept for the next read:
+        it uses them again, or adds what the commits since then void. Drops make rows count again that a dropped one had
+        taken the place of, so after them nothing is kept.
         """
+        kept = self._kept_voids
+        if dropped is not None or kept is None or kept[:2] != (run_folder(), base) or not kept[2] <= set(changes):
+            kept = None
+        if kept and len(kept[2]) == len(changes):
+            return kept[3]
+        known = kept[2] if kept else frozenset()
+        # the newer commits come after all that are known: what they name takes the place of any earlier row
+        changed = self._rows([c for c in changes if c not in known], dropped).where(_named())
         place = F.struct("commit_no", "_seq", (~F.col("removed")).alias("put"), "_file", "_row")
         ranked = changed.select(*_ID, "_file", "_row", "removed", place.alias("_place"))
         ranked = ranked.withColumn("_last", F.col("_place") == F.max("_place").over(Window.partitionBy(*_ID)))
         marked = ranked.select("index_name", "_file", "_row", (~F.col("_last")).alias("_void"))
-        if full is not None:
-            beaten = full.select(*_ID, "_file", "_row").join(ranked.where("_last").select(*_ID), _ID, "left_semi")
+        earlier = [*([base] if base else []), *known]
+        if earlier:
+            older = likely_rows(self._rows(earlier, dropped).select(*_ID, "_file", "_row"), changed, _ID)
+            beaten = older.join(ranked.where("_last").select(*_ID), _ID, "left_semi")
             marked = marked.unionByName(beaten.select("index_name", "_file", "_row", F.lit(True).alias("_void")))
         bit = F.when(F.col("_void"), F.expr("shiftleft(1L, CAST(_row & 63 AS INT))")).otherwise(F.lit(0).cast("long"))
-        masks = marked.groupBy("index_name", "_file", F.shiftright("_row", 6).alias("_block")).agg(F.bit_or(bit).alias("_mask"))
-        return cut(masks.select(*[f.name for f in _VOIDS.fields]), "voids", "index_name")
+        bits = marked.select("index_name", "_file", F.shiftright("_row", 6).alias("_block"), bit.alias("_mask"))
+        if kept:
+            bits = bits.unionByName(kept[3])
+        masks = bits.groupBy("index_name", "_file", "_block").agg(F.bit_or("_mask").alias("_mask"))
+        voids = cut(masks.select(*[f.name for f in _VOIDS.fields]), "voids", "index_name")
+        self._kept_voids = None if dropped is not None else (run_folder(), base, frozenset(changes), voids)
+        return voids
 
     @staticmethod
     def _unvoided(rows: DataFrame, voids: DataFrame) -> DataFrame:

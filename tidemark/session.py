@@ -66,6 +66,11 @@ def scratch_run(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def run_folder() -> str | None:
+    """The folder of the ``scratch_run`` that the caller is in, if any: what ``cut`` writes lives as long as it."""
+    return _run_folder.get()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the run's folder or the shared one; nothing is created there yet."""
     return f"{_run_folder.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
